@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, licenses, secrets, simhash, sketches, token_counts
+from tidemark.llm import bpe, decontaminate, licenses, repeats, secrets, simhash, sketches, token_counts
 from tidemark.llm.common import documents
 
 
@@ -31,6 +31,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -40,7 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_fingerprints, op4_token_counts, op5_secret_scan, op6_bpe, op9_license_scan, op10_decontaminate)
+    f.__name__: f for f in (op2_simhash, op3_fingerprints, op4_token_counts, op5_secret_scan, op6_bpe, op7_repeats, op9_license_scan, op10_decontaminate)
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
