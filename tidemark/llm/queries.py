@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, licenses, repeats, secrets, simhash, sketches, token_counts
+from tidemark.llm import bpe, decontaminate, html_text, licenses, repeats, secrets, simhash, sketches, token_counts
 from tidemark.llm.common import documents
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_fingerprints, op4_token_counts, op5_secret_scan, op6_bpe, op7_repeats, op9_license_scan, op10_decontaminate)
+    f.__name__: f for f in (op1_html_text, op2_simhash, op3_fingerprints, op4_token_counts, op5_secret_scan, op6_bpe, op7_repeats, op9_license_scan, op10_decontaminate)
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

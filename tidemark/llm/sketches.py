@@ -74,10 +74,10 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), common / distinct_shingles(a, k)))
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the key, by bisection."""
+def range_of(key: Column, bounds: list, above: int | str = 2**63 - 1) -> Column:
+    """Number of bounds at or below the key, by bisection; ``above`` exceeds every key."""
     depth = max(1, math.ceil(math.log2(len(bounds) + 1)))
-    padded = F.lit(bounds + [2**63 - 1] * (2**depth - len(bounds)))
+    padded = F.lit(bounds + [above] * (2**depth - len(bounds)))
 
     def step(low: Column, half: Column) -> Column:
         return F.when(F.get(padded, low + half - 1) <= key, low + half).otherwise(low)
@@ -99,7 +99,7 @@ def with_next(rows: DataFrame, key: str, text: str, prepare: Callable[[DataFrame
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / range_rows))
     quantiles = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts) if count else []
     bounds = sorted({int(q) for q in quantiles if q is not None})
-    ranged = rows.withColumn("_range", _range_of(F.col(key), bounds) if bounds else F.lit(0))
+    ranged = rows.withColumn("_range", range_of(F.col(key), bounds) if bounds else F.lit(0))
     firsts = ranged.groupBy("_range").agg(F.min(key).alias("_first"))
     around = Window.partitionBy(F.lit(0)).orderBy("_range")  # at most one row a range
     before = firsts.select("_first", F.coalesce(F.lag("_range").over(around), F.max("_range").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
