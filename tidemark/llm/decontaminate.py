@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, map_slices, materialise, slices
+from tidemark.llm.common import as_bytes, map_slices, map_whole, materialise, slices
 
 WINDOW = 10
 #: Bytes of item text in a block: the bound of what is broadcast.
@@ -254,7 +254,7 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", window: in
                         masks.setdefault(i, []).append(mask)
             keep = []
             for i, found in masks.items():
-                texts[i] = clean_text(texts[i], found, COVERAGE if coverage is None else coverage)
+                texts[i] = clean_text(texts[i], found, coverage)
                 if texts[i] is None:
                     keep.append(i)
             columns = list(batch.columns)
@@ -271,4 +271,4 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", window: in
                 out = out.filter(pa.array(stay))
             yield out
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole(docs, run)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, html_text, licenses, repeats, secrets, simhash, sketches, token_counts
+from tidemark.llm import bpe, decontaminate, html_text, licenses, quality, repeats, secrets, simhash, sketches, token_counts
 from tidemark.llm.common import documents
 
 
@@ -39,6 +39,10 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(documents(spark, sf_dir)).drop("spans")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_simhash, op3_fingerprints, op4_token_counts, op5_secret_scan, op6_bpe, op7_repeats, op9_license_scan, op10_decontaminate)
+    f.__name__: f for f in (op1_html_text, op2_simhash, op3_fingerprints, op4_token_counts, op5_secret_scan, op6_bpe, op7_repeats, op8_quality, op9_license_scan, op10_decontaminate)
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, map_slices
+from tidemark.llm.common import as_bytes, map_slices, map_whole, slices
 
 # The patterns, and the least length of each kind.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -166,4 +166,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
             columns[count_at] = pa.array([n if t is None else len(t) for t, n in zip(texts, batch.column(count_at).to_pylist())], batch.schema.field(count_at).type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return map_slices(docs, lambda: apply, docs.schema)
+    return map_whole(docs, lambda batches: map(apply, slices(batches)))

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidemark.llm.common import as_bytes, map_slices, materialise
 from tidemark.llm.components import components
@@ -114,3 +115,115 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     return rows.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: For deduplication by similarity: sampled fingerprints a text, and shingles in each sample.
+SAMPLES, SAMPLE_SHINGLES = 12, 4
+_MULTIPLIERS = (np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def sampled_fingerprints(hashes: np.ndarray) -> list[int]:
+    """Fingerprints of SAMPLES samples of the distinct shingles: those with the least hashes under as many mixings.
+
+    Texts of similarity s have the same sample with a chance of about s ** SAMPLE_SHINGLES.
+    """
+    distinct, out = np.unique(hashes), []
+    for m in _MULTIPLIERS:
+        mixed = distinct * m
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        n = min(SAMPLE_SHINGLES, len(mixed))
+        out.append(fingerprint(np.partition(mixed, n - 1)[:n]) if n else 0)
+    return out
+
+
+def similarity(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity of the sets of word shingles; of two texts without words it is 1."""
+    x, y = np.unique(shingle_hashes(a, size)), np.unique(shingle_hashes(b, size))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _features(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """key (digest of the text), id, fp, and samples of each row."""
+
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, fps, samples = [], [], []
+        for text in batch.column(1).to_pylist():
+            hashes = shingle_hashes(text, shingle)
+            keys.append(xxhash.xxh3_128_digest(text))
+            fps.append(fingerprint(hashes))
+            samples.append(sampled_fingerprints(hashes))
+        arrays = [pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(samples, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "key", "fp", "samples"])
+
+    return map_slices(as_bytes(docs, text_col, id_col), lambda: apply, "id long, key binary, fp long, samples array<long>")
+
+
+def _stars(members: DataFrame, by: list[str]) -> DataFrame:
+    """Each member of a group of two or more with the group's least key: by, key, head."""
+    heads = members.groupBy(*by).agg(F.min("key").alias("head"), F.max("key").alias("most")).where(F.col("head") < F.col("most")).drop("most")
+    return members.join(heads, by).where(F.col("key") != F.col("head"))
+
+
+def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Edges key, head whose texts are at least so similar."""
+    a = texts.select("key", F.col("text").alias("a"))
+    b = texts.select(F.col("key").alias("head"), F.col("text").alias("b"))
+    pairs = edges.join(a, "key").join(b, "head").select("key", "head", "a", "b")
+
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = [similarity(x, y, shingle) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        return pa.RecordBatch.from_arrays(batch.columns[:2], names=["key", "head"]).filter(pa.array(good, pa.bool_()))
+
+    return map_slices(pairs, lambda: apply, "key binary, head binary")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
+    """The rows and columns of ``docs`` with one row of each group of near-duplicates: the least id, one of repeated rows.
+
+    Candidates are texts whose SimHash fingerprints are linked (two bits, through the embedding), and,
+    as that finds few texts of a similarity near 0.8, texts that share a sampled fingerprint. In a
+    group of candidates each is compared exactly with one of them; those that aren't similar to it are
+    grouped again by two sampled fingerprints. A null id counts as the largest.
+    """
+    last = 2**63 - 1
+    features = materialise(_features(docs, id_col, text_col, shingle).withColumn("id", F.coalesce("id", F.lit(last))))
+    nodes = materialise(features.groupBy("key").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("samples").alias("samples")))
+    by_fp = nodes.groupBy("fp").agg(F.min("key").alias("key"))
+    linked = links(nodes.select("fp").distinct())
+    bits = linked.join(by_fp.select(F.col("fp").alias("u"), F.col("key").alias("key")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("key").alias("head")), "v").select("key", "head")
+    same = _stars(nodes.select("fp", "key"), ["fp"]).select("key", "head")
+    members = nodes.select("key", F.posexplode("samples").alias("k", "sample"), "samples")
+    stars = materialise(_stars(members, ["k", "sample"]).select("k", "sample", F.get("samples", (F.col("k") + 1) % SAMPLES).alias("after"), "key", "head"))
+    texts = as_bytes(docs, text_col, id_col).select(F.coalesce(id_col, F.lit(last)).alias("id"), F.col(text_col).alias("text"))
+    edges = materialise(bits.unionByName(same).unionByName(stars.select("key", "head")).distinct())
+    good = None
+    for turn in range(rounds):
+        ends = edges.select("key").unionByName(edges.select(F.col("head").alias("key"))).distinct()
+        needed = nodes.select("id", "key").join(ends, "key", "left_semi")
+        found = materialise(_similar(edges, needed.join(texts, "id").select("key", "text"), shingle, least))
+        good = found if good is None else good.unionByName(found)
+        if turn + 1 < rounds:
+            stars = stars.join(found, ["key", "head"], "left_anti").drop("head")
+            edges = materialise(_stars(stars, ["k", "sample", "after"]).select("key", "head").distinct())
+            if edges.isEmpty():
+                break
+    groups = components(good.select(F.col("key").alias("u"), F.col("head").alias("v")))
+    ids = groups.join(nodes.select(F.col("key").alias("node"), "id"), "node")
+    best = ids.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best"))
+    gone = ids.join(best, "root").where(F.col("node") != F.col("best.node")).select(F.col("node").alias("key"))
+    stay = nodes.select("key", "id").join(gone, "key", "left_anti")
+
+    columns, text_at, id_at = docs.columns, docs.columns.index(text_col), docs.columns.index(id_col)
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in batch.column(text_at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"])
+
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
+    keyed = map_slices(plain, lambda: digest, StructType([*plain.schema.fields, StructField("_key", BinaryType())])).withColumn("_id", F.coalesce(f"_c{id_at}", F.lit(last)))
+    kept = keyed.join(stay.select(F.col("key").alias("_key"), F.col("id").alias("_id")), ["_key", "_id"], "left_semi")
+    if not features.groupBy("key", "id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_key", "_id"])
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
