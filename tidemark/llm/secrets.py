@@ -31,14 +31,17 @@ WORDS = (b"passw", b"secret", b"token", b"api")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Runs that the models judge.
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 ORDINARY = re.compile(rb"[A-Za-z0-9+/_=-]{4,}")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Training rows: about so many documents at most, chosen by a hash of their id.
 SAMPLE_ROWS = 2000
 GENERATED = 4000
+#: Runs that the models judge have at least so many characters.
+LONG = 20
 THRESHOLD = 0.6
+#: Weight of single-character shares in a pair's.
+PRIOR = 20.0
 
 _CODE = np.full(256, len(ALPHABET), np.int64)
 _CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(len(ALPHABET))
@@ -71,7 +74,7 @@ def generated_keys(count: int = GENERATED, seed: int = 7) -> list[bytes]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Log-likelihood ratios of the character pairs (random over ordinary), add-one smoothed.
+    """Log-likelihood ratios of the character pairs (random over ordinary), smoothed towards single characters.
 
     Pair counts come from Spark; only two tables of 68 x 68 counts reach the driver.
     """
@@ -85,18 +88,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             spans = base_spans(text)
             for m in ORDINARY.finditer(text):
                 inside = any(s < m.end() and m.start() < e for s, _, e in spans)
-                if not inside or len(m[0]) >= 16:
+                if len(m[0]) >= 16 if inside else len(m[0]) < LONG:  # a long run outside may be a secret: no label
                     np.add.at(sums[int(inside)], transitions(m[0]), 1)
         label, pair = np.nonzero(sums)
         return pa.RecordBatch.from_arrays([pa.array(label, pa.int64()), pa.array(pair, pa.int64()), pa.array(sums[label, pair], pa.int64())], names=["label", "pair", "n"])
 
-    sums = np.ones((2, SYMBOLS * SYMBOLS))
+    sums = np.zeros((2, SYMBOLS * SYMBOLS))
     for label, pair, n in map_slices(rows, lambda: count, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n")).collect():
         sums[label, pair] += n
     for key in generated_keys():
         np.add.at(sums[1], transitions(key), 1)
     given = sums.reshape(2, SYMBOLS, SYMBOLS)
-    logs = np.log(given / given.sum(2, keepdims=True))
+    single = given.sum(1, keepdims=True) + 1.0
+    single /= single.sum(2, keepdims=True)
+    logs = np.log((given + PRIOR * single) / (given.sum(2, keepdims=True) + PRIOR))
     return (logs[1] - logs[0]).ravel()
 
 
