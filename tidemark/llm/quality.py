@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, map_slices, map_whole, materialise, pick, slices
+from tidemark.llm.simhash import shingle_hashes
 
 #: Labelled rows that the models are fitted on, at most about; one in five is held out for the threshold.
 SAMPLE_ROWS = 20_000
@@ -69,15 +70,41 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sam
     every = max(1, math.ceil(marks.count() / sample_rows))
     chosen = marks.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
     held = F.pmod(F.xxhash64(id_col, F.lit("held")), F.lit(HELD_OUT)) == 0
-    return as_bytes(docs, text_col, id_col).join(F.broadcast(chosen), id_col).select((F.col("good") == 1).alias("target"), held.alias("held"), text_col)
+    return as_bytes(docs, text_col, id_col).join(F.broadcast(chosen), id_col).select((F.col("good") == 1).alias("target"), held.alias("held"), F.col(text_col).alias("text"))
+
+
+#: Signatures of a text by which near copies in the sample are found.
+SIGNATURES = 3
+
+
+def signatures(text: bytes) -> list[int]:
+    """The least hashes of a text's five-word shingles under several mixings: near copies share most of them."""
+    hashes = shingle_hashes(text, 5)
+    return [int((hashes * np.uint64(2 * k + 3) ^ (hashes >> np.uint64(17 + k))).min() >> np.uint64(1)) if len(hashes) else 0 for k in range(SIGNATURES)]
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """One row of each group of near copies with one label, as an n-gram of a text that is copied a hundred times has
+    been seen once."""
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [signatures(t) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([f[k] for f in found], pa.int64()) for k in range(SIGNATURES)]], names=["row", "target", *names])
+
+    names = [f"sig{k}" for k in range(SIGNATURES)]
+    left = materialise(map_slices(rows.select("row", "target", "text"), lambda: sign, "row long, target boolean, " + ", ".join(f"{n} long" for n in names)))
+    for n in names:
+        left = left.join(left.groupBy("target", n).agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    return rows.join(left.select("row"), "row", "left_semi")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[dict[int, float], float]:
     """Weights of the n-grams that count, and the threshold. The driver gets the weights only: at most the
     sample's n-grams over LEAST_ROWS."""
-    rows = materialise(labelled(docs, labels, id_col, text_col, sample_rows))
-    sizes = {(r.target, r.held): r["count"] for r in rows.groupBy("target", "held").count().collect()}
-    n_target, n_other = sizes.get((True, False), 0), sizes.get((False, False), 0)
+    rows = materialise(labelled(docs, labels, id_col, text_col, sample_rows).withColumn("row", F.monotonically_increasing_id()))
+    fitted = materialise(one_of_each(rows.where("NOT held")))
+    sizes = {r.target: r["count"] for r in fitted.groupBy("target").count().collect()}
+    n_target, n_other = sizes.get(True, 0), sizes.get(False, 0)
     if not n_target or not n_other:
         return {}, -math.inf
 
@@ -88,12 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 sums.setdefault(g, [0, 0])[0 if target else 1] += 1
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1] for s in sums.values()], pa.int64())], names=["gram", "target", "other"])
 
-    counts = map_slices(rows.where("NOT held").select("target", text_col), lambda: count, "gram long, target long, other long")
+    counts = map_slices(fitted.select("target", "text"), lambda: count, "gram long, target long, other long")
     sums = counts.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("other").alias("other"))
     ratio = F.log((F.col("target") + 0.5) / (n_target + 1)) - F.log((F.col("target") + F.col("other") + 0.5) / (n_target + n_other + 1))
     found = sums.where(F.col("other") >= LEAST_ROWS).select("gram", ratio.alias("w")).where(F.col("w") <= CLEAR).collect()
     weights = {r.gram: r.w for r in found}
-    held = sorted(r.score for r in _scores(rows.where("held AND target").select(F.lit(0).alias("id"), text_col), weights, "id").collect())
+    held = sorted(r.score for r in _scores(rows.where("held AND target").select(F.lit(0).alias("id"), "text"), weights, "id").collect())
     # just below what the allowed share of held-out target rows scores, and never so high that one weak n-gram is enough
     cut = held[int(LOST * len(held))] if held else 0.0
     return weights, min(cut - 1e-9, CLEAR)
