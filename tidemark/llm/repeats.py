@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -261,28 +262,71 @@ def _indexed(spans: DataFrame, length: int) -> DataFrame:
     return spans.select("grp", "kind", "span").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, kind long, ranges array<int>")
 
 
-def _counted(spans: DataFrame, length: int) -> DataFrame:
-    """As _indexed, for minimizers with very many spans: windows are counted by hash."""
+def _blocks(pieces: DataFrame, length: int, size: int) -> DataFrame:
+    """Cuts pieces of spans into blocks of neighbouring windows, at places fixed to the minimizer.
+
+    ``whole`` is the hash of all bytes of the block's windows, ``core`` that of the bytes that every
+    window of such a block has; ``lead`` is the minimizer's place from the piece's first byte.
+    """
+
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols: list[list] = [[] for _ in range(8)]
+        hash_of = xxhash.xxh64_intdigest
+        for group, kind, at, lead, piece in zip(*[c.to_pylist() for c in batch.columns]):
+            n, first = len(piece) - length + 1, 0
+            while first < n:
+                block = (lead - first) // size
+                last = min(n, lead - block * size + 1)  # windows whose distance to the minimizer has this quotient
+                core = lead - block * size
+                own = piece[first : last + length - 1]
+                shape = f"{group}:{block}".encode()
+                row = (
+                    group, kind, at + first, lead - first, last - first, own,
+                    hash_of(shape + f":{lead - first}:{last - first}:".encode() + own) >> 1, hash_of(shape + b":" + piece[core : core - size + 1 + length]) >> 1,
+                )
+                for c, v in zip(cols, row):
+                    c.append(v)
+                first = last
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["grp", "kind", "at", "lead", "n", "piece", "whole", "core"])
+
+    return map_slices(pieces.select("grp", "kind", "at", "lead", "piece"), lambda: apply, "grp long, kind long, at int, lead int, n int, piece binary, whole long, core long")
+
+
+def _leads(spans: DataFrame, length: int) -> DataFrame:
+    """Whole spans as pieces, with the place of their minimizer."""
 
     def make():
         rolling = RollingHash(8 * LENGTH)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            group, kind, at, hashes = [], [], [], []
-            for g, k, s in zip(*[c.to_pylist() for c in batch.columns]):
-                found = rolling(np.frombuffer(s, np.uint8).astype(np.uint64), length).view(np.int64)
-                group.append(np.full(len(found), g))
-                kind.append(np.full(len(found), k))
-                at.append(np.arange(len(found), dtype=np.int32))
-                hashes.append(found)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, t), t) for x, t in ((group, pa.int64()), (kind, pa.int64()), (at, pa.int32()), (hashes, pa.int64()))], names=["grp", "kind", "at", "window"])
+            leads = []
+            for span in batch.column(2).to_pylist():
+                hashes = rolling(np.frombuffer(span[:length], np.uint8).astype(np.uint64), GRAM)
+                leads.append(int(np.argmin(hashes >> np.uint64(21))))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([0] * len(leads), pa.int32()), pa.array(leads, pa.int32()), batch.column(2)], names=["grp", "kind", "at", "lead", "piece"])
 
         return apply
 
-    windows = map_slices(spans.select("grp", "kind", "span"), make, "grp long, kind long, at int, window long")
-    twice = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    lists = windows.join(twice, "window", "left_semi").groupBy("grp", "kind").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    return lists.select("grp", "kind", F.flatten(F.transform("at", lambda x: F.array(x, F.lit(1)))).alias("ranges"))
+    return map_slices(spans.select("grp", "kind", "span"), make, "grp long, kind long, at int, lead int, piece binary")
+
+
+def _counted(spans: DataFrame, length: int, sizes: tuple[int, ...] = (24, 4, 1)) -> DataFrame:
+    """As _indexed, for minimizers with very many spans, by counts of hashes that are dealt out evenly.
+
+    A block that occurs twice as a whole is repeated, one whose core occurs once isn't; any other is
+    cut into smaller blocks, down to single windows.
+    """
+    rows, found = _leads(spans, length), []
+    for size in sizes:
+        blocks = materialise(_blocks(rows, length, size))
+        whole = blocks.groupBy("whole").agg(F.count("*").alias("c"), F.min("kind").alias("first")).where("c > 1").drop("c")
+        core = blocks.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+        known = blocks.join(whole, "whole", "left")
+        found.append(known.where("first IS NOT NULL").select("grp", "kind", F.array("at", "n").alias("ranges")))
+        # of equal blocks one goes on, as others may be repeated in part of them
+        rows = known.where("first IS NULL OR kind = first").join(core, "core", "left_semi")
+    return reduce(DataFrame.unionByName, found)
 
 
 def _removed(packed: DataFrame, ranges: DataFrame, length: int, id_col: str) -> DataFrame:
@@ -322,14 +366,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """Row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets start, end, ...)."""
     packed = materialise(_pack(docs, id_col, text_col))
     spans = _spans(packed.select("row", "packed"), length)
-    often = spans.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp")
+    # a table of its own, so that the join below has plain sides and Spark can split a hot minimizer
+    often = materialise(spans.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp"))
     again = materialise(spans.join(often, "grp", "left_semi").withColumn("place", F.monotonically_increasing_id()))
     kinds = again.groupBy("grp", "kind").agg(F.count("*").alias("copies"), F.min("place").alias("first"))
     groups = kinds.groupBy("grp").agg(F.count("*").alias("kinds"))
-    known = materialise(again.join(kinds.join(groups, "grp"), ["grp", "kind"]))
+    known = materialise(again.join(materialise(kinds.join(groups, "grp")), ["grp", "kind"]))
     whole = known.where("copies > 1").select("row", "start", F.array(F.lit(0), "n").alias("ranges"))
     wanted = known.where("kinds > 1 AND place = first").withColumn("hot", F.col("kinds") > index_spans)
     cut = materialise(_cut_out(packed, wanted, length))
-    part = _indexed(cut.where("NOT hot"), length).unionByName(_counted(cut.where("hot"), length))
+    part = _indexed(cut.where("NOT hot"), length)
+    if not cut.where("hot").isEmpty():
+        part = part.unionByName(_counted(cut.where("hot"), length))
     single = known.where("copies = 1").join(part, ["grp", "kind"]).select("row", "start", "ranges")
     return _removed(packed, whole.unionByName(single), length, id_col)
