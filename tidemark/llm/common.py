@@ -52,12 +52,17 @@ def map_whole(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a local one of the session's own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        session = spark.sparkContext.applicationId
+        if session not in _own_dirs:
+            _own_dirs[session] = tempfile.mkdtemp(prefix="tidemark-")
+        found = _own_dirs[session]
     return found.rstrip("/")
 
 

@@ -34,7 +34,7 @@ from tidemark.llm.simhash import shingle_hashes
 SAMPLE_ROWS = 20_000
 HELD_OUT = 5
 #: An n-gram counts if at least so many rejected rows have it and its log ratio is at most this.
-LEAST_ROWS, CLEAR = 8, -1.2
+LEAST_ROWS, CLEAR = 5, -1.2
 #: Share of the held-out target rows that the threshold may reject.
 LOST = 0.003
 #: Share of all rows that the sample has.
