@@ -24,7 +24,7 @@ from tidemark.llm.common import map_slices, pick
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that each of a worker's two cache generations holds.
-CACHED = 200_000
+CACHED = 400_000
 #: Longer pieces are encoded afresh each time.
 CACHED_CHARS = 64
 
