@@ -242,6 +242,14 @@ def test_html_text(spark):
     assert [got[i].text for i in (100, 101, 102, 103)] == ["Head Body <1>", "alone", "", ""] and got[100].n_chars == 13
 
 
+@pytest.mark.parametrize("range_pages", [20_000, 1])
+def test_html_template_lines_of_articles(spark, range_pages):
+    quote = {3: "<p>A quoted passage</p>", 4: "<p>A quoted passage</p>"}  # two pages only: no template
+    rows = [(i, f"https://c.example.org/p/{i:02d}", page(i, f"<article><h1>Head {i}</h1>{quote.get(i, '')}<p>Own words {i}</p><p>Tell your friends</p></article>")) for i in range(12)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), range_pages=range_pages).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Head {i} {'A quoted passage ' if i in quote else ''}Own words {i}" for i in range(12)}
+
+
 def test_common_lines():
     r = random.Random(1)
     for _ in range(200):

@@ -2,11 +2,12 @@
 
 Pages are sorted by host, then URL path. A page is paired with the page before it on its host (the
 first of a host with the page after it). Its text lines (one a block element) are aligned with the
-other page's by longest common subsequence, and shared lines are deleted. Two things are settled by
-the markup first: lines in elements that are never article text (menus, forms, scripts, adverts and
-so on) go at once, and lines inside an article or main element are no template even where two
-pages share them, as copies of an article do; on a page with such an element nothing outside it
-stays. A page whose nearest page shares at least nine lines in ten is a copy, and loses none.
+other page's by longest common subsequence, and shared lines are deleted. Lines in elements that are
+never article text (menus, forms, scripts, adverts and so on) go at once. On a page with an article or
+main element nothing outside it stays, and a line inside it is template only if it is also shared
+with a second page of the host (the one on the other side, at the ends of a host the next but one), as
+articles quote and copy each other. A page that shares at least nine lines in ten with another is
+its copy, and loses none to it.
 
 Null pages are empty; an empty page has an empty text. Pages without a host are not paired; neither are pages with one URL. Repeated rows
 each give a row.
@@ -139,12 +140,28 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(found), *range(len(a) - tail, len(a))]
 
 
-def main_text(lines: list[str], inside: list[bool], hashes: list[int], other: list[int] | None) -> str:
-    marked = any(inside)
+def template(hashes: list[int], other: list[int] | None) -> set[int]:
+    """Places of the lines shared with another page; none where the pages are copies."""
     shared = set(common_lines(hashes, other)) if other else set()
-    if len(shared) >= COPY_SHARE * max(len(hashes), len(other or ())):
-        shared = set()
-    return " ".join(t for i, (t, own) in enumerate(zip(lines, inside)) if own or (not marked and i not in shared))
+    return shared if len(shared) < COPY_SHARE * max(len(hashes), len(other or ())) else set()
+
+
+def main_text(lines: list[str], inside: list[bool], hashes: list[int], other: list[int] | None, second: list[int] | None = None) -> str:
+    marked = any(inside)
+    shared = template(hashes, other)
+    if marked and shared:
+        shared &= template(hashes, second)
+    return " ".join(t for i, (t, own) in enumerate(zip(lines, inside)) if i not in shared and (own or not marked))
+
+
+def _ghost_keys(ends: list[list[str]]) -> list[tuple[str, int]]:
+    """(key, range) of the two keys on either side of each range; ``ends`` has the outer keys of the ranges in order."""
+    out = []
+    for to in range(len(ends)):
+        before = [k for keys in ends[max(0, to - 2) : to] for k in keys][-2:]
+        after = [k for keys in ends[to + 1 : to + 3] for k in keys][:2]
+        out += [(k, to) for k in before + after]
+    return out
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -170,8 +187,8 @@ def _sort_key(url: Column, page_id: Column) -> tuple[Column, Column]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_pages: int = RANGE_PAGES) -> DataFrame:
     """Row per page: id, url, text, n_chars.
 
-    The order is cut into ranges of keys of about equal counts. The last page of each range is also
-    sent to the next range and the first to the one before, so that each range is complete.
+    The order is cut into ranges of keys of about equal counts. The last two pages of each range are also
+    sent to the next range and the first two to the one before, so that each range is complete.
     """
     spark = pages.sparkSession
     host, key = _sort_key(F.coalesce(url_col, F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -181,22 +198,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     bounds = sorted({r.key for r in cuts.collect()})[1:]  # as many keys as ranges
     ranged = rows.withColumn("range", range_of(F.col("key"), bounds, "￿") if bounds else F.lit(0)).withColumn("ghost", F.lit(False))
     edges = ranged.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    sent = edges.select("range", F.explode(F.array(F.struct(F.col("low").alias("edge"), (F.col("range") - 1).alias("to")), F.struct(F.col("high").alias("edge"), (F.col("range") + 1).alias("to")))).alias("e")).select("e.edge", "e.to")
+    inner = ranged.select("range", "key").join(F.broadcast(edges), "range").where((F.col("key") > F.col("low")) & (F.col("key") < F.col("high")))
+    ends: dict[int, set[str]] = {}  # at most four keys a range
+    for r in [*edges.collect(), *inner.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()]:
+        ends.setdefault(r["range"], set()).update((r.low, r.high))
+    order_of = sorted(ends)
+    sent = spark.createDataFrame([(k, order_of[to]) for k, to in _ghost_keys([sorted(ends[r]) for r in order_of])], "edge string, to int")
     ghosts = ranged.join(F.broadcast(sent), F.col("key") == F.col("edge")).withColumn("range", F.col("to")).withColumn("ghost", F.lit(True)).select(*ranged.columns)
     order = Window.partitionBy("range").orderBy("key", "ghost")
     near = F.struct("host", "url", "hashes")
     parsed = _parsed(ranged.select(F.col(id_col), F.col(url_col).alias("url"), "html", "host", "key", "range", "ghost")).unionByName(
         _parsed(ghosts.select(F.col(id_col), F.col(url_col).alias("url"), "html", "host", "key", "range", "ghost")).withColumn("lines", F.array().cast("array<string>"))
     )
-    beside = parsed.select("*", F.lag(near).over(order).alias("before"), F.lead(near).over(order).alias("after")).where("NOT ghost")
+    beside = parsed.select("*", *[f(near, n).over(order).alias(f"{c}{n}") for c, f in (("before", F.lag), ("after", F.lead)) for n in (1, 2)]).where("NOT ghost")
 
     def fits(c: str) -> Column:
         return (F.col("host") != "") & (F.col(f"{c}.host") == F.col("host")) & ~F.col(f"{c}.url").eqNullSafe(F.col("url"))
 
-    paired = beside.select(id_col, "url", "lines", "inside", "hashes", F.when(fits("before"), F.col("before.hashes")).when(fits("after"), F.col("after.hashes")).alias("other"))
+    beside = beside.withColumn("first", F.when(fits("before1"), F.col("before1")).when(fits("after1"), F.col("after1")))
+    seconds = [F.when(fits(c) & ~F.col(f"{c}.url").eqNullSafe(F.col("first.url")), F.col(f"{c}.hashes")) for c in ("after1", "before2", "after2")]
+    paired = beside.select(id_col, "url", "lines", "inside", "hashes", F.col("first.hashes").alias("other"), F.coalesce(*seconds).alias("second"))
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(*x) for x in zip(*[batch.column(i).to_pylist() for i in range(2, 6)])]
+        texts = [main_text(*x) for x in zip(*[batch.column(i).to_pylist() for i in range(2, 7)])]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return map_slices(paired, lambda: apply, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, {url_col} string, text string, n_chars long")
