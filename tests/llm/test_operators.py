@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,35 @@ def test_similar_documents_are_dropped(spark, docs, texts):
     assert kept == set(want.values())
 
 
+def test_similar_documents_on_one_template(spark):
+    r = random.Random(12)
+    template = [f"t{i}" for i in range(255)]
+    rows = []
+    for i in range(150):  # mutual similarity of about 0.7
+        own = [f"o{i}_{j}" for j in range(45)]
+        rows.append(" ".join(template + own))
+        if i % 3 == 0:  # and of a near copy, about 0.85
+            rows.append(" ".join(template + own[:21] + [f"c{i}_{j}" for j in range(24)]))
+    r.shuffle(rows)
+    texts = dict(enumerate(rows))
+    sets = {d: brute.shingles(brute.low(t)) for d, t in texts.items()}
+    want = brute.groups(texts, lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8)
+    assert len(set(want.values())) == 150
+    assert {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()} == set(want.values())
+
+
+def test_similar_texts_share_a_bucket():
+    r = np.random.default_rng(3)
+    for size in [1, 2, 3, 5, 9, 40, 63, 64, 70, 95, 96, 143, 400, 1000]:
+        for _ in range(30):
+            a = np.unique(r.integers(0, 2**64, size, np.uint64))
+            gone, more = r.integers(0, size // 10 + 1), r.integers(0, size // 8 + 1)
+            b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 2**64, more, np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both / (len(a) + len(b) - both) >= 0.8:
+                assert len(np.intersect1d(simhash.buckets(a, 0.8, {}), simhash.buckets(b, 0.8, {})))
+
+
 def test_bottom_k_fingerprints(spark, docs, texts):
     got = {r.doc_id: r for r in sketches.report(docs).collect()}
     ids = sorted(texts)

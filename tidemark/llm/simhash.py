@@ -15,10 +15,13 @@ other. Repeated rows each give a row. Where an id is null, the component takes i
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -117,98 +120,199 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For deduplication by similarity: sampled fingerprints a text, and shingles in each sample.
-SAMPLES, SAMPLE_SHINGLES = 12, 4
-_MULTIPLIERS = (np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Below so many shingles a text is found by single shingles, from there by segments; a class of sizes ends at RATIO times its start.
+SMALL, RATIO = 64, 1.5
+_BOUNDS = [SMALL]
+while _BOUNDS[-1] < 2**40:
+    _BOUNDS.append(int(_BOUNDS[-1] * RATIO))
+#: Shingles that one task compares, about; a text counts as TEXT_COST more.
+BLOCK_SHINGLES, TEXT_COST = 1_000_000, 50
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _class(size: int) -> int:
+    return bisect_right(_BOUNDS, size) - 1
+
+
+def _apart(size: int, least: float) -> int:
+    """Shingles that only one of two similar texts has, at most; ``size`` is the smaller one's."""
+    return int((1 / least - 1) * size + 1e-9)
+
+
+def _prefix(size: int, least: float) -> int:
+    """So many of the first shingles of a text, in an order of all shingles, that a similar text has one of them among its own."""
+    return size - math.ceil(least * size - 1e-9) + 1
+
 
+def _segments(distinct: np.ndarray, group: int, stretch: int, least: float) -> np.ndarray:
+    """A hash for each segment of hash values that has shingles of the text: of the segment and of its shingles."""
+    count = stretch * (_apart(_BOUNDS[group + 1] - 1, least) * 5 // 4 + 8)
+    at = ((distinct >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    own = np.bitwise_xor.reduceat(_mixed(distinct), starts)
+    return _mixed(own + (at[starts] + np.uint64(group << 40)) * np.uint64(0xC2B2AE3D27D4EB4F))
 
-def sampled_fingerprints(hashes: np.ndarray) -> list[int]:
-    """Fingerprints of SAMPLES samples of the distinct shingles: those with the least hashes under as many mixings.
 
-    Texts of similarity s have the same sample with a chance of about s ** SAMPLE_SHINGLES.
+def _stretch(distinct: np.ndarray, least: float) -> int:
+    """Least factor for the segments of the text's class with which more of them have shingles than a similar text can change."""
+    stretch = 1
+    while len(_segments(distinct, _class(len(distinct)), stretch, least)) <= _apart(len(distinct), least):
+        stretch *= 2
+    return stretch
+
+
+def buckets(distinct: np.ndarray, least: float, stretches: dict[int, int]) -> np.ndarray:
+    """Hashes one of which any two texts of at least that similarity share, from their sorted distinct shingles.
+
+    Of two texts the smaller one's class of sizes counts. Its segments of hash values are so many that
+    one which holds shingles is alike in both, as fewer shingles differ than segments hold any.
     """
-    distinct, out = np.unique(hashes), []
-    for m in _MULTIPLIERS:
-        mixed = distinct * m
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        n = min(SAMPLE_SHINGLES, len(mixed))
-        out.append(fingerprint(np.partition(mixed, n - 1)[:n]) if n else 0)
-    return out
+    size = len(distinct)
+    if not size:
+        return np.zeros(1, np.uint64)
+    low, found = _class(math.ceil(least * size - 1e-9)), []
+    if low < 0:
+        found.append(_mixed(distinct[: _prefix(size, least)]))
+    found += [_segments(distinct, c, stretches.get(c, 1), least) for c in range(max(low, 0), _class(size) + 1)]
+    return np.concatenate(found)
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of sets of at least that similarity that connect all that such pairs connect; sets without members are alike."""
+    sizes, found, label = np.array([len(s) for s in sets], np.int64), [], np.arange(len(sets))
+
+    def link(x: int, y: int) -> None:
+        if label[x] != label[y]:
+            found.append((x, y))
+            label[label == label[y]] = label[x]
+
+    bare = np.flatnonzero(sizes == 0).tolist()
+    for y in bare[1:]:
+        link(bare[0], y)
+    if len(bare) == len(sets):
+        return found
+    owner, offsets = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes) - sizes
+    _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))  # rare ones first
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]
+    prefix = np.array([_prefix(n, least) if n else 0 for n in sizes.tolist()], np.int64)
+    first = np.arange(len(owner)) - offsets[owner] < prefix[owner]
+    by_token = np.argsort(token[first], kind="stable")
+    holders, held = owner[first][by_token], np.searchsorted(token[first][by_token], np.arange(len(counts) + 1))
+    mine = np.zeros(len(counts), bool)
+    for x in np.flatnonzero(sizes).tolist():
+        own = token[offsets[x] : offsets[x] + sizes[x]]
+        head = own[: prefix[x]]
+        near = np.unique(holders[_spread(held[head], held[head + 1] - held[head])])
+        near = near[(near > x) & (label[near] != label[x])]
+        near = near[np.minimum(sizes[near], sizes[x]) >= least * np.maximum(sizes[near], sizes[x]) - 1e-9]
+        if len(near):
+            mine[own] = True
+            both = np.add.reduceat(mine[token[_spread(offsets[near], sizes[near])]].astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+            mine[own] = False
+            for y in near[both / (sizes[near] + sizes[x] - both) >= least].tolist():
+                link(x, y)
+    return found
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """key (digest of the text) and text of each row."""
 
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t) for t in batch.column(0).to_pylist()], pa.binary()), batch.column(0)], names=["key", "text"])
 
-def similarity(a: bytes, b: bytes, size: int) -> float:
-    """Jaccard similarity of the sets of word shingles; of two texts without words it is 1."""
-    x, y = np.unique(shingle_hashes(a, size)), np.unique(shingle_hashes(b, size))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+    return map_slices(as_bytes(docs, text_col).select(F.col(text_col).alias("text")), lambda: digest, "key binary, text binary")
 
 
-def _features(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """key (digest of the text), id, fp, and samples of each row."""
+def _features(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """id, key (digest of the text), node (its first eight bytes), fp, size (distinct shingles) and stretch of each row."""
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, fps, samples = [], [], []
+        keys, fps, sizes, stretches = [], [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(text, shingle)
+            distinct = np.unique(hashes)
             keys.append(xxhash.xxh3_128_digest(text))
             fps.append(fingerprint(hashes))
-            samples.append(sampled_fingerprints(hashes))
-        arrays = [pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(samples, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "key", "fp", "samples"])
+            sizes.append(len(distinct))
+            stretches.append(_stretch(distinct, least) if len(distinct) >= SMALL else 1)
+        arrays = [pa.array(keys, pa.binary()), pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(stretches, pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "key", "node", "fp", "size", "stretch"])
+
+    return map_slices(as_bytes(docs, text_col, id_col), lambda: apply, "id long, key binary, node long, fp long, size long, stretch long")
 
-    return map_slices(as_bytes(docs, text_col, id_col), lambda: apply, "id long, key binary, fp long, samples array<long>")
 
+def _bucketed(docs: DataFrame, text_col: str, shingle: int, least: float, stretches: dict[int, int]) -> DataFrame:
+    """Row per text and bucket: bucket, node."""
 
-def _stars(members: DataFrame, by: list[str]) -> DataFrame:
-    """Each member of a group of two or more with the group's least key: by, key, head."""
-    heads = members.groupBy(*by).agg(F.min("key").alias("head"), F.max("key").alias("most")).where(F.col("head") < F.col("most")).drop("most")
-    return members.join(heads, by).where(F.col("key") != F.col("head"))
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(0).to_pylist()
+        found = [np.unique(buckets(np.unique(shingle_hashes(t, shingle)), least, stretches)) for t in texts]
+        nodes = np.array([int.from_bytes(xxhash.xxh3_128_digest(t)[:8], "little", signed=True) for t in texts], np.int64)
+        flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(nodes, [len(f) for f in found]))], names=["bucket", "node"])
 
+    return map_slices(as_bytes(docs, text_col), lambda: apply, "bucket long, node long")
 
-def _similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Edges key, head whose texts are at least so similar."""
-    a = texts.select("key", F.col("text").alias("a"))
-    b = texts.select(F.col("key").alias("head"), F.col("text").alias("b"))
-    pairs = edges.join(a, "key").join(b, "head").select("key", "head", "a", "b")
 
-    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = [similarity(x, y, shingle) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        return pa.RecordBatch.from_arrays(batch.columns[:2], names=["key", "head"]).filter(pa.array(good, pa.bool_()))
+def _similar(members: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Edges key, head between texts of at least that similarity, enough to connect all that they connect.
+
+    ``members`` has key, root and size. Texts of one root are compared in one task, those of several small
+    roots together; a large root is cut into parts, and each pair of parts has a task.
+    """
+    cost = F.col("size") + TEXT_COST
+    totals = members.groupBy("root").agg(F.ceil(F.sum(cost) / BLOCK_SHINGLES).alias("parts"))
+    bins = 1 + int((members.agg(F.sum(cost)).first()[0] or 0) // BLOCK_SHINGLES)
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    dealt = members.join(totals, "root").select("key", F.when(F.col("parts") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("block"), (F.col("parts") > 1).alias("cut"), part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
+    dealt = dealt.select("key", "block", "cut", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+
+    def apply(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_pylist()
+        pairs = similar_forest([np.unique(shingle_hashes(t.as_py(), shingle)) for t in table.column("text")], least)
+        return pa.table({"key": pa.array([keys[a] for a, _ in pairs], pa.binary()), "head": pa.array([keys[b] for _, b in pairs], pa.binary())})
 
-    return map_slices(pairs, lambda: apply, "key binary, head binary")
+    return dealt.join(texts, "key").groupBy("block", "cut", "i", "j").applyInArrow(apply, "key binary, head binary")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows and columns of ``docs`` with one row of each group of near-duplicates: the least id, one of repeated rows.
 
     Candidates are texts whose SimHash fingerprints are linked (two bits, through the embedding), and,
-    as that finds few texts of a similarity near 0.8, texts that share a sampled fingerprint. In a
-    group of candidates each is compared exactly with one of them; those that aren't similar to it are
-    grouped again by two sampled fingerprints. A null id counts as the largest.
+    as that finds few texts of a similarity near 0.8, texts that share a bucket, as all similar ones do.
+    What candidates connect is compared exactly. A null id counts as the largest.
     """
     last = 2**63 - 1
-    features = materialise(_features(docs, id_col, text_col, shingle).withColumn("id", F.coalesce("id", F.lit(last))))
-    nodes = materialise(features.groupBy("key").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("samples").alias("samples")))
-    by_fp = nodes.groupBy("fp").agg(F.min("key").alias("key"))
+    features = materialise(_features(docs, id_col, text_col, shingle, least).withColumn("id", F.coalesce("id", F.lit(last))))
+    nodes = materialise(features.groupBy("key").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("node", "fp", "size")]))
+    # usually none
+    stretches: dict[int, int] = {}
+    for r in features.where("stretch > 1").groupBy("size").agg(F.max("stretch").alias("stretch")).collect():
+        stretches[_class(r["size"])] = max(stretches.get(_class(r["size"]), 1), r.stretch)
+    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("least"))
     linked = links(nodes.select("fp").distinct())
-    bits = linked.join(by_fp.select(F.col("fp").alias("u"), F.col("key").alias("key")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("key").alias("head")), "v").select("key", "head")
-    same = _stars(nodes.select("fp", "key"), ["fp"]).select("key", "head")
-    members = nodes.select("key", F.posexplode("samples").alias("k", "sample"), "samples")
-    stars = materialise(_stars(members, ["k", "sample"]).select("k", "sample", F.get("samples", (F.col("k") + 1) % SAMPLES).alias("after"), "key", "head"))
-    texts = as_bytes(docs, text_col, id_col).select(F.coalesce(id_col, F.lit(last)).alias("id"), F.col(text_col).alias("text"))
-    edges = materialise(bits.unionByName(same).unionByName(stars.select("key", "head")).distinct())
-    good = None
-    for turn in range(rounds):
-        ends = edges.select("key").unionByName(edges.select(F.col("head").alias("key"))).distinct()
-        needed = nodes.select("id", "key").join(ends, "key", "left_semi")
-        found = materialise(_similar(edges, needed.join(texts, "id").select("key", "text"), shingle, least))
-        good = found if good is None else good.unionByName(found)
-        if turn + 1 < rounds:
-            stars = stars.join(found, ["key", "head"], "left_anti").drop("head")
-            edges = materialise(_stars(stars, ["k", "sample", "after"]).select("key", "head").distinct())
-            if edges.isEmpty():
-                break
+    bits = linked.join(by_fp.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
+    same = nodes.join(by_fp, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    before = F.lag("node").over(Window.partitionBy("bucket").orderBy("node"))
+    chains = _bucketed(docs, text_col, shingle, least, stretches).select(F.col("node").alias("a"), before.alias("b"))
+    candidates = bits.unionByName(same).unionByName(chains).where("a != b").distinct()
+    roots = components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    members = materialise(nodes.join(roots, "node").select("key", "root", "size"))
+    texts = _keyed(docs, text_col).join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    good = materialise(_similar(members, texts, shingle, least))
     groups = components(good.select(F.col("key").alias("u"), F.col("head").alias("v")))
     ids = groups.join(nodes.select(F.col("key").alias("node"), "id"), "node")
     best = ids.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best"))
