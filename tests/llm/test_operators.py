@@ -119,6 +119,13 @@ def test_similar_texts_share_a_bucket():
                 assert len(np.intersect1d(simhash.buckets(a, 0.8, {}), simhash.buckets(b, 0.8, {})))
 
 
+def test_texts_of_null_and_equal_ids_stay_apart(spark):
+    """Each text is compared by itself: two that only have the id and a sampled passage in common both stay."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows = [(i, f"{passage} " + " ".join(f"a{k}_{j}" for j in range(90))) for k, i in enumerate([None, None, None, 7, 7, 7])]
+    assert simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).count() == 6
+
+
 def test_bottom_k_fingerprints(spark, docs, texts):
     got = {r.doc_id: r for r in sketches.report(docs).collect()}
     ids = sorted(texts)
