@@ -128,6 +128,21 @@ def test_model_end_to_end(spark):
     assert model.grid_search(df, ["a", "b"], {"maxDepth": [1, 2], "maxIter": [2]})[0]["average_precision"] > 0.9
 
 
+def test_registered_importance_covers_all_features(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    class Rows:
+        def where(self, _):
+            return self
+
+    seen = {}
+    monkeypatch.setattr(queries, "_model_rows", lambda *_: Rows())
+    monkeypatch.setattr(queries.model, "train", lambda rows, features, **settings: seen.update(trained=features, settings=settings))
+    monkeypatch.setattr(queries.model, "permutation_importance", lambda fitted, rows, features, tried=None, repeats=2: seen.update(tried=tried or features, repeats=repeats))
+    queries.QUERIES["permutation_importance"](spark, "")
+    assert len(seen["trained"]) == len(seen["tried"]) == 244 and seen["repeats"] == 5 and not seen["settings"]
+
+
 def test_audits(spark, tables):
     df = spark.createDataFrame([(1, 1.0, "a"), (1, float("inf"), None), (2, None, "bb")], "event_id long, x double, s string")
     got = {r.column_name: r for r in audits.column_profile(df).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -78,10 +79,14 @@ def ranked(df: DataFrame, by: str) -> DataFrame:
 
 
 def permutation_importance(model: GBTClassificationModel, df: DataFrame, features: list[str], tried: list[str] | None = None, repeats: int = 2) -> DataFrame:
-    """feature, mean_drop, std_drop of average precision when a feature's values are permuted; the largest first."""
+    """feature, mean_drop, std_drop of average precision when a feature's values are permuted; the largest first.
+
+    A feature that no tree splits on changes no score, so its drops are 0 without scoring.
+    """
+    split_on = {features[int(i)] for i in re.findall(r"\bfeature (\d+)", model.toDebugString)}
     rows = df.select("event_id", "target", "sample_weight", *features).persist()
     base = average_precision(scored(model, rows, features), weight="sample_weight").first()[0] or 0.0
-    drops = [(f, base - (average_precision(scored(model, permuted(rows, f, 100 + 10 * r), features), weight="sample_weight").first()[0] or 0.0)) for f in tried or features for r in range(repeats)]
+    drops = [(f, base - (average_precision(scored(model, permuted(rows, f, 100 + 10 * r), features), weight="sample_weight").first()[0] or 0.0) if f in split_on else 0.0) for f in tried or features for r in range(repeats)]
     rows.unpersist()
     spark = df.sparkSession
     return spark.createDataFrame(drops, "feature string, dropped double").groupBy("feature").agg(F.avg("dropped").alias("mean_drop"), F.stddev_samp("dropped").alias("std_drop")).orderBy(F.desc("mean_drop"))

@@ -398,24 +398,23 @@ def recipe_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.parity(arrays, prefix, ["transactions_last_24h", "sum_amount_last_24h"])
 
 
-_MODEL_FEATURES = ["operation_amt", "transactions_last_24h", "sum_amount_last_24h", "amount_zscore", "is_new_mcc", "hour"]
+def _model_features() -> list[str]:
+    return [*history.FEATURES, *lookups.feature_names()]
 
 
 def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = labels.with_target(transactions(spark, sf_dir))
-    rows = history.history_features(tx, _MODEL_FEATURES, keep=["target", "sample_weight", "t", "phase"]).where("phase = 'train'")
-    return split.with_split(rows).persist()
+    return split.with_split(training_matrix(spark, sf_dir)).persist()
 
 
 @register("gbt_scores")
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
-    fitted = model.train(rows, _MODEL_FEATURES, maxIter=5)
-    return model.scored(fitted, rows.where("validation"), _MODEL_FEATURES).select("event_id", "target", "sample_weight", "score", "predict")
+    fitted = model.train(rows, _model_features())
+    return model.scored(fitted, rows.where("validation"), _model_features()).select("event_id", "target", "sample_weight", "score", "predict")
 
 
 @register("permutation_importance")
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
-    fitted = model.train(rows, _MODEL_FEATURES, maxIter=5)
-    return model.permutation_importance(fitted, rows.where("validation"), _MODEL_FEATURES, tried=_MODEL_FEATURES[:2], repeats=1)
+    fitted = model.train(rows, _model_features())
+    return model.permutation_importance(fitted, rows.where("validation"), _model_features(), repeats=5)
