@@ -107,16 +107,39 @@ def test_similar_documents_on_one_template(spark):
     assert {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()} == set(want.values())
 
 
-def test_similar_texts_share_a_bucket():
-    r = np.random.default_rng(3)
-    for size in [1, 2, 3, 5, 9, 40, 63, 64, 70, 95, 96, 143, 400, 1000]:
-        for _ in range(30):
-            a = np.unique(r.integers(0, 2**64, size, np.uint64))
-            gone, more = r.integers(0, size // 10 + 1), r.integers(0, size // 8 + 1)
-            b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 2**64, more, np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if both / (len(a) + len(b) - both) >= 0.8:
-                assert len(np.intersect1d(simhash.buckets(a, 0.8, {}), simhash.buckets(b, 0.8, {})))
+def test_similar_texts_share_a_rare_shingle(spark):
+    r = random.Random(3)
+    rows = []
+    for size in [1, 2, 5, 9, 12, 20, 40, 68, 100, 400]:
+        for _ in range(6):
+            words = [f"v{r.randrange(10**6)}" for _ in range(size)]
+            rows += [words, words[: size - size // 20], words[: size // 2] + ["new"] * (size // 12) + words[size // 2 :], words[:-1] + ["end"]]
+    texts = dict(enumerate(" ".join(w) for w in rows))
+    sets = {d: brute.shingles(t) for d, t in texts.items()}
+    frame = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(3)
+    found = {}
+    for p in simhash._prefixes(frame, "text", 5, 0.8, 10_000).collect():
+        found.setdefault(p.node, set()).add(p.token)
+    node = {d: simhash._node(simhash._digest(t.encode())) for d, t in texts.items()}
+    for a in texts:
+        for b in range(a):
+            if node[a] != node[b] and brute.jaccard(sets[a], sets[b]) >= 0.8:
+                assert found[node[a]] & found[node[b]]
+
+
+def test_large_groups_are_thinned_exactly(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 3000)
+    r = random.Random(21)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):  # a chain of drifting copies, some of them near the first
+        for _ in range(r.choice([0, 1, 1, 2])):
+            base[r.randrange(120)] = f"x{r.random()}"
+        rows.append(" ".join(base))
+    texts = dict(enumerate(rows))
+    sets = {d: brute.shingles(t) for d, t in texts.items()}
+    want = brute.groups(texts, lambda a, b: brute.jaccard(sets[a], sets[b]) >= 0.8)
+    assert {d.doc_id for d in simhash.deduplicate(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()} == set(want.values())
 
 
 def test_texts_of_null_and_equal_ids_stay_apart(spark):

@@ -16,12 +16,13 @@ other. Repeated rows each give a row. Where an id is null, the component takes i
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -120,27 +121,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Below so many shingles a text is found by single shingles, from there by segments; a class of sizes ends at RATIO times its start.
-SMALL, RATIO = 64, 1.5
-_BOUNDS = [SMALL]
-while _BOUNDS[-1] < 2**40:
-    _BOUNDS.append(int(_BOUNDS[-1] * RATIO))
+#: Rows and bytes of text in a slice, whose shingles travel packed together, at most (a single text may be longer).
+SLICE_TEXTS, SLICE_BYTES = 2048, 4_000_000
+#: Shingles whose holders are counted in one task, about.
+PART_SHINGLES = 4_000_000
+#: A shingle that more texts of a slice have travels once for the slice, with its number of texts.
+FREQUENT = 8
 #: Shingles that one task compares, about; a text counts as TEXT_COST more.
 BLOCK_SHINGLES, TEXT_COST = 1_000_000, 50
+#: Rounds in which large groups are thinned around a head before what is left is compared in pairs of parts.
+THINNINGS = 4
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+def _digest(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(text)
 
 
-def _class(size: int) -> int:
-    return bisect_right(_BOUNDS, size) - 1
-
-
-def _apart(size: int, least: float) -> int:
-    """Shingles that only one of two similar texts has, at most; ``size`` is the smaller one's."""
-    return int((1 / least - 1) * size + 1e-9)
+def _node(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def _prefix(size: int, least: float) -> int:
@@ -148,39 +146,6 @@ def _prefix(size: int, least: float) -> int:
     return size - math.ceil(least * size - 1e-9) + 1
 
 
-def _segments(distinct: np.ndarray, group: int, stretch: int, least: float) -> np.ndarray:
-    """A hash for each segment of hash values that has shingles of the text: of the segment and of its shingles."""
-    count = stretch * (_apart(_BOUNDS[group + 1] - 1, least) * 5 // 4 + 8)
-    at = ((distinct >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    own = np.bitwise_xor.reduceat(_mixed(distinct), starts)
-    return _mixed(own + (at[starts] + np.uint64(group << 40)) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def _stretch(distinct: np.ndarray, least: float) -> int:
-    """Least factor for the segments of the text's class with which more of them have shingles than a similar text can change."""
-    stretch = 1
-    while len(_segments(distinct, _class(len(distinct)), stretch, least)) <= _apart(len(distinct), least):
-        stretch *= 2
-    return stretch
-
-
-def buckets(distinct: np.ndarray, least: float, stretches: dict[int, int]) -> np.ndarray:
-    """Hashes one of which any two texts of at least that similarity share, from their sorted distinct shingles.
-
-    Of two texts the smaller one's class of sizes counts. Its segments of hash values are so many that
-    one which holds shingles is alike in both, as fewer shingles differ than segments hold any.
-    """
-    size = len(distinct)
-    if not size:
-        return np.zeros(1, np.uint64)
-    low, found = _class(math.ceil(least * size - 1e-9)), []
-    if low < 0:
-        found.append(_mixed(distinct[: _prefix(size, least)]))
-    found += [_segments(distinct, c, stretches.get(c, 1), least) for c in range(max(low, 0), _class(size) + 1)]
-    return np.concatenate(found)
-
-
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places of all ranges, one after the other."""
     ends = np.cumsum(lengths)
@@ -227,92 +192,270 @@ def similar_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]
     return found
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """key (digest of the text) and text of each row."""
-
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(t) for t in batch.column(0).to_pylist()], pa.binary()), batch.column(0)], names=["key", "text"])
-
-    return map_slices(as_bytes(docs, text_col).select(F.col(text_col).alias("text")), lambda: digest, "key binary, text binary")
-
-
-def _features(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
-    """id, key (digest of the text), node (its first eight bytes), fp, size (distinct shingles) and stretch of each row."""
+def _features(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """id, key (digest of the text), node (its first eight bytes), fp and size (distinct shingles) of each row."""
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, fps, sizes, stretches = [], [], [], []
+        keys, fps, sizes = [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(text, shingle)
-            distinct = np.unique(hashes)
-            keys.append(xxhash.xxh3_128_digest(text))
+            keys.append(_digest(text))
             fps.append(fingerprint(hashes))
-            sizes.append(len(distinct))
-            stretches.append(_stretch(distinct, least) if len(distinct) >= SMALL else 1)
-        arrays = [pa.array(keys, pa.binary()), pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(stretches, pa.int64())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "key", "node", "fp", "size", "stretch"])
+            sizes.append(len(np.unique(hashes)))
+        arrays = [pa.array(keys, pa.binary()), pa.array(map(_node, keys), pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "key", "node", "fp", "size"])
+
+    return map_slices(as_bytes(docs, text_col, id_col), lambda: apply, "id long, key binary, node long, fp long, size long")
+
+
+# Packed rows: of a slice (texts: its nodes, sizes, numbers of counted shingles, further shingles of small texts) or of
+# some counted shingles of a slice (hashes, owner in the slice or -1, number of texts).
+_PACKED = "part int, slice long, texts binary, hashes binary, owners binary, counts binary"
+_OWN = np.dtype([("node", "<i8"), ("size", "<i4"), ("counted", "<i4"), ("further", "<i4")])
+
+
+def _counted(hashes: np.ndarray) -> np.ndarray:
+    """Shingles whose holders are counted: half of all."""
+    return (hashes & np.uint64(1)) == 0
+
+
+def _text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    held: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if held and (len(held) >= SLICE_TEXTS or size + len(text) > SLICE_BYTES):
+                yield held
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+    if held:
+        yield held
+
+
+def _pack_shingles(docs: DataFrame, text_col: str, shingle: int, least: float, parts: int) -> DataFrame:
+    """The shingles of every slice of texts, by part of the hashes' range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _text_slices(batches):
+            distinct = sorted(set(held))
+            keys = [_digest(t) for t in distinct]
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in distinct]
+            own = np.zeros(len(sets), _OWN)
+            own["node"], own["size"] = [_node(k) for k in keys], [len(s) for s in sets]
+            counted = [s[_counted(s)] for s in sets]
+            own["counted"] = [len(c) for c in counted]
+            # of a text with few counted shingles the prefix goes on with others, in the order of their hashes
+            further = [s[~_counted(s)][: max(0, _prefix(len(s), least) - len(c))] if len(s) else np.zeros(1, np.uint64) for s, c in zip(sets, counted)]
+            own["further"] = [len(f) for f in further]
+            here = xxhash.xxh64_intdigest(b"".join(keys)) >> 1
+            flat = np.concatenate(counted)
+            owner = np.repeat(np.arange(len(sets), dtype=np.int16), own["counted"])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+            times = np.diff(np.concatenate((starts, [len(flat)])))
+            often = np.repeat(times > FREQUENT, times)
+            # what many texts have: in the slice's own row with all holders, elsewhere once
+            once = np.zeros(len(flat), bool)
+            once[starts[times > FREQUENT]] = True
+            sent = ~often | once
+            number = np.where(once, np.repeat(times, times), 1).astype(np.int32)[sent]
+            hashes, holder = flat[sent], np.where(often, -1, owner)[sent].astype(np.int16)
+            rows = [(here % parts, here, own.tobytes(), np.concatenate((flat[often], *further)).tobytes(), owner[often].tobytes(), b"")]
+            part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            cut = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                a, b = cut[p], cut[p + 1]
+                rows.append((p, here, b"", hashes[a:b].tobytes(), holder[a:b].tobytes(), number[a:b].tobytes()))
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "slice", "texts", "hashes", "owners", "counts"])
+
+    return as_bytes(docs, text_col).mapInArrow(run, _PACKED)
+
+
+def _count_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the numbers of texts in a slice by those in all slices, and drops shingles of one text. A task has all rows
+    of its parts; a shingle has at most FREQUENT entries a slice there."""
+    names = ["part", "slice", "texts", "hashes", "owners", "counts"]
+    slices_, hashes, owners, counts = [], [], [], []
+    for batch in batches:
+        of_slice = pa.array([len(t) > 0 for t in batch.column(2).to_pylist()], pa.bool_())
+        yield batch.filter(of_slice)
+        for part, here, text, h, o, c in zip(*[x.to_pylist() for x in batch.columns]):
+            if not text:
+                slices_.append(here)
+                hashes.append(np.frombuffer(h, np.uint64))
+                owners.append(np.frombuffer(o, np.int16))
+                counts.append(np.frombuffer(c, np.int32))
+    if not slices_:
+        return
+    sizes = np.array([len(h) for h in hashes])
+    flat, number = np.concatenate(hashes), np.concatenate(counts)
+    del hashes, counts
+    order = np.argsort(flat)
+    ordered = flat[order]
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    totals = np.add.reduceat(number[order].astype(np.int64), starts)
+    total = np.empty(len(flat), np.int64)
+    total[order] = np.repeat(totals, np.diff(np.concatenate((starts, [len(flat)]))))
+    ends = np.cumsum(sizes)
+    for here, a, b, o in zip(slices_, (ends - sizes).tolist(), ends.tolist(), owners):
+        keep = total[a:b] > 1
+        if keep.any():
+            row = (0, here, b"", flat[a:b][keep].tobytes(), o[keep].tobytes(), np.minimum(total[a:b][keep], 2**31 - 1).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, [pa.int32(), pa.int64(), *[pa.binary()] * 4])], names=names)
+
+
+def _slice_prefixes(own: np.ndarray, packed: bytes, owners: bytes, shared: list[tuple[bytes, bytes, bytes]], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shared shingles of the prefixes of a slice's texts, rarest first, and the nodes they belong to."""
+    values = np.frombuffer(packed, np.uint64)
+    often_owner = np.frombuffer(owners, np.int16)
+    often, further = values[: len(often_owner)], values[len(often_owner) :]
+    hashes = np.concatenate([np.frombuffer(h, np.uint64) for h, _, _ in shared] or [np.zeros(0, np.uint64)])
+    owner = np.concatenate([np.frombuffer(o, np.int16) for _, o, _ in shared] or [np.zeros(0, np.int16)]).astype(np.int64)
+    count = np.concatenate([np.frombuffer(c, np.int32) for _, _, c in shared] or [np.zeros(0, np.int32)]).astype(np.int64)
+    whole = owner < 0
+    known, at = np.unique(hashes[whole], return_index=True)
+    if len(often):
+        often_count = count[whole][at][np.searchsorted(known, often)]
+        hashes, owner, count = np.concatenate((hashes[~whole], often)), np.concatenate((owner[~whole], often_owner)), np.concatenate((count[~whole], often_count))
+    order = np.lexsort((hashes, count, owner))
+    hashes, owner = hashes[order], owner[order]
+    first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))) if len(owner) else np.zeros(0, bool)
+    hashes, owner = hashes[first], owner[first]  # equal slices come together
+    number = np.bincount(owner, minlength=len(own))
+    prefix = np.array([_prefix(n, least) if n else 0 for n in own["size"].tolist()], np.int64)
+    take = np.clip(prefix - (own["counted"] - number), 0, number)
+    place = np.arange(len(owner)) - (np.cumsum(number) - number)[owner]
+    kept = place < take[owner]
+    more = np.repeat(np.arange(len(own)), own["further"])
+    return np.concatenate((hashes[kept], further)), own["node"][np.concatenate((owner[kept], more)).astype(np.int64)]
+
+
+def _prefixes(docs: DataFrame, text_col: str, shingle: int, least: float, shingles: int) -> DataFrame:
+    """token, node: of each text the shared ones among its first shingles, in an order of all shingles by how many texts have them.
+
+    Two similar texts share one. Only half of the shingles are counted, and come first in the order.
+    """
+    parts = max(1, math.ceil(shingles / 2 / PART_SHINGLES))
+    packed = _pack_shingles(docs, text_col, shingle, least, parts).repartition(parts, "part")
+    counted = materialise(packed.mapInArrow(_count_holders, _PACKED))
 
-    return map_slices(as_bytes(docs, text_col, id_col), lambda: apply, "id long, key binary, node long, fp long, size long, stretch long")
+    def pick_first(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = next(r for r in rows if r["texts"])
+        tokens, nodes = _slice_prefixes(np.frombuffer(own["texts"], _OWN), own["hashes"], own["owners"], [(r["hashes"], r["owners"], r["counts"]) for r in rows if not r["texts"]], least)
+        return pa.table({"token": pa.array(tokens.view(np.int64)), "node": pa.array(nodes.astype(np.int64))})
 
+    return counted.groupBy("slice").applyInArrow(pick_first, "token long, node long")
 
-def _bucketed(docs: DataFrame, text_col: str, shingle: int, least: float, stretches: dict[int, int]) -> DataFrame:
-    """Row per text and bucket: bucket, node."""
 
-    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _unpacked(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [np.unique(shingle_hashes(unpack(t), shingle)) for t in column.to_pylist()]
+
+
+def _member_texts(docs: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
+    """members with their texts, compressed; one row a text."""
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(0).to_pylist()
-        found = [np.unique(buckets(np.unique(shingle_hashes(t, shingle)), least, stretches)) for t in texts]
-        nodes = np.array([int.from_bytes(xxhash.xxh3_128_digest(t)[:8], "little", signed=True) for t in texts], np.int64)
-        flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(nodes, [len(f) for f in found]))], names=["bucket", "node"])
+        squeeze = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+        return pa.RecordBatch.from_arrays([pa.array(map(_digest, texts), pa.binary()), pa.array(map(squeeze, texts), pa.binary())], names=["key", "packed"])
+
+    rows = map_slices(as_bytes(docs, text_col), lambda: pack, "key binary, packed binary").join(members.select("key"), "key", "left_semi")
+    return rows.groupBy("key").agg(F.first("packed").alias("packed")).join(members, "key")
 
-    return map_slices(as_bytes(docs, text_col), lambda: apply, "bucket long, node long")
 
+def _cost() -> Column:
+    return F.sum(F.col("size") + TEXT_COST)
 
-def _similar(members: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+
+def _thinned(texts: DataFrame, shingle: int, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """Thins roots that are too large for one task, and the edges found by that.
+
+    Every text of such a root is compared with a head. The distance 1 - similarity is a metric: a text at
+    distance d of the head, d within the limit, has only partners nearer than d + limit. Where no text lies
+    between the limit and that, all of its partners are linked to the head as it is, and it needs no further comparison.
+    """
+    limit, found = 1 - least, []
+    for _ in range(THINNINGS):
+        large = texts.groupBy("root").agg(_cost().alias("cost"), F.min("key").alias("head")).where(F.col("cost") > BLOCK_SHINGLES).select("root", "head")
+        large = materialise(large.join(texts.select(F.col("key").alias("head"), F.col("packed").alias("head_packed")), "head"))
+        if large.isEmpty():
+            break
+
+        def distance(batch: pa.RecordBatch) -> pa.RecordBatch:
+            heads, out = {}, []
+            for text, head in zip(_unpacked(batch.column(3), shingle), batch.column(4).to_pylist()):
+                if head not in heads:
+                    heads = {head: _unpacked(pa.array([head], pa.binary()), shingle)[0]}
+                own = heads[head]
+                both = len(np.intersect1d(text, own, assume_unique=True))
+                out.append(1 - both / (len(text) + len(own) - both) if len(text) + len(own) else 0.0)
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.float64())], names=["key", "root", "head", "d"])
+
+        beside = texts.join(large, "root").select("key", "root", "head", "packed", "head_packed")
+        measured = materialise(map_slices(beside, lambda: distance, "key binary, root long, head binary, d double"))
+        linked = F.col("d") <= limit + 1e-12
+        found.append(measured.where(linked & (F.col("key") != F.col("head"))).select("key", "head"))
+        beyond = measured.where(~linked).groupBy("root").agg(F.min("d").alias("beyond"))
+        done = measured.join(beyond, "root", "left").where(linked & ((F.col("d") < F.col("beyond") - limit - 1e-9) | F.col("beyond").isNull() | (F.col("key") == F.col("head")))).select("key")
+        texts = materialise(texts.join(done, "key", "left_anti"))
+    edges = None
+    for f in found:
+        edges = f if edges is None else edges.unionByName(f)
+    return texts, edges
+
+
+def _similar(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """Edges key, head between texts of at least that similarity, enough to connect all that they connect.
 
-    ``members`` has key, root and size. Texts of one root are compared in one task, those of several small
-    roots together; a large root is cut into parts, and each pair of parts has a task.
+    ``texts`` has key, root, size and packed. Texts of one root are compared in one task, those of several
+    small roots together; a root too large for that is thinned, and of what is left each pair of parts has a task.
     """
-    cost = F.col("size") + TEXT_COST
-    totals = members.groupBy("root").agg(F.ceil(F.sum(cost) / BLOCK_SHINGLES).alias("parts"))
-    bins = 1 + int((members.agg(F.sum(cost)).first()[0] or 0) // BLOCK_SHINGLES)
+    texts, edges = _thinned(texts, shingle, least)
+    totals = texts.groupBy("root").agg(F.ceil(_cost() / BLOCK_SHINGLES).alias("parts"))
+    bins = 1 + int((texts.agg(_cost()).first()[0] or 0) // BLOCK_SHINGLES)
     part = F.pmod(F.xxhash64("key"), F.col("parts"))
-    dealt = members.join(totals, "root").select("key", F.when(F.col("parts") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("block"), (F.col("parts") > 1).alias("cut"), part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
-    dealt = dealt.select("key", "block", "cut", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    dealt = texts.join(totals, "root").select(
+        "key", "packed", F.when(F.col("parts") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("block"), (F.col("parts") > 1).alias("cut"),
+        part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"),
+    )
+    dealt = dealt.select("key", "packed", "block", "cut", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
 
     def apply(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
-        pairs = similar_forest([np.unique(shingle_hashes(t.as_py(), shingle)) for t in table.column("text")], least)
+        pairs = similar_forest(_unpacked(table.column("packed"), shingle), least)
         return pa.table({"key": pa.array([keys[a] for a, _ in pairs], pa.binary()), "head": pa.array([keys[b] for _, b in pairs], pa.binary())})
 
-    return dealt.join(texts, "key").groupBy("block", "cut", "i", "j").applyInArrow(apply, "key binary, head binary")
+    compared = dealt.groupBy("block", "cut", "i", "j").applyInArrow(apply, "key binary, head binary")
+    return compared if edges is None else compared.unionByName(edges)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows and columns of ``docs`` with one row of each group of near-duplicates: the least id, one of repeated rows.
 
     Candidates are texts whose SimHash fingerprints are linked (two bits, through the embedding), and,
-    as that finds few texts of a similarity near 0.8, texts that share a bucket, as all similar ones do.
-    What candidates connect is compared exactly. A null id counts as the largest.
+    as that finds few texts of a similarity near 0.8, texts that share one of their rarest shingles, as all
+    similar ones do. What candidates connect is compared exactly. A null id counts as the largest; empty
+    texts, and texts without words, are alike; an empty table stays empty. Columns may have clashing names.
     """
     last = 2**63 - 1
-    features = materialise(_features(docs, id_col, text_col, shingle, least).withColumn("id", F.coalesce("id", F.lit(last))))
+    features = materialise(_features(docs, id_col, text_col, shingle).withColumn("id", F.coalesce("id", F.lit(last))))
     nodes = materialise(features.groupBy("key").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("node", "fp", "size")]))
-    # usually none
-    stretches: dict[int, int] = {}
-    for r in features.where("stretch > 1").groupBy("size").agg(F.max("stretch").alias("stretch")).collect():
-        stretches[_class(r["size"])] = max(stretches.get(_class(r["size"]), 1), r.stretch)
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("least"))
     linked = links(nodes.select("fp").distinct())
     bits = linked.join(by_fp.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
     same = nodes.join(by_fp, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    before = F.lag("node").over(Window.partitionBy("bucket").orderBy("node"))
-    chains = _bucketed(docs, text_col, shingle, least, stretches).select(F.col("node").alias("a"), before.alias("b"))
-    candidates = bits.unionByName(same).unionByName(chains).where("a != b").distinct()
+    prefixes = materialise(_prefixes(docs, text_col, shingle, least, features.agg(F.sum("size")).first()[0] or 0).distinct())
+    holders = prefixes.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("token", "b")
+    rare = prefixes.join(holders, "token").select(F.col("node").alias("a"), "b")
+    candidates = bits.unionByName(same).unionByName(rare).where("a != b").distinct()
     roots = components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v")))
     members = materialise(nodes.join(roots, "node").select("key", "root", "size"))
-    texts = _keyed(docs, text_col).join(members.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    good = materialise(_similar(members, texts, shingle, least))
+    good = materialise(_similar(materialise(_member_texts(docs, text_col, members)), shingle, least))
     groups = components(good.select(F.col("key").alias("u"), F.col("head").alias("v")))
     ids = groups.join(nodes.select(F.col("key").alias("node"), "id"), "node")
     best = ids.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best"))
@@ -322,7 +465,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns, text_at, id_at = docs.columns, docs.columns.index(text_col), docs.columns.index(id_col)
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in batch.column(text_at).to_pylist()]
+        keys = [_digest((t or "").encode()) for t in batch.column(text_at).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_key"])
 
     plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
