@@ -56,9 +56,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a local one of the session's own."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session (as in tests) has a folder of its own; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         session = spark.sparkContext.applicationId
         if session not in _own_dirs:
             _own_dirs[session] = tempfile.mkdtemp(prefix="tidemark-")
@@ -66,10 +68,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,20 +8,23 @@ short item, marks its words as hit. Runs of words whose neighbouring pairs no it
 streamed: no window can lie there.
 
 Null or wordless texts have no words, and such items no windows. Repeated rows each give a row; items
-with the same id count once. An item without an id is called "null".
+with the same id count once. An item without an id is called "null". Without items, or without documents, nothing is
+hit. Texts of any length are streamed whole; columns may have clashing names. With several blocks the driver and the tasks
+hold one at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, map_slices, map_whole, materialise, slices
+from tidemark.llm.common import as_bytes, map_slices, materialise, new_path, slices
 
 WINDOW = 10
 #: Bytes of item text in a block: the bound of what is broadcast.
@@ -151,13 +154,20 @@ class Block:
         return mask, items
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks; each block on its own is read by the driver, and its size is checked first."""
-    rows = as_bytes(items, text_col, id_col).select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"), text_col).where(F.length(text_col) > 0).distinct()
-    total = rows.agg(F.sum(F.length(text_col))).first()[0] or 0
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks, one at a time, at least one. No block has more bytes than ``block_bytes``, but for a single item that is longer."""
+    rows = as_bytes(items, text_col, id_col).select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"), F.col(text_col).alias("text")).where(F.length("text") > 0).distinct()
+    rows = materialise(rows.withColumn("size", F.length("text")))
+    total, longest = (x or 0 for x in rows.agg(F.sum("size"), F.max("size")).first())
     count = max(1, -(-total // block_bytes))
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("name", text_col), F.lit(count)))
-    return [[(r.name, bytes(r[text_col])) for r in numbered.where(F.col("block") == k).drop("block").select(F.col("name"), text_col).collect()] for k in range(count)]
+    while True:
+        numbered = rows.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(count)))
+        largest = numbered.groupBy("block").agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0] or 0
+        if largest <= max(block_bytes, longest):
+            break
+        count *= 2
+    for k in range(count):
+        yield [(r.name, bytes(r.text)) for r in numbered.where(F.col("block") == k).select(F.col("name"), "text").collect()]
 
 
 def _scan_block(rows: DataFrame, items: list, window: int, id_col: str) -> DataFrame:
@@ -183,23 +193,26 @@ def _scan_block(rows: DataFrame, items: list, window: int, id_col: str) -> DataF
 
 
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Row per document: id, n_words, hit_words (places of the hit words), items (sorted)."""
+    """Row per document: id, n_words, hit_words (places of the hit words), items (sorted).
+
+    With several blocks, what each finds is written before the next is read.
+    """
     blocks = item_blocks(items, block_bytes=block_bytes)
     rows = as_bytes(docs, text_col, id_col)
-    if len(blocks) == 1:
-        return _scan_block(rows, blocks[0], window, id_col)
-    keyed = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
-    ids = keyed.select("_row", id_col)
-    parts = [_scan_block(keyed.select("_row", text_col), b, window, "_row") for b in blocks]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    merged = union.groupBy("_row").agg(
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan_block(rows, first, window, id_col)
+    keyed = materialise(rows.withColumn("_at", F.monotonically_increasing_id()))
+    found = new_path(keyed.sparkSession)
+    for number, block in enumerate(itertools.chain((first, second), blocks)):
+        part = _scan_block(keyed.select("_at", text_col), block, window, "_at")
+        part.where(F.size("hit_words") > 0 if number else F.lit(True)).write.mode("append").parquet(found)  # the first has all rows
+    merged = keyed.sparkSession.read.parquet(found).groupBy("_at").agg(
         F.max("n_words").alias("n_words"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return ids.join(merged, "_row").drop("_row")
+    return keyed.select("_at", id_col).join(merged, "_at").drop("_at")
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -215,13 +228,12 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
-def clean_text(text: str, places: list[np.ndarray], coverage: float) -> str | None:
+def clean_text(text: str, places: list[int], coverage: float) -> str | None:
     """The text without its hit spans; None if they cover too much of it."""
     raw = text.encode()
     spans = [m.span() for m in _WORD.finditer(raw.translate(_WORD_BYTES))]
     hit = np.zeros(len(spans), bool)
-    for p in places:
-        hit |= p
+    hit[places] = True
     if hit.sum() >= coverage * len(hit):
         return None
     edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).tolist()
@@ -234,41 +246,44 @@ def clean_text(text: str, places: list[np.ndarray], coverage: float) -> str | No
 
 def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows and columns of ``docs``: hit spans are cut out of the texts, and rows whose hit words
-    reach the coverage limit go; n_chars, if there, follows. With several blocks of items, the
-    blocks' automata are built one at a time a task."""
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(items, block_bytes=block_bytes)]
-    at = docs.columns.index(text_col)
-    count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    reach the coverage limit go; n_chars, if there, follows."""
+    columns = docs.columns
+    at = columns.index(text_col)
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
+    count_at = columns.index("n_chars") if "n_chars" in columns else None
+    blocks = item_blocks(items, block_bytes=block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        shared, found = docs.sparkSession.sparkContext.broadcast(first), plain
+    else:
+        shared, keyed = None, materialise(plain.withColumn("_row", F.monotonically_increasing_id()))
+        hits = scan(keyed, items, "_row", f"_c{at}", window, block_bytes).where(F.size("hit_words") > 0)
+        found = keyed.join(hits.select("_row", "hit_words"), "_row", "left").drop("_row")
 
     def run(batches):
-        built = [Block(s.value, window) for s in shared] if len(shared) == 1 else None
-        for batch in slices(batches, 256 if built else 4096):
+        block = Block(shared.value, window) if shared else None
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
-            words = [words_of((t or "").encode()) for t in texts]
-            masks: dict[int, list] = {}
-            for k in range(len(shared)):
-                block = built[k] if built else Block(shared[k].value, window)
-                for i, w in enumerate(words):
-                    mask, _ = block.hits(w)
-                    if mask is not None:
-                        masks.setdefault(i, []).append(mask)
-            keep = []
-            for i, found in masks.items():
-                texts[i] = clean_text(texts[i], found, coverage)
-                if texts[i] is None:
-                    keep.append(i)
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            if count_at is not None:
-                counts = batch.column(count_at).to_pylist()
-                for i in masks:
-                    counts[i] = None if texts[i] is None else len(texts[i])
-                columns[count_at] = pa.array(counts, batch.schema.field(count_at).type)
-            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            if keep:
-                stay = np.ones(len(texts), bool)
-                stay[keep] = False
-                out = out.filter(pa.array(stay))
-            yield out
-
-    return map_whole(docs, run)
+            hit_words = [None] * len(texts) if shared else batch.column(len(columns)).to_pylist()
+            stay, changed = np.ones(len(texts), bool), []
+            for i, text in enumerate(texts):
+                if shared:
+                    mask, _ = block.hits(words_of((text or "").encode()))
+                    places = None if mask is None else np.flatnonzero(mask)
+                else:
+                    places = hit_words[i]
+                if places is not None and len(places):
+                    texts[i] = clean_text(text, places, coverage)
+                    stay[i] = texts[i] is not None
+                    changed.append(i)
+            out = list(batch.columns[: len(columns)])
+            if changed:
+                out[at] = pa.array(texts, batch.schema.field(at).type)
+                if count_at is not None:
+                    counts = batch.column(count_at).to_pylist()
+                    for i in changed:
+                        counts[i] = None if texts[i] is None else len(texts[i])
+                    out[count_at] = pa.array(counts, batch.schema.field(count_at).type)
+            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names[: len(columns)]).filter(pa.array(stay))
+
+    return found.mapInArrow(run, plain.schema).toDF(*columns)
