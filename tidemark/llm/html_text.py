@@ -1,16 +1,18 @@
-"""Main text of web pages by differencing each page with the one of the nearest URL on its host.
-
-Pages are sorted by host, then URL path. A page is paired with the page before it on its host (the
-first of a host with the page after it). Its text lines (one a block element) are aligned with the
-other page's by longest common subsequence, and shared lines are deleted. Lines in elements that are
-never article text (menus, forms, scripts, adverts and so on) go at once. On a page with an article or
-main element nothing outside it stays, and a line inside it is template only if it is also shared
-with a second page of the host (the one on the other side, at the ends of a host the next but one), as
-articles quote and copy each other. A page that shares at least nine lines in ten with another is
-its copy, and loses none to it.
-
-Null pages are empty; an empty page has an empty text. Pages without a host are not paired; neither are pages with one URL. Repeated rows
-each give a row.
+"""Main text of web pages by differencing each page with those of the nearest URLs on its host.
+
+Pages are sorted by host, then URL path, and a page's neighbours are the two other URLs before and the
+two after its own on its host. Of these the nearest is the one on either side with the longest common
+path. The page's text lines (one a block element) are aligned with the nearest page's by longest common
+subsequence; shared lines that the other neighbours have too are template and are deleted. Markup
+decides only what has a name of its own: menus, footers, forms, scripts, adverts, notices, comments and
+so on go at once, and the lines of an article or main element stay, since articles quote and copy each
+other. All other lines are decided by the alignment; where a page has no neighbours it decides
+nothing, and then only the article's lines stay if there is an article.
+
+Null pages are empty, and an empty page has an empty text. Pages without a host have no neighbours.
+Rows of one URL have the same neighbours, never each other, so that equal rows get equal texts; a URL
+with several rows is represented by one of them, the least by id, then text. A table without rows gives none. Lines of
+any length and pages of any size are taken whole; columns may have clashing names.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_slices, pick
 from tidemark.llm.sketches import range_of
 
-COPY_SHARE = 0.9
-#: Pages in a range of URLs, about.
-RANGE_PAGES = 20_000
+#: Pages and characters in a range of URLs, about, and ranges at most: their bounds pass through the driver.
+RANGE_PAGES, RANGE_CHARS, RANGES = 20_000, 64_000_000, 4096
+#: Neighbours on each side.
+BESIDE = 2
 
 # HTML elements and words in class, id and role that are never article text.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video", "xmp"}
@@ -140,27 +143,48 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(head), *reversed(found), *range(len(a) - tail, len(a))]
 
 
-def template(hashes: list[int], other: list[int] | None) -> set[int]:
-    """Places of the lines shared with another page; none where the pages are copies."""
-    shared = set(common_lines(hashes, other)) if other else set()
-    return shared if len(shared) < COPY_SHARE * max(len(hashes), len(other or ())) else set()
-
-
-def main_text(lines: list[str], inside: list[bool], hashes: list[int], other: list[int] | None, second: list[int] | None = None) -> str:
-    marked = any(inside)
-    shared = template(hashes, other)
-    if marked and shared:
-        shared &= template(hashes, second)
-    return " ".join(t for i, (t, own) in enumerate(zip(lines, inside)) if i not in shared and (own or not marked))
-
-
-def _ghost_keys(ends: list[list[str]]) -> list[tuple[str, int]]:
-    """(key, range) of the two keys on either side of each range; ``ends`` has the outer keys of the ranges in order."""
-    out = []
-    for to in range(len(ends)):
-        before = [k for keys in ends[max(0, to - 2) : to] for k in keys][-2:]
-        after = [k for keys in ends[to + 1 : to + 3] for k in keys][:2]
-        out += [(k, to) for k in before + after]
+def template(hashes: list[int], others: list[list[int]]) -> set[int]:
+    """Places of the lines that align with the first of some pages and that all the others have."""
+    if not others:
+        return set()
+    shared = set(common_lines(hashes, others[0]))
+    for other in others[1:]:
+        known = set(other)
+        shared = {i for i in shared if hashes[i] in known}
+    return shared
+
+
+def nearest_first(key: str, before: list[dict], after: list[dict]) -> list[list[int]]:
+    """Lines of the neighbours, the one with the longest common path with the page first; both sides are nearest first."""
+
+    def common(other: dict) -> int:
+        n = 0
+        for x, y in zip(key, other["key"]):
+            if x != y:
+                break
+            n += 1
+        return n
+
+    sides = [before, after] if not after or (before and common(before[0]) >= common(after[0])) else [after, before]
+    return [n["hashes"] for side in sides for n in side]
+
+
+def kept_lines(inside: list[bool], hashes: list[int], others: list[list[int]]) -> list[bool]:
+    gone = template(hashes, others)
+    bare = not others and any(inside)
+    return [own or (i not in gone and not bare) for i, own in enumerate(inside)]
+
+
+def _ghosts(ends: dict[int, tuple[list[str], list[str]]]) -> list[tuple[str, int]]:
+    """(key, range) of the keys that are sent to each range: its neighbours on both sides; ``ends`` has the three outer keys of each range."""
+    keys, out, seen = sorted({k for low, high in ends.values() for k in (*low, *high)}), [], set()
+    for to in sorted(ends):
+        first, last = min(ends[to][0]), max(ends[to][1])
+        at, end = bisect_left(keys, first), bisect_left(keys, last) + 1
+        out += [(k, to) for k in (*keys[max(0, at - BESIDE) : at], *keys[end : end + BESIDE])]
+        if first in seen:  # a URL in several ranges has one representative
+            out.append((first, to))
+        seen.update((first, last))
     return out
 
 
@@ -177,50 +201,65 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return map_slices(pages, lambda: apply, f"{kept}, lines array<string>, inside array<boolean>, hashes array<long>")
 
 
-def _sort_key(url: Column, page_id: Column) -> tuple[Column, Column]:
-    """Host, and a key in the order of host, path, URL and page."""
+def _host_and_key(url: Column) -> tuple[Column, Column]:
+    """Host, and a key in the order of host, path and URL."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return host, F.concat_ws("\u0001", host, path, url, F.lpad(page_id.cast("string"), 20, "0"))
+    return host, F.concat_ws("\u0001", host, path, url)
+
+
+def _neighbours(df: DataFrame, descending: bool, name: str) -> DataFrame:
+    """Adds an array of the up to two other keys before each row's own (after it if descending), nearest first."""
+    order = Window.partitionBy("range").orderBy(F.desc("key") if descending else F.asc("key"), "tie", "tie2")
+    past, up_to = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    near = F.struct("host", "key", "hashes")
+    opens = ~F.lag("key").over(order).eqNullSafe(F.col("key"))
+    found = df.withColumn("_opens", opens)
+    found = found.withColumn("_own", F.when(F.col("_opens"), near))
+    found = found.withColumn("_one", F.when(F.col("_opens"), F.last("_own", True).over(past)))
+    found = found.withColumn("_two", F.when(F.col("_opens"), F.last("_one", True).over(past)))
+    sides = F.array(F.last("_one", True).over(up_to), F.last(F.when(F.col("_opens"), F.coalesce(F.col("_two"), F.col("_one"))), True).over(up_to))
+    return found.withColumn(name, F.filter(F.array_distinct(F.array_compact(sides)), lambda n: n["host"] == F.col("host"))).drop("_opens", "_own", "_one", "_two")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_pages: int = RANGE_PAGES) -> DataFrame:
-    """Row per page: id, url, text, n_chars.
+    """Row per page: id, url, text, n_chars, n_lines (outside of what goes at once), n_deleted (of these).
 
-    The order is cut into ranges of keys of about equal counts. The last two pages of each range are also
-    sent to the next range and the first two to the one before, so that each range is complete.
+    The order is cut into ranges of about equal counts, a URL with very many rows into several. One row of each of the two URLs on
+    either side of a range is also sent to it, so that each range is complete; rows without a host go to any range.
     """
     spark = pages.sparkSession
-    host, key = _sort_key(F.coalesce(url_col, F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = pick(pages, id_col, url_col, html_col).select(id_col, url_col, F.col(html_col).alias("html"), host.alias("host"), key.alias("key"))
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // range_pages))
-    cuts = rows.select("key").repartitionByRange(parts, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("key"))
-    bounds = sorted({r.key for r in cuts.collect()})[1:]  # as many keys as ranges
-    ranged = rows.withColumn("range", range_of(F.col("key"), bounds, "￿") if bounds else F.lit(0)).withColumn("ghost", F.lit(False))
-    edges = ranged.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    inner = ranged.select("range", "key").join(F.broadcast(edges), "range").where((F.col("key") > F.col("low")) & (F.col("key") < F.col("high")))
-    ends: dict[int, set[str]] = {}  # at most four keys a range
-    for r in [*edges.collect(), *inner.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()]:
-        ends.setdefault(r["range"], set()).update((r.low, r.high))
-    order_of = sorted(ends)
-    sent = spark.createDataFrame([(k, order_of[to]) for k, to in _ghost_keys([sorted(ends[r]) for r in order_of])], "edge string, to int")
-    ghosts = ranged.join(F.broadcast(sent), F.col("key") == F.col("edge")).withColumn("range", F.col("to")).withColumn("ghost", F.lit(True)).select(*ranged.columns)
-    order = Window.partitionBy("range").orderBy("key", "ghost")
-    near = F.struct("host", "url", "hashes")
-    parsed = _parsed(ranged.select(F.col(id_col), F.col(url_col).alias("url"), "html", "host", "key", "range", "ghost")).unionByName(
-        _parsed(ghosts.select(F.col(id_col), F.col(url_col).alias("url"), "html", "host", "key", "range", "ghost")).withColumn("lines", F.array().cast("array<string>"))
-    )
-    beside = parsed.select("*", *[f(near, n).over(order).alias(f"{c}{n}") for c, f in (("before", F.lag), ("after", F.lead)) for n in (1, 2)]).where("NOT ghost")
-
-    def fits(c: str) -> Column:
-        return (F.col("host") != "") & (F.col(f"{c}.host") == F.col("host")) & ~F.col(f"{c}.url").eqNullSafe(F.col("url"))
-
-    beside = beside.withColumn("first", F.when(fits("before1"), F.col("before1")).when(fits("after1"), F.col("after1")))
-    seconds = [F.when(fits(c) & ~F.col(f"{c}.url").eqNullSafe(F.col("first.url")), F.col(f"{c}.hashes")) for c in ("after1", "before2", "after2")]
-    paired = beside.select(id_col, "url", "lines", "inside", "hashes", F.col("first.hashes").alias("other"), F.coalesce(*seconds).alias("second"))
+    host, key = _host_and_key(F.coalesce(url_col, F.lit("")))
+    rows = pick(pages, id_col, url_col, html_col).select(id_col, F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), key.alias("key"))
+    rows = rows.withColumn("tie", F.lpad(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 20, "0")).withColumn("tie2", F.xxhash64("html"))
+    total = rows.agg(F.count("*"), F.sum(F.length("html"))).first()
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total[0] // range_pages), -(-(total[1] or 0) // RANGE_CHARS))
+    parts = min(RANGES, wanted)
+    place = F.concat_ws("\u0002", "key", "tie")
+    hosted = rows.where("host != ''")
+    cuts = hosted.select(place.alias("place")).repartitionByRange(parts, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("place"))
+    bounds = sorted({r.place for r in cuts.collect()})[1:]  # fewer than parts
+    anywhere = F.pmod(F.xxhash64("key", "tie"), F.lit(parts)).cast("int")
+    own_range = range_of(place, bounds, "\uffff") if bounds else F.lit(0)
+    ranged = rows.withColumn("range", F.when(F.col("host") == "", anywhere).otherwise(own_range)).withColumn("ghost", F.lit(False))
+    sets = ranged.where("host != ''").groupBy("range").agg(F.sort_array(F.collect_set("key")).alias("keys")).select("range", F.slice("keys", 1, 3).alias("low"), F.slice(F.reverse("keys"), 1, 3).alias("high"))
+    sent = spark.createDataFrame(_ghosts({r["range"]: (r["low"], r["high"]) for r in sets.collect()}), "edge string, to int")
+    names = [id_col, "url", "html", "host", "key", "tie", "tie2"]
+    ghosts = ranged.join(F.broadcast(sent), F.col("key") == F.col("edge")).groupBy("to", "edge").agg(F.min_by(F.struct(*names), F.struct("tie", "tie2")).alias("one"))
+    ghosts = ghosts.select("one.*", F.col("to").alias("range"), F.lit(True).alias("ghost")).withColumn("tie", F.lit(""))
+    parsed = _parsed(ranged).unionByName(_parsed(ghosts.select(*ranged.columns)).withColumn("lines", F.array().cast("array<string>")))
+    beside = _neighbours(_neighbours(parsed.repartition(parts, "range"), False, "before"), True, "after").where("NOT ghost")
+    side = F.array().cast("array<struct<host:string,key:string,hashes:array<bigint>>>")
+    paired = beside.select(id_col, "url", "key", "lines", "inside", "hashes", *[F.when(F.col("host") != "", F.col(c)).otherwise(side).alias(c) for c in ("before", "after")])
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(*x) for x in zip(*[batch.column(i).to_pylist() for i in range(2, 7)])]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
-
-    return map_slices(paired, lambda: apply, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, {url_col} string, text string, n_chars long")
+        texts, deleted, count = [], [], []
+        for key, lines, inside, hashes, before, after in zip(*[batch.column(i).to_pylist() for i in range(2, 8)]):
+            keep = kept_lines(inside, hashes, nearest_first(key, before, after))
+            texts.append(" ".join(t for t, k in zip(lines, keep) if k))
+            count.append(len(lines))
+            deleted.append(len(lines) - sum(keep))
+        arrays = [pa.array(texts, pa.string()), *[pa.array(c, pa.int64()) for c in (map(len, texts), count, deleted)]]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=[id_col, url_col, "text", "n_chars", "n_lines", "n_deleted"])
+
+    return map_slices(paired, lambda: apply, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, {url_col} string, text string, n_chars long, n_lines long, n_deleted long")
