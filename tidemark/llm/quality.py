@@ -1,25 +1,28 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams, one of target text (labelled good and not toxic) and one
-of raw text (all labelled rows), give each document a log importance: the sum, over its distinct
-n-grams, of the log ratio of the share of target documents that have the n-gram to the share of raw
-documents that do. N-grams are words, word pairs, word shapes and shape pairs, and marks for
-repetition. Only n-grams that speak clearly against the target count, so length alone does not sink a
-document. Documents below a threshold, set on held-out labelled rows, are rejected; a sample of
-given size is drawn by Gumbel top-k: the k largest sums of log importance and Gumbel noise, which
-comes from a hash of the id.
-
-The models are fitted on a bounded sample of labelled rows (``sample_rows``), chosen by a hash of the
-id; scores, decisions and the sample cover all rows. Null and empty texts have no n-grams and score 0. Labels
-that are null count as not toxic, and as of good quality. Without labels nothing is rejected. Repeated rows each give a
-row with the same key.
+Two generative models of hashed n-grams (words and word pairs in a fixed number of buckets), one of
+target text (labelled good and not toxic) and one of raw text (all documents), give each document its
+log importance: the sum of the log ratios of its n-grams' shares in target and raw text. A sample
+of given size is drawn by Gumbel top-k: the k largest sums of log importance and Gumbel noise,
+which comes from a hash of the id; equal keys go by the smaller id, rows equal in both all stay.
+
+Which documents are rejected is decided by evidence against the target alone, so that length or an
+unusual topic do not sink a document: the sum, over its distinct n-grams (words, pairs, word shapes, shape
+pairs, marks of repetition), of those log ratios of labelled target rows over all labelled rows that
+speak clearly against the target. The threshold is set on held-out labelled rows.
+
+The target model, the evidence and the threshold are fitted on a bounded sample of labelled rows
+(``sample_rows``), chosen by a hash of the id; the raw model counts all documents, and scores, decisions and the
+sample cover all rows and whole texts. Null and empty texts have no n-grams and score 0. Labels that are null count as
+not toxic, and as of good quality; of several labels of an id the worst counts. Without labels of both kinds nothing is rejected and all
+score 0. Repeated rows each give a row with the same key; an empty table gives none. Columns may have clashing names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from tidemark.llm.simhash import shingle_hashes
 #: Labelled rows that the models are fitted on, at most about; one in five is held out for the threshold.
 SAMPLE_ROWS = 20_000
 HELD_OUT = 5
-#: An n-gram counts if at least so many rejected rows have it and its log ratio is at most this.
+#: An n-gram is evidence if at least so many rejected rows have it and its log ratio is at most this.
 LEAST_ROWS, CLEAR = 5, -1.2
 #: Share of the held-out target rows that the threshold may reject.
 LOST = 0.003
@@ -41,26 +44,131 @@ LOST = 0.003
 SHARE = 0.5
 BINS = 4096
 
-_SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else 32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
-_RUN = re.compile(rb"([^\s])\1+")
-_EDGE = string.punctuation.encode()
-
-
-def ngrams(text: bytes) -> set[int]:
-    """Hashes (63 bits) of a text's distinct n-grams."""
-    words = text.split()
-    plain = [w.strip(_EDGE) for w in text.lower().split()]
-    found = {b"w" + w for w in plain}
-    found.update(b"p" + a + b" " + b for a, b in zip(plain, plain[1:]))
-    shapes = _RUN.sub(rb"\1", text.translate(_SHAPE)).split()
-    found.update(b"s" + s for s in set(shapes))
-    found.update(b"t" + a + b" " + b for a, b in set(zip(shapes, shapes[1:])))
-    if any(a == b == c for a, b, c in zip(words, words[1:], words[2:])):
-        found.add(b"r3")
-    if len(words) >= 20:
-        found.add(b"d%d" % (10 * len(set(words)) // len(words)) if len(words) < 200 else b"D%d" % (10 * len(set(words)) // len(words)))
-    hash_of = xxhash.xxh3_64_intdigest
-    return {hash_of(f) >> 1 for f in found}
+#: Buckets of the generative models.
+BUCKETS = 1 << 16
+#: Bytes whose characters are hashed at once; words are never cut.
+CHUNK = 1 << 20
+
+_SPACES = b" \t\n\r\x0b\x0c"
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_SHAPE = np.array([97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else b for b in range(256)], np.uint8)
+_IS_SPACE = np.isin(np.arange(256), list(_SPACES))
+_IS_EDGE = np.isin(np.arange(256), list(string.punctuation.encode()))
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of one kind of n-gram, from numbers."""
+    x = (x ^ np.uint64(kind)) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+class Powers:
+    """Powers of the base of a polynomial hash modulo 2^64, and of its inverse."""
+
+    def __init__(self, count: int):
+        self.up, self.down = (self._of(b, count) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+    @staticmethod
+    def _of(base: int, count: int) -> np.ndarray:
+        out = np.full(count, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    def hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of pieces of ``raw``; equal pieces have equal ones."""
+        if len(raw) > len(self.up):
+            self.__init__(2 * len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=sums[1:])
+        return (sums[ends] - sums[starts]) * self.down[np.minimum(starts, len(raw) - 1)]
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def _words(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the lower-cased words without punctuation at their edges; a word of punctuation only is empty."""
+    starts, ends = _runs(~_IS_SPACE[raw])
+    letters = np.flatnonzero(~_IS_EDGE[raw] & ~_IS_SPACE[raw])
+    if len(letters):
+        first = letters[np.minimum(np.searchsorted(letters, starts), len(letters) - 1)]
+        last = letters[np.maximum(np.searchsorted(letters, ends) - 1, 0)] + 1
+        empty = (first >= ends) | (last <= starts)
+        first, last = np.where(empty, starts, first), np.where(empty, starts, last)
+    else:
+        first = last = starts
+    return starts, powers.hashes(_LOWER[raw], first, last)
+
+
+def _shapes(raw: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words' shapes: classes of characters, runs of one class as one."""
+    shape = _SHAPE[raw]
+    kept = np.flatnonzero(np.concatenate(([True], shape[1:] != shape[:-1])) | _IS_SPACE[raw])
+    short = shape[kept]
+    starts, ends = _runs(~_IS_SPACE[short])
+    return kept[starts], powers.hashes(short, starts, ends)
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about CHUNK bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        end = at + CHUNK
+        while end < len(text) and text[end] not in _SPACES:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+class Grams:
+    """N-grams of some texts: word, pair, shape and shape-pair hashes, each with the number of its text."""
+
+    def __init__(self, texts: list[bytes], powers: Powers, shapes: bool = True):
+        joined = b"\n".join(texts)
+        opens = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        found: list[list] = [[], [], [], []]
+        at = 0
+        for piece in _pieces(joined):
+            raw = np.frombuffer(piece, np.uint8)
+            for k, of in ((0, _words), (2, _shapes))[: 2 if shapes else 1]:
+                starts, hashes = of(raw, powers)
+                found[k].append(starts + at)
+                found[k + 1].append(hashes)
+            at += len(piece)
+        start, self.word, shape_start, shape = (np.concatenate([*f, np.zeros(0, np.uint64 if k % 2 else np.int64)]) for k, f in enumerate(found))
+        self.texts = len(texts)
+        self.word_text = np.searchsorted(opens, start, "right") - 1
+        self.pair_text, self.pair = self._paired(self.word_text, self.word)
+        self.shape_text, self.shape = np.searchsorted(opens, shape_start, "right") - 1, shape
+        self.shape_pair_text, self.shape_pair = self._paired(self.shape_text, shape)
+
+    @staticmethod
+    def _paired(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        same = text[1:] == text[:-1]
+        return text[1:][same], (hashes[:-1][same] * np.uint64(_BASE)) ^ (hashes[1:][same] >> np.uint64(1))
+
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and bucket of each word and pair, repeats included."""
+        values = np.concatenate((_mixed(self.word, 1), _mixed(self.pair, 2)))
+        return np.concatenate((self.word_text, self.pair_text)), (values >> np.uint64(48)).astype(np.int64)
+
+    def evidence(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and hash (63 bits) of all n-grams that may speak against the target; not distinct."""
+        again = (self.word[2:] == self.word[:-2]) & (self.word[1:-1] == self.word[:-2]) & (self.word_text[2:] == self.word_text[:-2]) if len(self.word) > 2 else np.zeros(0, bool)
+        thrice = np.unique(self.word_text[2:][again]) if len(again) else np.zeros(0, np.int64)
+        order = np.lexsort((self.word, self.word_text))
+        text, word = self.word_text[order], self.word[order]
+        new = np.concatenate(([True], (text[1:] != text[:-1]) | (word[1:] != word[:-1]))) if len(text) else np.zeros(0, bool)
+        words, distinct = np.bincount(text, minlength=self.texts), np.bincount(text[new], minlength=self.texts)
+        many = np.flatnonzero(words >= 20)
+        tenth = 10 * distinct[many] // words[many] + np.where(words[many] < 200, 0, 16)
+        parts = [(self.word_text, self.word, 3), (self.pair_text, self.pair, 4), (self.shape_text, self.shape, 5), (self.shape_pair_text, self.shape_pair, 6), (thrice, np.zeros(len(thrice), np.uint64), 7), (many, tenth.astype(np.uint64), 8)]
+        return np.concatenate([t for t, _, _ in parts]), np.concatenate([_mixed(h, k) for _, h, k in parts]) >> np.uint64(1)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int) -> DataFrame:
@@ -98,43 +206,102 @@ def one_of_each(rows: DataFrame) -> DataFrame:
     return rows.join(left.select("row"), "row", "left_semi")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[dict[int, float], float]:
-    """Weights of the n-grams that count, and the threshold. The driver gets the weights only: at most the
-    sample's n-grams over LEAST_ROWS."""
+def _bucket_counts(rows: DataFrame) -> np.ndarray:
+    """Words and pairs in each bucket over all rows of a text column (bytes): sums a task, then over all tasks; as many numbers as buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, sums = Powers(CHUNK), np.zeros(BUCKETS, np.int64)
+        for batch in slices(batches):
+            sums += np.bincount(Grams(batch.column(0).to_pylist(), powers, False).buckets()[1], minlength=BUCKETS)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
+def _evidence_counts(fitted: DataFrame) -> DataFrame:
+    """gram, target, other: how many target rows and other rows have each n-gram."""
+
+    def make():
+        powers = Powers(CHUNK)
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            text, gram = Grams(batch.column(1).to_pylist(), powers).evidence()
+            order = np.lexsort((text, gram))
+            text, gram = text[order], gram[order]
+            new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (text[1:] != text[:-1]))) if len(gram) else np.zeros(0, bool)
+            text, gram = text[new], gram[new]
+            target = np.array(batch.column(0).to_pylist(), bool)[text]
+            first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+            sums = [np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for x in (target, ~target)]
+            return pa.RecordBatch.from_arrays([pa.array(gram[first].astype(np.int64)), *map(pa.array, sums)], names=["gram", "target", "other"])
+
+        return apply
+
+    counts = map_slices(fitted, make, "gram long, target long, other long")
+    return counts.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("other").alias("other"))
+
+
+class Model:
+    """Log ratios of the buckets, the n-grams that speak against the target (sorted) with their weights, and the least evidence that is kept."""
+
+    def __init__(self, ratios: np.ndarray, grams: np.ndarray, weights: np.ndarray, cut: float = -math.inf):
+        self.ratios, self.grams, self.weights, self.cut = ratios, grams, weights, cut
+
+    def score(self, texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+        """Log importance and evidence of each text."""
+        grams = Grams(texts, powers, len(self.grams) > 0)
+        text, bucket = grams.buckets()
+        importance = np.bincount(text, self.ratios[bucket], len(texts)).astype(float)
+        if not len(self.grams):
+            return importance, np.zeros(len(texts))
+        text, gram = grams.evidence()
+        place = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        hit = self.grams[place] == gram
+        pairs = np.unique(text[hit] * len(self.grams) + place[hit])
+        return importance, np.bincount(pairs // len(self.grams), self.weights[pairs % len(self.grams)], len(texts)).astype(float)
+
+
+def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log ratio of the shares of each bucket; the target's are smoothed towards the raw text's."""
+    share = (raw + 1.0) / (raw.sum() + len(raw))
+    return np.log((target + len(raw) * share) / (target.sum() + len(raw)) / share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The models. The driver gets the bucket counts and the n-grams that count: at most the sample's n-grams over LEAST_ROWS."""
     rows = materialise(labelled(docs, labels, id_col, text_col, sample_rows).withColumn("row", F.monotonically_increasing_id()))
     fitted = materialise(one_of_each(rows.where("NOT held")))
     sizes = {r.target: r["count"] for r in fitted.groupBy("target").count().collect()}
     n_target, n_other = sizes.get(True, 0), sizes.get(False, 0)
     if not n_target or not n_other:
-        return {}, -math.inf
+        return Model(np.zeros(BUCKETS), np.zeros(0, np.uint64), np.zeros(0))
+    ratios = log_ratios(_bucket_counts(fitted.where("target").select("text")), _bucket_counts(as_bytes(docs, text_col)))
+    ratio = F.log((F.col("target") + 0.5) / (n_target + 1)) - F.log((F.col("target") + F.col("other") + 0.5) / (n_target + n_other + 1))
+    found = _evidence_counts(fitted.select("target", "text")).where(F.col("other") >= LEAST_ROWS).select("gram", ratio.alias("w")).where(F.col("w") <= CLEAR).orderBy("gram").collect()
+    model = Model(ratios, np.array([r.gram for r in found], np.uint64), np.array([r.w for r in found], float))
+    held = sorted(r.evidence for r in _scores(rows.where("held AND target").select(F.lit(0).alias("id"), "text"), model, "id").collect())
+    # just below what the allowed share of held-out target rows has, and never so high that one weak n-gram is enough
+    model.cut = min((held[int(LOST * len(held))] if held else 0.0) - 1e-9, CLEAR)
+    return model
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums: dict[int, list[int]] = {}
-        for target, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for g in ngrams(text):
-                sums.setdefault(g, [0, 0])[0 if target else 1] += 1
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1] for s in sums.values()], pa.int64())], names=["gram", "target", "other"])
 
-    counts = map_slices(fitted.select("target", "text"), lambda: count, "gram long, target long, other long")
-    sums = counts.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("other").alias("other"))
-    ratio = F.log((F.col("target") + 0.5) / (n_target + 1)) - F.log((F.col("target") + F.col("other") + 0.5) / (n_target + n_other + 1))
-    found = sums.where(F.col("other") >= LEAST_ROWS).select("gram", ratio.alias("w")).where(F.col("w") <= CLEAR).collect()
-    weights = {r.gram: r.w for r in found}
-    held = sorted(r.score for r in _scores(rows.where("held AND target").select(F.lit(0).alias("id"), "text"), weights, "id").collect())
-    # just below what the allowed share of held-out target rows scores, and never so high that one weak n-gram is enough
-    cut = held[int(LOST * len(held))] if held else 0.0
-    return weights, min(cut - 1e-9, CLEAR)
+def _scores(rows: DataFrame, model: Model, id_col: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    def make():
+        powers = Powers(CHUNK)
 
-def _scores(rows: DataFrame, weights: dict[int, float], id_col: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            importance, evidence = shared.value.score(batch.column(1).to_pylist(), powers)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(importance), pa.array(evidence)], names=[id_col, "score", "evidence"])
 
-    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = shared.value
-        scores = [sum(known[g] for g in sorted(known.keys() & ngrams(t))) if known else 0.0 for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(scores, float))], names=[id_col, "score"])
+        return apply
 
-    return map_slices(rows, lambda: apply, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, score double")
+    return map_slices(rows, make, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, score double, evidence double")
 
 
 def gumbel(id_col: str, seed: int) -> F.Column:
@@ -162,10 +329,10 @@ def kth_largest(df: DataFrame, key: str, tie: str, k: int) -> tuple[float, objec
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> DataFrame:
-    """Row per document: id, score (log importance), keep (not rejected), gumbel_key, sampled (among the top share by key)."""
-    weights, cut = fit(docs, labels, id_col, text_col, sample_rows)
-    scored = _scores(as_bytes(docs, text_col, id_col), weights, id_col)
-    keyed = materialise(scored.select(id_col, "score", (F.col("score") >= cut).alias("keep"), (F.col("score") + gumbel(id_col, seed)).alias("gumbel_key")))
+    """Row per document: id, score (log importance), evidence (against the target), keep (not rejected), gumbel_key, sampled (among the top share by key)."""
+    model = fit(docs, labels, id_col, text_col, sample_rows)
+    scored = _scores(as_bytes(docs, text_col, id_col), model, id_col)
+    keyed = materialise(scored.select(id_col, "score", "evidence", (F.col("evidence") >= model.cut).alias("keep"), (F.col("score") + gumbel(id_col, seed)).alias("gumbel_key")))
     last = kth_largest(keyed.select("gumbel_key", F.coalesce(id_col, F.lit(-1)).alias("tie")), "gumbel_key", "tie", math.ceil(share * keyed.count()))
     if last is None:
         return keyed.withColumn("sampled", F.lit(False))
@@ -175,13 +342,14 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows and columns of ``docs`` without those that the classifier rejects."""
-    weights, cut = fit(docs, labels, id_col, text_col, sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    model = fit(docs, labels, id_col, text_col, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
-    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = shared.value
-        texts = batch.column(at).to_pylist()
-        return batch.filter(pa.array([not known or sum(known[g] for g in known.keys() & ngrams((t or "").encode())) >= cut for t in texts], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(CHUNK)
+        for batch in slices(batches):
+            evidence = shared.value.score([(t or "").encode() for t in batch.column(at).to_pylist()], powers)[1]
+            yield batch.filter(pa.array(evidence >= shared.value.cut))
 
-    return map_whole(docs, lambda batches: map(apply, slices(batches)))
+    return map_whole(docs, run)
