@@ -4,12 +4,14 @@ A document is encoded once as a whole. Token character spans are joined with the
 sections (lines, each with its line break). Rule for a token that crosses a boundary: it belongs
 whole to the section that holds its first byte, so the sections' counts sum to the document's.
 
-Null and empty texts have no tokens and no sections. Repeated rows each give a row.
+Null and empty texts have no tokens and no sections. Repeated rows each give a row, an empty table none; columns may
+have clashing names. Texts of any length are encoded whole, long runs of white space too.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,28 @@ from tidemark.llm.bpe import PIECES
 from tidemark.llm.common import as_bytes, map_slices
 
 
+#: White space of at least this many characters is given to the encoder as a piece of its own: its pattern matcher
+#: backtracks once a character of such a run.
+LONG_RUN = 1000
+_LONG_RUN = re.compile(r"\s{%d,}" % LONG_RUN)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def encode(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text. In a long run of white space the piece is the run without its last character, or all of it at the end."""
+    out, done = [], 0
+    for m in _LONG_RUN.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += encoder.encode_ordinary(text[done : m.start()])
+        out += encoder._encode_single_piece(text[m.start() : end])
+        done = end
+    return out + encoder.encode_ordinary(text[done:])
+
+
 def section_starts(text: bytes) -> np.ndarray:
     """First byte of each line; a final line break opens no further line."""
     raw = np.frombuffer(text, np.uint8)
@@ -60,7 +79,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             tokens, sections, starts, counts, crossing = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids = np.asarray(encoder.encode_ordinary(text.decode("utf-8")), np.int64)
+                ids = np.asarray(encode(encoder, text.decode("utf-8")), np.int64)
                 at, n, over = attribute(text, length[ids]) if text else (np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
                 tokens.append(len(ids))
                 sections.append(len(at))
