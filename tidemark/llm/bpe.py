@@ -4,25 +4,32 @@ A piece is encoded with a heap of (merge rank, position) over a doubly linked li
 entries whose pair has changed since are stale and skipped. Decoding concatenates the bytes of
 the vocabulary strings. Ids equal those of the tokenizers library for the same file.
 
-Null texts are empty; an empty text has no ids. Repeated rows each give a row. Strings of special
-tokens in a text become those tokens, as in the library.
+Null texts are empty; an empty text has no ids. Repeated rows each give a row, an empty table none. Strings of special
+tokens in a text become those tokens, as in the library. Texts of any length are encoded whole;
+columns may have clashing names. Which characters count as letters and numbers depends on the version of
+Unicode, so that is asked of the library's own cutter once, when a tokenizer file is loaded.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
+import re
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from tidemark.llm.common import map_slices, pick
 
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same, with the letters and numbers of a newer Unicode counted as other characters.
+PIECES_WITHOUT = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--[ODD]]+| ?[\p{N}--[ODD]]+| ?(?:[^\s\p{L}\p{N}]|[ODD])+|\s+(?!\S)|\s+"
 #: Pieces that each of a worker's two cache generations holds.
 CACHED = 400_000
 #: Longer pieces are encoded afresh each time.
@@ -36,10 +43,29 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache
+def newer_characters() -> str:
+    """Ranges of the characters that ``regex`` takes for letters or numbers and the library's cutter doesn't, as in a character class."""
+    known = [c for c in map(chr, range(128, 0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF and regex.match(r"[\p{L}\p{N}]", c)]
+    # a letter stays with the letter before it, a number with the number after it
+    cuts = {start for _, (start, _) in pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str("".join(f"a{c}1" for c in known))}
+    odd = [ord(c) for i, c in enumerate(known) if 3 * i + 1 in cuts and 3 * i + 2 in cuts]
+    ends = [[c, c] for c in odd[:1]]
+    for c in odd[1:]:
+        if c == ends[-1][1] + 1:
+            ends[-1][1] = c
+        else:
+            ends.append([c, c])
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ends)
+
+
 def load(path: str) -> dict:
     """Vocabulary bytes by id, merges and special tokens of a tokenizer file; its size is bounded by the vocabulary."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    for token in spec["added_tokens"]:
+        if marks := [m for m in ("single_word", "lstrip", "rstrip", "normalized") if token.get(m)]:
+            raise ValueError(f"special token {token['content']!r} has {', '.join(marks)}, which is not supported")
     symbols, vocab = byte_symbols(), spec["model"]["vocab"]
     strings = {i: bytes(symbols[c] for c in s) for s, i in vocab.items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -51,13 +77,15 @@ def load(path: str) -> dict:
     first = [0] * 256
     for c, b in symbols.items():
         first[b] = vocab[c]
-    return {"strings": [strings.get(i, b"") for i in range(max(strings) + 1)], "merges": merges, "first": first, "special": special}
+    return {"strings": [strings.get(i, b"") for i in range(max(strings) + 1)], "merges": merges, "first": first, "special": special, "newer": newer_characters()}
 
 
 class Codec:
     def __init__(self, model: dict):
         self.strings, self.merges, self.first, self.special = (model[k] for k in ("strings", "merges", "first", "special"))
         self.find = regex.compile(PIECES).findall
+        self.newer = re.compile(f"[{model['newer']}]").search if model["newer"] else None
+        self.find_without = regex.compile(PIECES_WITHOUT.replace("ODD", model["newer"])).findall if model["newer"] else None
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.young: dict[str, tuple[str, int, bytes]] = {}
         self.old: dict[str, tuple[str, int, bytes]] = {}
@@ -116,8 +144,9 @@ class Codec:
         names: list[str] = []
         if self.cut and any(s in text for s in self.special):
             parts, names = self.cut.split(text), self.cut.findall(text)
+        find = self.find_without if self.newer and not text.isascii() and self.newer(text) else self.find
         for k, part in enumerate(parts):
-            out += [self.young.get(p) or self._known(p) for p in self.find(part)]
+            out += [self.young.get(p) or self._known(p) for p in find(part)]
             if k < len(names):
                 out.append((str(self.special[names[k]]), 1, names[k].encode()))
         return out
