@@ -1,18 +1,19 @@
 """Secret scans: fixed patterns, and character Markov models for random strings.
 
-Two first-order Markov models over characters, one of random strings and one of ordinary words,
-are trained from labelled samples: values that the fixed patterns find and generated keys are
-random, words of a bounded sample of documents are ordinary. A candidate run of key characters is
-a secret if its mean log-likelihood ratio a character exceeds a threshold.
+Two first-order Markov models over characters, one of random strings and one of ordinary identifiers
+and words, are trained from labelled samples: values that the fixed patterns find anywhere in the
+documents and generated keys are random, shorter runs of key characters outside of them are ordinary. Counts cover all documents. A
+candidate run is a secret where a part of it, of at least LEAST_RUN characters, has a mean log-likelihood ratio
+a character over the threshold. The span is the whole run if its own mean is, else, of all such parts, the one whose ratios
+exceed the threshold by the largest sum (the first of equal ones): so a key glued to words is found.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows each
-give a row.
+give a row, an empty table none. Texts of any length are scanned whole; columns may have clashing names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 
@@ -31,15 +32,12 @@ WORDS = (b"passw", b"secret", b"token", b"api")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
-ORDINARY = re.compile(rb"[A-Za-z0-9+/_=-]{4,}")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Training rows: about so many documents at most, chosen by a hash of their id.
-SAMPLE_ROWS = 2000
 GENERATED = 4000
-#: Runs that the models judge have at least so many characters.
-LONG = 20
-THRESHOLD = 0.6
+#: Runs that the models judge have at least so many characters; ordinary runs, for training, have fewer but LEAST_WORD.
+LEAST_RUN, LEAST_WORD = 16, 4
+THRESHOLD = 0.9
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
 #: Weight of single-character shares in a pair's.
 PRIOR = 20.0
 
@@ -73,28 +71,44 @@ def generated_keys(count: int = GENERATED, seed: int = 7) -> list[bytes]:
     return [bytes(r.choice(a) for _ in range(r.randint(16, 48))) for a in alphabets for _ in range(count // len(alphabets))]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+def pair_counts(texts: list[bytes]) -> np.ndarray:
+    """Character pairs of ordinary runs (row 0) and of runs in spans of the fixed patterns (row 1) of some texts."""
+    joined = b"\n".join(texts)
+    codes = _CODE[np.frombuffer(joined, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], codes < len(ALPHABET), [False])).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    spans, at = [], 0
+    for text in texts:
+        spans += [(s + at, e + at) for s, _, e in base_spans(text)]
+        at += len(text) + 1
+    low, high = np.array([s for s, _ in spans], np.int64), np.array([e for _, e in spans], np.int64)
+    # spans that end at or before the run's start, and those that begin before its end
+    secret = np.searchsorted(np.sort(low), ends, "left") > np.searchsorted(np.sort(high), starts, "right")
+    size = ends - starts
+    label = np.where(secret, np.where(size >= LEAST_RUN, 1, -1), np.where((size >= LEAST_WORD) & (size < LEAST_RUN), 0, -1))
+    out = np.zeros((2, SYMBOLS * SYMBOLS), np.int64)
+    before = np.concatenate(([SYMBOLS - 1], codes[:-1]))
+    before[starts] = SYMBOLS - 1
+    for k in (0, 1):
+        first, length = starts[label == k], size[label == k]
+        places = np.arange(length.sum()) + np.repeat(first - (np.cumsum(length) - length), length)
+        out[k] = np.bincount(before[places] * SYMBOLS + codes[places], minlength=SYMBOLS * SYMBOLS)
+    return out
+
+
+def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log-likelihood ratios of the character pairs (random over ordinary), smoothed towards single characters.
 
-    Pair counts come from Spark; only two tables of 68 x 68 counts reach the driver.
+    Pair counts over all documents come from Spark; only two tables of 68 x 68 counts reach the driver.
     """
-    total = docs.count()
-    every = max(1, math.ceil(total / sample_rows))
-    rows = as_bytes(docs, text_col, id_col).where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sums = np.zeros((2, SYMBOLS * SYMBOLS), np.int64)
-        for text in batch.column(1).to_pylist():
-            spans = base_spans(text)
-            for m in ORDINARY.finditer(text):
-                inside = any(s < m.end() and m.start() < e for s, _, e in spans)
-                if len(m[0]) >= 16 if inside else len(m[0]) < LONG:  # a long run outside may be a secret: no label
-                    np.add.at(sums[int(inside)], transitions(m[0]), 1)
+        sums = pair_counts(batch.column(0).to_pylist())
         label, pair = np.nonzero(sums)
         return pa.RecordBatch.from_arrays([pa.array(label, pa.int64()), pa.array(pair, pa.int64()), pa.array(sums[label, pair], pa.int64())], names=["label", "pair", "n"])
 
     sums = np.zeros((2, SYMBOLS * SYMBOLS))
-    for label, pair, n in map_slices(rows, lambda: count, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n")).collect():
+    for label, pair, n in map_slices(as_bytes(docs, text_col), lambda: count, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n")).collect():
         sums[label, pair] += n
     for key in generated_keys():
         np.add.at(sums[1], transitions(key), 1)
@@ -105,8 +119,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return (logs[1] - logs[0]).ravel()
 
 
+def best_part(excess: np.ndarray, least: int = LEAST_RUN) -> tuple[float, int, int]:
+    """Largest sum of consecutive numbers, at least so many, with its first and last (exclusive) place."""
+    sums = np.concatenate(([0.0], np.cumsum(excess)))
+    low = np.minimum.accumulate(sums[: len(sums) - least])
+    gain = sums[least:] - low
+    end = int(np.argmax(gain))
+    return float(gain[end]), int(np.argmin(sums[: end + 1])), end + least
+
+
 def markov_spans(text: bytes, ratios: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    return [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if ratios[transitions(m[0])].mean() > threshold]
+    out = []
+    for m in CANDIDATE.finditer(text):
+        excess = ratios[transitions(m[0])] - threshold
+        gain, first, last = best_part(excess)
+        if gain > 0:
+            if excess.sum() > 0:
+                first, last = 0, len(excess)
+            out.append((m.start() + first, 3, m.start() + last))
+    return out
 
 
 def in_code_points(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -125,9 +156,9 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Row per document: id, n_assign, n_access, n_hex, n_markov, base_sha256, spans."""
-    ratios = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample_rows))
+    ratios = docs.sparkSession.sparkContext.broadcast(train(docs, text_col))
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(6)]
@@ -146,9 +177,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     return map_slices(rows, lambda: apply, f"{id_col} {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """The same rows and columns, each span of the text replaced by a mark; n_chars, if there, follows."""
-    ratios = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col))
+    ratios = docs.sparkSession.sparkContext.broadcast(train(docs, text_col))
     at = docs.columns.index(text_col)
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
