@@ -3,19 +3,22 @@
 A byte goes if it lies in a string of ``length`` bytes that also starts elsewhere, in the same
 document or another. Windows of that length are dealt out by their minimizer (the least hash of
 their 24-byte grams): equal windows have equal minimizers, and a run of neighbouring windows with
-one minimizer travels as one span. Only spans whose minimizer occurs more than once go on. Spans
-that are equal as a whole are repeated as a whole; where a minimizer has several different spans,
-one of each kind goes into an index.
+one minimizer travels as one span. Only spans whose minimizer occurs more than once go on; equal spans
+one after the other, as in a run of one character, travel as one with their number. Spans
+that are equal as a whole (by minimizer and a hash of all their bytes, 128 bits together) are repeated as a whole; where a minimizer has several different spans,
+one of each kind goes into an index, which compares bytes.
 
 An index holds the spans of some minimizers: suffix array, run-compressed Burrows-Wheeler
 transform, and samples at the two ends of each run. The longest match with the neighbour in suffix
 order is found by comparison at the samples only; from there it is streamed along the text, since
 inside a run it shrinks by one with each byte. A window is repeated if a match of its length
-starts with it. A minimizer with very many different spans is not put in one index: its windows
-are counted by hash, dealt out evenly.
+starts with it. A minimizer with more different spans than fit into one index is split: its windows are dealt out anew, first
+by the bytes that 24 neighbouring windows have in common, then 4, then by whole windows, until each
+group fits into an index.
 
 Null and empty texts, and texts shorter than the length, lose nothing. Repeated rows are copies of
-each other, so all their windows are repeated; each gives a row.
+each other, so all their windows are repeated; each gives a row. An empty table gives none. Texts of any length are
+read whole; columns may have clashing names.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ LENGTH = 200
 GRAM = 24
 #: Bytes of spans in an index; a minimizer's spans stay together.
 INDEX_BYTES = 1_000_000
-#: A minimizer with more different spans than this is counted by hash.
+#: Different spans of a minimizer (or of a part of one) in an index, at most; more are split.
 INDEX_SPANS = 2_000
 #: Bytes of a text hashed at once, so positions fit into the low bits of a key.
 CHUNK = 1 << 20
@@ -186,27 +189,29 @@ def as_ranges(offsets: np.ndarray) -> list[int]:
 
 
 def _spans(packed: DataFrame, length: int) -> DataFrame:
-    """Row per span: row, grp (minimizer), kind (hash of the whole span), start, n."""
+    """Row per span: row, grp (minimizer), kind (hash of the whole span), start, n (windows), times (equal spans from there on)."""
 
     def make():
         rolling, unpack = RollingHash(), zstandard.ZstdDecompressor().decompress
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for row, text in zip(batch.column(0).to_numpy(), map(unpack, batch.column(1).to_pylist())):
                 group, start, count = minimizer_spans(text, rolling, length)
                 if not len(group):
                     continue
                 kind = np.array([xxhash.xxh64_intdigest(text[a:b]) for a, b in zip(start.tolist(), (start + count + length - 1).tolist())], np.uint64)
-                for c, v in zip(cols, (np.full(len(group), row), group.view(np.int64), kind.view(np.int64), start, count)):
+                first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (kind[1:] != kind[:-1]) | (count[1:] != count[:-1]))))
+                times = np.diff(np.concatenate((first, [len(group)])))
+                for c, v in zip(cols, (np.full(len(first), row), group[first].view(np.int64), kind[first].view(np.int64), start[first], count[first], times)):
                     c.append(v)
-            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
             arrays = [pa.array((np.concatenate(c) if c else np.zeros(0)).astype(k)) for c, k in zip(cols, kinds)]
-            return pa.RecordBatch.from_arrays(arrays, names=["row", "grp", "kind", "start", "n"])
+            return pa.RecordBatch.from_arrays(arrays, names=["row", "grp", "kind", "start", "n", "times"])
 
         return apply
 
-    return map_slices(packed, make, "row long, grp long, kind long, start int, n int")
+    return map_slices(packed, make, "row long, grp long, kind long, start int, n int, times int")
 
 
 def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -247,28 +252,28 @@ def _cut_out(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return map_slices(joined, make, "grp long, kind long, hot boolean, span binary")
 
 
-def _indexed(spans: DataFrame, length: int) -> DataFrame:
-    """grp, kind, ranges (of repeated windows), from indexes of whole groups."""
+def _indexed(pieces: DataFrame, length: int) -> DataFrame:
+    """grp, kind, ranges (of repeated windows, from the span's start), from indexes of whole groups; a group is what has one ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            found = [as_ranges(x) for x in repeated_windows([s for _, _, s in held], length)] if held else []
+            found = [as_ranges(x + h[3]) for x, h in zip(repeated_windows([h[4] for h in held], length), held)] if held else []
             keep = [i for i, x in enumerate(found) if x]
-            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in keep], pa.int64()), pa.array([held[i][1] for i in keep], pa.int64()), pa.array([found[i] for i in keep], pa.list_(pa.int32()))], names=["grp", "kind", "ranges"])
+            return pa.RecordBatch.from_arrays([pa.array([held[i][1] for i in keep], pa.int64()), pa.array([held[i][2] for i in keep], pa.int64()), pa.array([found[i] for i in keep], pa.list_(pa.int32()))], names=["grp", "kind", "ranges"])
 
         for batch in batches:
-            for group, kind, span in zip(*[c.to_pylist() for c in batch.columns]):
-                if size >= INDEX_BYTES and held[-1][0] != group:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if size >= INDEX_BYTES and held[-1][:2] != row[:2]:
                     yield flush()
                     held, size = [], 0
-                held.append((group, kind, span))
-                size += len(span)
+                held.append(row)
+                size += len(row[4])
         yield flush()
 
-    return spans.select("grp", "kind", "span").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, kind long, ranges array<int>")
+    return pieces.select("part", "grp", "kind", "at", "piece").repartition("part", "grp").sortWithinPartitions("part", "grp").mapInArrow(run, "grp long, kind long, ranges array<int>")
 
 
 def _blocks(pieces: DataFrame, length: int, size: int) -> DataFrame:
@@ -320,21 +325,24 @@ def _leads(spans: DataFrame, length: int) -> DataFrame:
     return map_slices(spans.select("grp", "kind", "span"), make, "grp long, kind long, at int, lead int, piece binary")
 
 
-def _counted(spans: DataFrame, length: int, sizes: tuple[int, ...] = (24, 4, 1)) -> DataFrame:
-    """As _indexed, for minimizers with very many spans, by counts of hashes that are dealt out evenly.
+def _split(spans: DataFrame, length: int, most: int, sizes: tuple[int, ...] = (24, 4, 1)) -> DataFrame:
+    """As _indexed, for minimizers with more different spans than fit into an index.
 
-    A block that occurs twice as a whole is repeated, one whose core occurs once isn't; any other is
-    cut into smaller blocks, down to single windows.
+    Spans are cut into blocks of windows. Equal windows lie in blocks with equal cores, so the blocks of one core
+    make a group; blocks that are equal as a whole are repeated, and one of them stands for all. A
+    group that is still too large is cut into smaller blocks; blocks of one window are equal if their cores are.
     """
     rows, found = _leads(spans, length), []
     for size in sizes:
         blocks = materialise(_blocks(rows, length, size))
-        whole = blocks.groupBy("whole").agg(F.count("*").alias("c"), F.min("kind").alias("first")).where("c > 1").drop("c")
-        core = blocks.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-        known = blocks.join(whole, "whole", "left")
+        whole = blocks.groupBy("grp", "whole").agg(F.count("*").alias("c"), F.min("kind").alias("first")).where("c > 1").drop("c")
+        known = blocks.join(whole, ["grp", "whole"], "left")
         found.append(known.where("first IS NOT NULL").select("grp", "kind", F.array("at", "n").alias("ranges")))
-        # of equal blocks one goes on, as others may be repeated in part of them
-        rows = known.where("first IS NULL OR kind = first").join(core, "core", "left_semi")
+        one = known.where("first IS NULL OR kind = first")
+        cores = materialise(one.groupBy("grp", "core").agg(F.count("*").alias("members")).where("members > 1"))
+        one = materialise(one.join(cores, ["grp", "core"]))
+        found.append(_indexed(one.where(F.col("members") <= most).withColumnRenamed("core", "part"), length))
+        rows = one.where(F.col("members") > most)
     return reduce(DataFrame.unionByName, found)
 
 
@@ -376,16 +384,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     packed = materialise(_pack(docs, id_col, text_col))
     spans = _spans(packed.select("row", "packed"), length)
     # a table of its own, so that the join below has plain sides and Spark can split a hot minimizer
-    often = materialise(spans.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp"))
+    often = materialise(spans.groupBy("grp").agg(F.sum("times").alias("c")).where("c > 1").select("grp"))
     again = materialise(spans.join(often, "grp", "left_semi").withColumn("place", F.monotonically_increasing_id()))
-    kinds = again.groupBy("grp", "kind").agg(F.count("*").alias("copies"), F.min("place").alias("first"))
+    kinds = again.groupBy("grp", "kind").agg(F.sum("times").alias("copies"), F.min("place").alias("first"))
     groups = kinds.groupBy("grp").agg(F.count("*").alias("kinds"))
     known = materialise(again.join(materialise(kinds.join(groups, "grp")), ["grp", "kind"]))
-    whole = known.where("copies > 1").select("row", "start", F.array(F.lit(0), "n").alias("ranges"))
+    whole = known.where("copies > 1").select("row", "start", F.array(F.lit(0), (F.col("n") * F.col("times")).cast("int")).alias("ranges"))
     wanted = known.where("kinds > 1 AND place = first").withColumn("hot", F.col("kinds") > index_spans)
     cut = materialise(_cut_out(packed, wanted, length))
-    part = _indexed(cut.where("NOT hot"), length)
+    part = _indexed(cut.where("NOT hot").select(F.lit(0).cast("long").alias("part"), "grp", "kind", F.lit(0).alias("at"), F.col("span").alias("piece")), length)
     if not cut.where("hot").isEmpty():
-        part = part.unionByName(_counted(cut.where("hot"), length))
+        part = part.unionByName(_split(cut.where("hot"), length, max(1, index_spans)))
     single = known.where("copies = 1").join(part, ["grp", "kind"]).select("row", "start", "ranges")
     return _removed(packed, whole.unionByName(single), length, id_col)
