@@ -1,18 +1,22 @@
 """License scans by an exact set-similarity join of text blocks with notice templates.
 
-Words are ordered by their frequency over all blocks, rarest first. A template of n words meets a
-block at containment t if the block has at least ceil(t n) of its words, so the block must hold
-one of the template's first n - ceil(t n) + 1 words (prefix filter), have that many words (length
-filter), and not fall short even if all words after the matching position were there (positional
-filter). What passes is counted exactly. Blocks of short templates are lines, of others paragraphs.
-
-Null and empty texts have no words, no labels and score 0. Repeated rows each give a row.
+Blocks are all windows of words of a document, for each template as long as the template and a
+quarter (at least two words) more, so that line breaks, paragraphs and a few foreign words do no harm, while
+words scattered over a page are no notice. A block meets a template if it has at least the
+containment share of the template's distinct words. Words are ordered by their frequency over all
+documents, rarest first. A template of n words that needs r of them is met only by blocks with one of its first
+n - r + 1 words (prefix filter); only windows around such words are looked at. There must be r template
+words at all (length filter), and where the rarest of them is the template's k-th word, no more than n - k + 1 can be
+shared (positional filter). What passes is counted exactly, window by window.
+
+Null and empty texts have no words, no labels and score 0. Ties between templates do not matter, as labels are a set.
+Repeated rows each give a row, an empty table none; texts of any length are scanned whole; columns may have
+clashing names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,21 +29,35 @@ PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general pub
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "You should have received a copy of the GNU Affero General Public License along with this program. If not, see http://www.gnu.org/licenses/."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ]
 CONTAINMENT = 0.9
-#: Templates of at most so many words are sought in lines.
-SHORT = 20
+#: Words of a block for each word of the template.
+STRETCH = 1.25
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LINE_BYTES = _WORD_BYTES[:10] + b"\n" + _WORD_BYTES[11:]
-_PARAGRAPH = re.compile(rb"\n[ \n]*\n")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -58,8 +76,13 @@ def phrase_starts(words: list[bytes], phrase: list[bytes]) -> list[int]:
         return out
 
 
-def template_sets(templates: list[tuple[str, str]]) -> list[tuple[str, frozenset[bytes]]]:
-    return [(label, frozenset(words_of(t.encode()))) for label, t in templates]
+def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[bytes]]]:
+    return [(label, words_of(t.encode())) for label, t in templates]
+
+
+def block_words(count: int) -> int:
+    """Length of the blocks that are held against a template of so many words."""
+    return max(count + 2, math.ceil(STRETCH * count))
 
 
 def frequencies(rows: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
@@ -77,49 +100,60 @@ def frequencies(rows: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
 
 
 class Matcher:
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequency: dict[bytes, int], containment: float, short: int = SHORT):
-        self.rank = {w: i for i, w in enumerate(sorted({w for _, t in templates for w in t}, key=lambda w: (frequency.get(w, 0), w)))}
-        self.templates, self.index = [], ({}, {})  # prefix word -> [(template, position)], for lines and for paragraphs
-        for label, words in templates:
-            ordered = sorted(words, key=self.rank.__getitem__)
+    def __init__(self, templates: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], containment: float):
+        self.templates, self.index = [], {}  # prefix word -> templates
+        for k, (label, words) in enumerate(templates):
+            ordered = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
             need = math.ceil(containment * len(ordered) - 1e-9)
-            k = len(self.templates)
-            self.templates.append((label, words, need))
-            for at, w in enumerate(ordered[: len(ordered) - need + 1]):
-                self.index[len(ordered) > short].setdefault(w, []).append((k, at))
-        self.any = frozenset(self.index[0]) | frozenset(self.index[1])
-
-    def block(self, words: frozenset[bytes], which: int) -> list[tuple[str, float]]:
-        out, tried = [], set()
-        for w in sorted(words & self.index[which].keys(), key=self.rank.__getitem__):
-            for k, at in self.index[which][w]:
-                label, template, need = self.templates[k]
-                if k in tried:
-                    continue
-                tried.add(k)
-                # the first shared word decides: those before it in the template's order are absent
-                if len(words) < need or len(template) - at < need:
-                    continue
-                if (shared := len(words & template)) >= need:
-                    out.append((label, shared / len(template)))
-        return out
+            self.templates.append((label, {w: at for at, w in enumerate(ordered)}, need, block_words(len(words))))
+            for w in ordered[: len(ordered) - need + 1]:
+                self.index.setdefault(w, []).append(k)
+        self.any = frozenset(self.index)
 
-    def document(self, text: bytes, words: list[bytes]) -> list[tuple[str, float]]:
+    def document(self, words: list[bytes]) -> list[tuple[str, float]]:
+        """(label, largest containment) of each template that a block of the document meets."""
         if self.any.isdisjoint(words):
             return []
-        plain, out = text.translate(_LINE_BYTES), []
-        for which, blocks in ((0, plain.split(b"\n")), (1, _PARAGRAPH.split(plain))):
-            for block in blocks:
-                own = block.split()
-                if not self.index[which].keys().isdisjoint(own):
-                    out += self.block(frozenset(own), which)
+        out, here = [], set(words)
+        for k in {k for w in self.any & here for k in self.index[w]}:
+            label, place, need, length = self.templates[k]
+            if len(place.keys() & here) < need:  # length
+                continue
+            best = self._best(words, place, need, length)
+            if best:
+                out.append((label, best / len(place)))
         return out
 
+    @staticmethod
+    def _best(words: list[bytes], place: dict[bytes, int], need: int, length: int) -> int:
+        """Most template words in a block, 0 if fewer than needed."""
+        found = [(i, place[w]) for i, w in enumerate(words) if w in place]
+        first, best, a = len(place) - need, 0, 0
+        while a < len(found):
+            # template words with no wide gap between them: no block reaches beyond
+            b = a + 1
+            while b < len(found) and found[b][0] - found[b - 1][0] < length:
+                b += 1
+            run = found[a:b]
+            # length filter again, and the positional one: words rarer than the rarest here are absent
+            if len({at for _, at in run}) >= need and min(at for _, at in run) <= first:
+                counts, low, distinct = [0] * len(place), 0, 0
+                for i, at in run:
+                    distinct += not counts[at]
+                    counts[at] += 1
+                    while run[low][0] <= i - length:
+                        counts[run[low][1]] -= 1
+                        distinct -= not counts[run[low][1]]
+                        low += 1
+                    best = max(best, distinct)
+            a = b
+        return best if best >= need else 0
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """Row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score (largest containment)."""
     rows = as_bytes(docs, text_col, id_col)
-    sets = template_sets(templates or TEMPLATES)
+    sets = template_words(templates or TEMPLATES)
     frequency = frequencies(rows, frozenset(w for _, t in sets for w in t))
     phrases = {label: p.encode().split() for label, p in PHRASES.items()}
 
@@ -133,7 +167,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 places = {label: phrase_starts(words, p) for label, p in phrases.items()} if b"license" in words else {}
                 base = {label for label, at in places.items() if at}
                 starts = [i for at in places.values() for i in at]
-                found = matcher.document(text, words)
+                found = matcher.document(words)
                 row = len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {label for label, _ in found})), max((s for _, s in found), default=0.0)
                 for c, v in zip(cols, row):
                     c.append(v)
