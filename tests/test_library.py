@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tidemark.functions import scalars as S
 from tidemark.operators import audits, axes, history, labels, lookups, metrics, model, sampling, split
-from tidemark.plans import matrix, queries
+from tidemark.plans import jobs, matrix, queries
+from tidemark.sources import aggregates
 from tidemark.sources import tables as T
 from tidemark.streaming import history_state
 
@@ -49,6 +50,66 @@ def test_schema_checks_and_sources(spark, tmp_path):
     marks = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1)], "event_id long, target int")
     marks.write.parquet(f"{tmp_path}/labels")
     assert [tuple(r) for r in T.read_labels(spark, f"{tmp_path}/labels").collect()] == [(1, 1)]
+    assert sorted(r.event_id for r in T.read_label_ids(spark, f"{tmp_path}/labels").collect()) == [1, 2]
+    again = spark.createDataFrame([(1, 1), (1, 0)], "event_id long, target int").coalesce(1)
+    again.write.parquet(f"{tmp_path}/again")
+    assert [tuple(r) for r in T.read_labels(spark, f"{tmp_path}/again").collect()] == [(1, 0)]  # the last one
+    assert T.row_count(spark, [f"{tmp_path}/labels", f"{tmp_path}/again", f"{tmp_path}/no"]) == 6
+    with pytest.raises(ValueError):
+        T.feature_columns(again)
+    T.head_slice(again, f"{tmp_path}/head", 1)
+    T.write_jsonl(again, f"{tmp_path}/lines")
+    T.write_axis(again, ["target"], f"{tmp_path}/axis")
+    assert spark.read.parquet(f"{tmp_path}/head").count() == 1 and spark.read.json(f"{tmp_path}/lines").count() == 2 and [r.target for r in spark.read.parquet(f"{tmp_path}/axis").collect()] == [0, 1]
+
+
+def test_types_of_input_columns(spark):
+    row = spark.createDataFrame([("c", "12x", True, 3, "2024-01-01 00:00:00", 2.5)], "customer_id string, event_id string, battery boolean, operaton_amt tinyint, event_dttm string, event_type_nm float")
+    got = T.conform(row).first()
+    assert (got.event_id, got.battery, got.amt, got.et, got.event_dttm) == (12, None, None, 2.5, "2024-01-01 00:00:00")
+    assert T.conform(row.withColumn("event_id", F.lit(None).cast("long"))).first().event_id is None
+
+
+def test_large_customers_are_cut(spark, tables, monkeypatch):
+    tx = queries.transactions(spark, tables).withColumn("customer_id", F.when(F.col("customer_id").cast("long") % 3 == 0, "hot").otherwise(F.col("customer_id")))
+    names = ["log_1_plus_transactions_seen", "amount_zscore", "delta_1", "std_time_deltas", "mcc_same_count_suffix"]
+    whole = {r.event_id: tuple(r) for r in history.history_features(tx, names, cap=20).collect()}
+    monkeypatch.setattr(history, "RANGE_ROWS", 25)
+    assert history._ranges(tx, 20).where("ghost").count() > 0
+    assert {r.event_id: tuple(r) for r in history.history_features(tx, names, cap=20).collect()} == whole
+
+
+def test_stored_aggregates(spark, tables, tmp_path):
+    tx = queries.transactions(spark, tables)
+    aggregates.write(tx, str(tmp_path))
+    got, want = aggregates.read(spark, str(tmp_path)), aggregates.fitted(tx)
+    key = ["axis", "k1", "k2"]
+    read = {tuple(r[k] for k in key): (r["mean"], r["cnt"], r["log_frequency"]) for r in got.statistics.collect()}
+    assert read == {tuple(r[k] for k in key): (r["mean"], r["cnt"], r["log_frequency"]) for r in want.statistics.collect()}
+    assert sorted(map(str, got.top3.collect())) == sorted(map(str, want.top3.select(got.top3.columns).collect()))
+    with pytest.raises(FileNotFoundError):
+        aggregates.read(spark, f"{tmp_path}/none")
+    spark.read.parquet(f"{tmp_path}/pos_cd.parquet").where("pos_cd <> '__GLOBAL__'").write.parquet(f"{tmp_path}/other")
+    spark.read.parquet(f"{tmp_path}/other").write.mode("overwrite").parquet(f"{tmp_path}/pos_cd.parquet")
+    with pytest.raises(ValueError, match="pos_cd"):
+        aggregates.read(spark, str(tmp_path))
+
+
+def test_jobs(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setenv("TIDEMARK_SCORES", f"{tmp_path}/elsewhere")
+    paths = jobs.Paths(str(tmp_path))
+    assert paths.matrix == f"{tmp_path}/matrix" and paths.scores == f"{tmp_path}/elsewhere"
+    raw = queries.fixtures.raw_transactions(spark, tables).where("event_id % 3 = 0")
+    files = {"pretrain": "pretrain_part_1", "train": "train_part_2", "test": "test"}
+    for phase, name in files.items():
+        raw.where(F.col("phase") == phase).drop("phase", "labelled", "label").write.parquet(f"{paths.data}/{name}.parquet")
+    raw.where("labelled").selectExpr("event_id", "label AS target").write.parquet(paths.labels)
+    tx = jobs.read_inputs(spark, paths)
+    assert tx.where("labelled").count() == raw.where("labelled").count() and {r.phase for r in tx.select("phase").distinct().collect()} == set(files)
+    monkeypatch.setattr(jobs.matrix.history, "FEATURES", {"operation_amt": "amt"})
+    T.write_settings(spark, {"maxIter": 1, "maxDepth": 2}, paths.settings)
+    out = jobs.run(spark, paths)
+    assert out.count() == raw.where("phase = 'test'").count() == spark.read.option("header", True).csv(paths.scores).count()
 
 
 def test_axis_edges(spark):
@@ -67,8 +128,6 @@ def test_unseen_key_takes_the_population_row(spark, tables):
     new = tx.limit(5).withColumn("pos", F.lit("never seen"))
     every = stats.where("k1 = '__GLOBAL__'").first()
     assert {r.global_mean_amount_pos_cd for r in lookups.with_axis(new, stats, "pos_cd").collect()} == {every["mean"]}
-    wide = lookups.with_axis(new, stats, "pos_cd", broadcast_keys=1)  # too many keys to broadcast
-    assert wide.count() == 5
 
 
 def test_feature_names(spark):
@@ -109,11 +168,16 @@ def test_split_edges(spark):
 
 def test_cohorts_and_sets(spark):
     a, b = (spark.createDataFrame([(x,) for x in v], "customer_id string") for v in ("xyzz", "yw"))
-    assert labels.cohort_overlap({"a": a, "b": b}).first().n_shared == 1
+    both = a.withColumn("of", F.lit("a")).unionByName(b.withColumn("of", F.lit("b")))
+    found = labels.cohort_overlap(both, {n: F.col("of") == n for n in "ab"}, samples=15)
+    assert (found.first().n_shared, found.first().sample_ids) == (1, ["y"])
+    labels.check_disjoint(found, lambda left, right: True)
+    with pytest.raises(ValueError, match="a and b share 1 customers, such as y"):
+        labels.check_disjoint(found, lambda left, right: False)
     assert tuple(labels.id_sets(a, b).first()) == (1, 2, 1)
 
 
-def test_model_end_to_end(spark):
+def test_model_end_to_end(spark, tmp_path):
     rows = [(i, float(i % 7), float(i % 3) if i % 5 else None, int(i % 7 > 4), 1.0, i % 4 == 0) for i in range(400)]
     df = spark.createDataFrame(rows, "event_id long, a double, b double, target int, sample_weight double, validation boolean")
     fitted = model.train(df, ["a", "b"], maxIter=3)
@@ -121,11 +185,28 @@ def test_model_end_to_end(spark):
     assert metrics.average_precision(out, weight="sample_weight").first().average_precision > 0.95
     with pytest.raises(ValueError):
         model.scored(fitted, df, ["a"])
-    ranked = model.permutation_importance(fitted, df, ["a", "b"], repeats=1).collect()
+    importance = model.permutation_importance(fitted, df, ["a", "b"], repeats=2)
+    ranked = importance.collect()
     assert ranked[0].feature == "a" and ranked[0].mean_drop > 0.1
+    base = metrics.average_precision(model.scored(fitted, df, ["a", "b"]), weight="sample_weight").first().average_precision
+    vector = model.assembled(df, ["a", "b"]).select("event_id", model.vector_to_array("features").alias("own"))
+    drops = []
+    for r in range(2):  # one feature and repeat at a time
+        donor = model.permuted(vector, "own", 100 + 10 * r).select("event_id", F.col("own")[0].alias("a"))
+        mixed = df.drop("a").join(donor, "event_id")
+        drops.append(base - metrics.average_precision(model.scored(fitted, mixed, ["a", "b"]), weight="sample_weight").first().average_precision)
+    assert ranked[0].mean_drop == pytest.approx(sum(drops) / 2)
+    model.write_importance(importance, f"{tmp_path}/importance", top=1)
+    assert "| 1 | a |" in "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/importance/report").collect())
+    assert spark.read.option("header", True).csv(f"{tmp_path}/importance/ranking").count() == 2
+    model.save(fitted, ["a", "b"], f"{tmp_path}/model")
+    again, names = model.load(spark, f"{tmp_path}/model")
+    assert names == ["a", "b"] and again.getNumTrees == fitted.getNumTrees
     mixed = model.permuted(df, "a", 5)
     assert sorted(r.a for r in mixed.collect()) == sorted(r.a for r in df.collect()) and mixed.count() == 400
-    assert model.grid_search(df, ["a", "b"], {"maxDepth": [1, 2], "maxIter": [2]})[0]["average_precision"] > 0.9
+    trials = model.grid_search(df, ["a", "b"], {"maxDepth": [1, 2], "maxIter": [2]})
+    assert trials[0]["average_precision"] > 0.9 and model.write_trials(spark, trials, f"{tmp_path}/grid") == {"maxDepth": trials[0]["maxDepth"], "maxIter": 2}
+    assert T.read_settings(spark, f"{tmp_path}/grid/best", {}) == {"maxDepth": trials[0]["maxDepth"], "maxIter": 2} and spark.read.json(f"{tmp_path}/grid/trials").count() == 2
 
 
 def test_registered_importance_covers_all_features(spark, monkeypatch):
@@ -156,7 +237,7 @@ def test_audits(spark, tables):
 def test_matrix_columns(spark, tables):
     tx = queries.transactions(spark, tables)
     got = matrix.training_matrix(tx, sampling.length_distribution(tx.limit(0)))
-    assert len(got.columns) == 244 + len(matrix.META) + 5
+    assert got.columns[244:] == [*T.META_COLUMNS, "t"] and T.feature_columns(got.drop("t")) == [*history.FEATURES, *lookups.feature_names()]
     # without a distribution every row sees one row of its past
     assert {round(r.log_1_plus_transactions_seen, 6) for r in got.select("log_1_plus_transactions_seen").collect()} <= {0.0, round(math.log(2), 6)}
 

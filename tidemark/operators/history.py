@@ -5,16 +5,20 @@ cut to the row's own number of newest rows. It comes from one window, so all fea
 shuffle and one sort. Time and key conditions then apply inside the array by higher-order functions;
 arrays that several features need are columns of their own, so they are computed once.
 
+A customer with very many rows is cut into ranges of hours, and the ``cap`` rows before a range are
+sent to it too, so that no customer is a single task.
+
 Order within a customer: phase, time, event id. Missing values are null; text columns are trimmed and
 null where empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.sources.scratch import stored
 from tidemark.sources.tables import PHASE_RANK
 
 CAP = 512
@@ -201,21 +205,58 @@ FEATURES: dict[str, str] = {
 _FIELDS = ["t", "amt", "mcc", "descr", "et", "ch", "ch_known", "dev", "dev_known", "tz", "bl", "sess", "rdp", "voip"]
 
 
-def _order() -> Window:
-    rank = F.create_map(*[F.lit(x) for p in PHASE_RANK.items() for x in p])[F.col("phase")]
-    return Window.partitionBy("customer_id").orderBy(rank, "t", "event_id")
+#: A customer with more rows is cut into ranges of about so many.
+RANGE_ROWS = 100_000
+
+
+def _rank() -> Column:
+    return F.create_map(*[F.lit(x) for p in PHASE_RANK.items() for x in p])[F.col("phase")]
+
+
+def _order(*by: str) -> Window:
+    """Rows of a customer by phase, time and id; a missing id counts as 0."""
+    return Window.partitionBy("customer_id", *by).orderBy(_rank(), "t", F.coalesce("event_id", F.lit(0)))
+
+
+def _ranges(tx: DataFrame, cap: int) -> DataFrame | None:
+    """customer_id, phase_rank, hour, to, ghost: the ranges that an hour of a large customer belongs to, and those that need it as history.
+
+    Only hours of large customers have rows here; there are none, and no table, where no customer is large.
+    """
+    hours = tx.groupBy("customer_id", _rank().alias("phase_rank"), F.floor(F.col("t") / 3600).alias("hour")).agg(F.count("*").alias("n"))
+    large = hours.groupBy("customer_id").agg(F.sum("n").alias("rows")).where(F.col("rows") > RANGE_ROWS).select("customer_id")
+    order = Window.partitionBy("customer_id").orderBy("phase_rank", "hour")
+    ends = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = stored(hours.join(large, "customer_id", "left_semi").withColumn("end", ends).withColumn("to", F.floor((F.col("end") - F.col("n")) / RANGE_ROWS)))
+    if found.isEmpty():
+        return None
+    starts = found.groupBy("customer_id", F.col("to").alias("later")).agg(F.min(F.col("end") - F.col("n")).alias("start"))
+    # an hour that ends within cap rows before the start of a later range is history of it
+    before = found.join(starts, "customer_id").where((F.col("to") < F.col("later")) & (F.col("end") > F.col("start") - cap))
+    keys = ["customer_id", "phase_rank", "hour"]
+    return stored(found.select(*keys, "to", F.lit(False).alias("ghost")).unionByName(before.select(*keys, F.col("later").alias("to"), F.lit(True).alias("ghost"))))
 
 
 def with_past(tx: DataFrame, cap: int | None = CAP, suffix: str | None = None) -> DataFrame:
-    """Adds H, the preceding rows (oldest first). ``suffix`` names a column with each row's own number of newest rows."""
+    """Adds H, the preceding rows (oldest first). ``suffix`` names a column with each row's own number of newest rows.
+
+    Without a cap a customer's rows stay together, as each needs all before it.
+    """
     pair = lambda a, b: F.concat_ws("\u001f", F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
     rows = tx.withColumns({
         "dev": pair(F.col("os"), F.col("ver")), "dev_known": F.col("os").isNotNull() | F.col("ver").isNotNull(),
         "ch": pair(F.col("ch_type"), F.col("ch_sub")), "ch_known": F.col("ch_type").isNotNull() | F.col("ch_sub").isNotNull(),
         "dev_flag": S.developer_flag(F.col("dev_tools")),
     })
-    frame = _order().rowsBetween(Window.unboundedPreceding if cap is None else -cap, -1)
-    past = rows.withColumn("H", F.collect_list(F.struct(*_FIELDS)).over(frame))
+    ranges = _ranges(tx.select("customer_id", "phase", "t"), cap) if cap is not None else None
+    if ranges is None:
+        past = rows.withColumn("H", F.collect_list(F.struct(*_FIELDS)).over(_order().rowsBetween(Window.unboundedPreceding if cap is None else -cap, -1)))
+    else:
+        named = ranges.withColumnsRenamed({"customer_id": "_customer", "phase_rank": "_phase", "hour": "_hour", "to": "_range", "ghost": "_ghost"})
+        same = (F.col("customer_id") == F.col("_customer")) & _rank().eqNullSafe(F.col("_phase")) & F.floor(F.col("t") / 3600).eqNullSafe(F.col("_hour"))
+        dealt = rows.join(named, same, "left").drop("_customer", "_phase", "_hour")
+        past = dealt.withColumn("H", F.collect_list(F.struct(*_FIELDS)).over(_order("_range").rowsBetween(-cap, -1)))
+        past = past.where(~F.coalesce("_ghost", F.lit(False))).drop("_range", "_ghost")
     if suffix:
         past = past.withColumn("H", F.expr(f"slice(H, greatest(size(H) - greatest({suffix}, 0) + 1, 1), greatest({suffix}, 0))"))
     return past

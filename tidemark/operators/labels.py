@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Weights of rows labelled 1, labelled 0, and not labelled.
@@ -18,9 +20,11 @@ def with_target(tx: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def presence(tx: DataFrame) -> DataFrame:
-    """Rows with and without a label, and without an id, and their shares."""
-    sums = tx.agg(F.count("*").alias("n"), F.count(F.when(F.col("labelled"), 1)).alias("n_labelled"), F.count(F.when(F.col("event_id").isNull(), 1)).alias("n_null_id"))
-    return sums.select("n", "n_labelled", (F.col("n") - F.col("n_labelled")).alias("n_unlabelled"), "n_null_id", (100 * F.try_divide("n_labelled", "n")).alias("pct_labelled"))
+    """Rows with and without a label, and without an id (counted apart), and their shares."""
+    known = F.col("event_id").isNotNull()
+    labelled = F.coalesce("labelled", F.lit(False))
+    sums = tx.agg(F.count("*").alias("n"), *[F.count(F.when(c, 1)).alias(n) for n, c in (("n_labelled", known & labelled), ("n_unlabelled", known & ~labelled), ("n_null_id", ~known))])
+    return sums.select("*", *[(100 * F.try_divide(f"n_{c}", "n")).alias(f"pct_{c}") for c in ("labelled", "unlabelled", "null_id")])
 
 
 def unmatched_labels(labels: DataFrame, tx: DataFrame) -> DataFrame:
@@ -32,18 +36,35 @@ def matched_rows(tx: DataFrame, labels: DataFrame) -> DataFrame:
     return tx.join(labels.select("event_id"), "event_id", "left_semi")
 
 
-def cohort_overlap(cohorts: dict[str, DataFrame], key: str = "customer_id") -> DataFrame:
-    """Number of customers that each two cohorts share: left, right, n_shared. One aggregation over all
-    cohorts makes a bit set for each customer; pairs are then counted without a join."""
+def cohort_overlap(tx: DataFrame, cohorts: dict[str, Column], key: str = "customer_id", samples: int = 0) -> DataFrame:
+    """Number of customers that each two cohorts share: left, right, n_shared, and on request their least ids (at most
+    ``samples``). Cohorts are conditions on one table, which is scanned once: one aggregation makes a bit set for each
+    customer, and pairs are counted without a join."""
     names = sorted(cohorts)
-    tagged = None
+    bits = F.lit(0)
     for i, n in enumerate(names):
-        one = cohorts[n].select(F.col(key).alias("k"), F.lit(1 << i).alias("bit"))
-        tagged = one if tagged is None else tagged.unionByName(one)
-    sets = tagged.groupBy("k").agg(F.bit_or("bit").alias("bits")).groupBy("bits").agg(F.count("*").alias("c"))
+        bits = bits.bitwiseOR(F.when(cohorts[n], 1 << i).otherwise(0))
+    sets = tx.select(F.col(key).alias("k"), bits.alias("bits")).groupBy("k").agg(F.bit_or("bits").alias("bits"))
+    counts = sets.groupBy("bits").agg(F.count("*").alias("c"), *([_least_ids("k", samples).alias("ids")] if samples else []))
     pairs = [(a, b, (1 << i) | (1 << j)) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
     entries = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit(m).alias("mask")) for a, b, m in pairs])
-    return sets.select("bits", "c", F.explode(entries).alias("p")).groupBy("p.left", "p.right").agg(F.sum(F.when(F.col("bits").bitwiseAND(F.col("p.mask")) == F.col("p.mask"), F.col("c")).otherwise(0)).alias("n_shared"))
+    shared = F.col("bits").bitwiseAND(F.col("p.mask")) == F.col("p.mask")
+    found = counts.select("*", F.explode(entries).alias("p")).groupBy("p.left", "p.right")
+    ids = F.slice(F.sort_array(F.flatten(F.collect_list(F.when(shared, F.col("ids"))))), 1, samples) if samples else None
+    return found.agg(F.sum(F.when(shared, F.col("c")).otherwise(0)).alias("n_shared"), *([ids.alias("sample_ids")] if samples else []))
+
+
+def _least_ids(key: str, samples: int) -> Column:
+    """The least ids of a group in bounded memory, by repeated exact minima over hash buckets."""
+    buckets = [F.min(F.when(F.pmod(F.xxhash64(key), F.lit(samples)) == b, F.col(key))) for b in range(samples)]
+    return F.array_compact(F.array(*buckets))
+
+
+def check_disjoint(overlap: DataFrame, allowed: Callable[[str, str], bool]) -> None:
+    """Raises if two cohorts share customers that may not; the message has the pairs and their sample ids. A row a pair is read."""
+    bad = [r for r in overlap.where("n_shared > 0").collect() if not allowed(r["left"], r["right"])]
+    if bad:
+        raise ValueError("; ".join(f"{r['left']} and {r['right']} share {r.n_shared} customers" + (f", such as {', '.join(r.sample_ids)}" if "sample_ids" in r else "") for r in bad))
 
 
 def id_sets(a: DataFrame, b: DataFrame, key: str = "customer_id") -> DataFrame:

@@ -23,3 +23,13 @@ def average_precision(df: DataFrame, score: str = "score", target: str = "target
     inner = Window.partitionBy("r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     steps = ranged.join(F.broadcast(carried), "r").select("p", "n", "all_p", ((F.col("p0") + F.sum("p").over(inner)) / (F.col("a0") + F.sum("a").over(inner))).alias("precision"))
     return steps.agg(F.sum(F.try_divide("p", "all_p") * F.col("precision")).alias("average_precision"), F.sum("n").alias("n"), F.max("all_p").alias("positive_weight"))
+
+
+def average_precisions(df: DataFrame, by: list[str], score: str = "score", target: str = "target", weight: str | None = None) -> DataFrame:
+    """The same for each group of rows: the columns ``by`` and average_precision. A group's distinct scores are sorted
+    together, which spills where they are many."""
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    groups = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(target) == 1, w).otherwise(0.0)).alias("p"), F.sum(w).alias("a"))
+    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = groups.select(*by, "p", (F.sum("p").over(down) / F.sum("a").over(down)).alias("precision"))
+    return steps.groupBy(*by).agg((F.try_divide(F.sum(F.col("p") * F.col("precision")), F.sum("p"))).alias("average_precision"))

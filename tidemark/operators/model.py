@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators.metrics import average_precision
+from tidemark.operators.metrics import average_precision, average_precisions
+from tidemark.sources.scratch import stored
+from tidemark.sources.tables import read_settings, write_settings
 
-#: Stands for a missing value: below every feature, so that trees can split it off.
+#: Stands for a missing value: below every feature, so that a split can send it to either side together with the lowest values
+#: or, with a split below those, on its own.
 ABSENT = -1e12
 DEFAULTS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 1.0}
 
@@ -78,15 +82,65 @@ def ranked(df: DataFrame, by: str) -> DataFrame:
     return ranged.join(F.broadcast(before), "_range").withColumn("_rank", F.col("_base") + F.row_number().over(Window.partitionBy("_range").orderBy(by))).drop("_range", "_base")
 
 
-def permutation_importance(model: GBTClassificationModel, df: DataFrame, features: list[str], tried: list[str] | None = None, repeats: int = 2) -> DataFrame:
+def permutation_importance(model: GBTClassificationModel, df: DataFrame, features: list[str], tried: list[str] | None = None, repeats: int = 5) -> DataFrame:
     """feature, mean_drop, std_drop of average precision when a feature's values are permuted; the largest first.
 
-    A feature that no tree splits on changes no score, so its drops are 0 without scoring.
+    In each repeat every row is given another row as its donor. All features and repeats are scored in one job: a row
+    goes out once for each, with the feature's value from the donor. A feature that no tree splits on changes no
+    score, so its drops are 0 without scoring.
     """
-    split_on = {features[int(i)] for i in re.findall(r"\bfeature (\d+)", model.toDebugString)}
-    rows = df.select("event_id", "target", "sample_weight", *features).persist()
-    base = average_precision(scored(model, rows, features), weight="sample_weight").first()[0] or 0.0
-    drops = [(f, base - (average_precision(scored(model, permuted(rows, f, 100 + 10 * r), features), weight="sample_weight").first()[0] or 0.0) if f in split_on else 0.0) for f in tried or features for r in range(repeats)]
-    rows.unpersist()
-    spark = df.sparkSession
-    return spark.createDataFrame(drops, "feature string, dropped double").groupBy("feature").agg(F.avg("dropped").alias("mean_drop"), F.stddev_samp("dropped").alias("std_drop")).orderBy(F.desc("mean_drop"))
+    split_on = {int(i) for i in re.findall(r"\bfeature (\d+)", model.toDebugString)}
+    names = tried or features
+    places = [(n, features.index(n)) for n in names if features.index(n) in split_on]
+    rows = stored(assembled(df.select("event_id", "target", "sample_weight", *features), features).select("event_id", "target", "sample_weight", vector_to_array("features").alias("own")))
+    donors = None
+    for r in range(repeats):
+        moved = permuted(rows, "own", 100 + 10 * r).select(F.lit(r).alias("repeat"), F.col("event_id").alias("_id"), F.col("own").alias("donor"))
+        donors = moved if donors is None else donors.unionByName(moved)
+    entries = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(i).alias("place")) for n, i in places]) if places else F.array().cast("array<struct<feature:string,place:int>>")
+    joined = rows.join(donors, F.col("event_id") == F.col("_id")).select("repeat", "target", "sample_weight", "own", "donor", F.explode(entries).alias("e")).select("*", "e.feature", "e.place")
+    mixed = F.transform("own", lambda x, i: F.when(i == F.col("place"), F.get("donor", F.col("place"))).otherwise(x))
+    whole = rows.select(F.lit(-1).alias("repeat"), "target", "sample_weight", F.lit("").alias("feature"), array_to_vector("own").alias("features"))
+    trials = joined.select("repeat", "target", "sample_weight", "feature", array_to_vector(mixed).alias("features")).unionByName(whole)
+    out = model.transform(trials).withColumn("score", vector_to_array("probability")[1])
+    found = stored(average_precisions(out, ["feature", "repeat"], weight="sample_weight"))
+    base = found.where("repeat = -1").select(F.col("average_precision").alias("base"))
+    drops = found.where("repeat >= 0").join(F.broadcast(base)).select("feature", (F.coalesce("base", F.lit(0.0)) - F.coalesce("average_precision", F.lit(0.0))).alias("dropped"))  # the other side is one row
+    still = df.sparkSession.createDataFrame([(n, 0.0) for n in names if features.index(n) not in split_on for _ in range(repeats)], "feature string, dropped double")
+    return drops.unionByName(still).groupBy("feature").agg(F.avg("dropped").alias("mean_drop"), F.stddev_samp("dropped").alias("std_drop")).orderBy(F.desc("mean_drop"), "feature")
+
+
+def save(model: GBTClassificationModel, features: list[str], path: str) -> None:
+    """The model and the names of its features, in their order."""
+    model.write().overwrite().save(f"{path}/model")
+    write_settings(SparkSession.getActiveSession(), {"features": features}, f"{path}/features")
+
+
+def load(spark: SparkSession, path: str) -> tuple[GBTClassificationModel, list[str]]:
+    return GBTClassificationModel.load(f"{path}/model"), read_settings(spark, f"{path}/features", {})["features"]
+
+
+def ranking_text(importance: DataFrame, top: int = 15) -> str:
+    """The report: most and least important features. A row a feature is read."""
+    ranked = importance.orderBy(F.desc("mean_drop"), "feature").collect()
+    lines = ["| rank | feature | mean drop | deviation |", "|-|-|-|-|"]
+    kept = list(enumerate(ranked, 1))
+    for i, r in kept if len(kept) <= 2 * top else [*kept[:top], *kept[-top:]]:
+        lines.append(f"| {i} | {r.feature} | {r.mean_drop:.6f} | {(r.std_drop or 0.0):.6f} |")
+    return "\n".join(lines)
+
+
+def write_importance(importance: DataFrame, path: str, top: int = 15) -> None:
+    """The whole ranking as CSV, and the report as text."""
+    importance.coalesce(1).orderBy(F.desc("mean_drop"), "feature").write.mode("overwrite").option("header", True).csv(f"{path}/ranking")
+    importance.sparkSession.createDataFrame([(ranking_text(importance, top),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+
+
+def write_trials(spark: SparkSession, trials: list[dict], path: str) -> dict:
+    """Grid results as JSON lines and CSV, and the best settings, which are also returned."""
+    table = spark.createDataFrame([(json.dumps({k: v for k, v in t.items() if k != "average_precision"}), t["average_precision"]) for t in trials], "settings string, average_precision double").coalesce(1)
+    table.write.mode("overwrite").json(f"{path}/trials")
+    table.write.mode("overwrite").option("header", True).csv(f"{path}/grid")
+    best = {k: v for k, v in trials[0].items() if k != "average_precision"}
+    write_settings(spark, best, f"{path}/best")
+    return best

@@ -5,13 +5,13 @@ from __future__ import annotations
 from tidemark.sources.fixtures import ORACLE
 
 
-def pairs(cap: int = 512) -> str:
-    """CTEs: r (rows in order), p (row and past row, h_*), agg (one row a row, with every feature)."""
-    return f"""WITH {ORACLE},
+def pairs(cap: int | str = 512, before: str = "", rows: str = "tx") -> str:
+    """CTEs: r (rows in order), p (row and past row, h_*), agg (one row a row, with every feature). ``before`` has CTEs that ``rows`` needs; ``cap`` may be a column of r."""
+    return f"""WITH {ORACLE},{before}
 r AS (SELECT *, coalesce(os, '') || '|' || coalesce(ver, '') AS dev, os IS NOT NULL OR ver IS NOT NULL AS dev_known,
     coalesce(ch_type, '') || '|' || coalesce(ch_sub, '') AS ch, ch_type IS NOT NULL OR ch_sub IS NOT NULL AS ch_known,
     (t % 86400) // 3600 AS hr, (t // 86400 + 3) % 7 AS wd,
-    row_number() OVER (PARTITION BY customer_id ORDER BY CASE phase WHEN 'pretrain' THEN 0 WHEN 'train' THEN 1 ELSE 3 END, t, event_id) AS rn FROM tx),
+    row_number() OVER (PARTITION BY customer_id ORDER BY CASE phase WHEN 'pretrain' THEN 0 WHEN 'train' THEN 1 ELSE 3 END, t, event_id) AS rn FROM {rows}),
 p0 AS (SELECT r.*, h.rn AS h_rn, h.t AS h_t, h.amt AS h_amt, h.mcc AS h_mcc, h.descr AS h_descr, h.et AS h_et, h.ch AS h_ch, h.ch_known AS h_chk,
     h.dev AS h_dev, h.dev_known AS h_devk, h.tz AS h_tz, h.bl AS h_bl, h.sess AS h_sess, h.rdp AS h_rdp, h.voip AS h_voip, h.hr AS h_hr, h.wd AS h_wd,
     r.rn - h.rn AS back, h.t >= r.t - 3600 AS w1, h.t >= r.t - 21600 AS w6, h.t >= r.t - 86400 AS w24, h.t >= r.t - 432000 AS w5, h.t >= r.t - 604800 AS w7,
@@ -104,4 +104,8 @@ SQL: dict[str, str] = {
 
 def query(names: list[str], cap: int = 512) -> str:
     """event_id and the named features, rounded to 4 places (a hair up, so that halves fall alike)."""
-    return pairs(cap) + "\nSELECT event_id, " + ", ".join(f"round(CAST({SQL[n]} AS DOUBLE) + 1e-7, 4) + 0.0 AS {n}" for n in names) + " FROM z"
+    return pairs(cap) + f"\nSELECT event_id, {selected(names)} FROM z"
+
+
+def selected(names: list[str]) -> str:
+    return ", ".join(f"round(CAST({SQL[n]} AS DOUBLE) + 1e-7, 4) + 0.0 AS {n}" for n in names)

@@ -6,22 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import history, labels, lookups, sampling
+from tidemark.sources import aggregates
+from tidemark.sources.tables import META_COLUMNS
 
-META = ["mcc_key", "et", "descr", "ccy", "pos", "al", "screen", "tz", "ch_type", "ch_sub"]
+#: Where the meta columns that are not named alike come from.
+META = {
+    "mcc_code": "mcc", "event_type_nm": "et", "event_descr": "descr", "currency_iso_cd": "ccy", "pos_cd": "pos", "accept_language": "al",
+    "screen_size": "screen", "timezone": "tz", "channel_indicator_type": "ch_type", "channel_indicator_subtype": "ch_sub",
+}
 
 
-def training_matrix(tx: DataFrame, distribution: DataFrame | None = None, cap: int = history.CAP, phase: str = "train") -> DataFrame:
-    """244 features, meta columns, event_id, customer_id, target, sample_weight, t.
+def training_matrix(tx: DataFrame, distribution: DataFrame | None = None, cap: int | None = history.CAP, phase: str = "train", fitted: aggregates.Aggregates | None = None) -> DataFrame:
+    """244 features, then the meta columns in their order, then t.
 
     Windows run over all phases; rows of other phases then go. With a length distribution each row
-    sees only its own draw of newest rows.
+    sees only its own draw of newest rows. Aggregates come from ``fitted``, or else from the pretrain and train rows of ``tx``.
     """
     rows = labels.with_target(tx)
     suffix = None
     if distribution is not None:
         rows, suffix = sampling.sampled_lengths(rows, distribution), "length"
-    keep = list(dict.fromkeys([*META, "amt", "customer_id", "target", "sample_weight", "t", "phase"]))
+    keep = [*META.values(), "mcc_key", "amt", "customer_id", "target", "sample_weight", "event_dttm", "t", "phase"]
     local = history.history_features(rows, cap=cap, suffix=suffix, keep=keep).where(F.col("phase") == phase).drop("phase")
-    out = lookups.population_features(local, tx)
+    out = lookups.population_features(local, fitted or lookups.stored_once(tx))
     names = [*history.FEATURES, *lookups.feature_names()]
-    return out.select(*names, *META, "customer_id", "event_id", "target", "sample_weight", "t")
+    return out.select(*names, *[F.col(META.get(c, c)).alias(c) for c in META_COLUMNS], "t")
+
+
+def scoring_rows(tx: DataFrame, fitted: aggregates.Aggregates) -> DataFrame:
+    """event_id and the 244 features of every test row. Its history is its customer's pretest rows and earlier test rows,
+    of any number; rows without an event id are neither scored nor part of a history."""
+    later = tx.where(F.col("phase").isin("pretest", "test") & F.col("event_id").isNotNull())
+    rows = history.history_features(later, cap=None, keep=[*META.values(), "mcc_key", "amt", "phase"]).where("phase = 'test'").drop("phase")
+    return lookups.population_features(rows, fitted).select("event_id", *history.FEATURES, *lookups.feature_names())

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import audits, axes, history, labels, lookups, metrics, model, sampling, split
-from tidemark.plans import history_oracle, matrix
-from tidemark.sources import fixtures
+from tidemark.plans import history_oracle, jobs, matrix
+from tidemark.sources import aggregates, fixtures
 from tidemark.sources.fixtures import ORACLE
-from tidemark.sources.tables import conform
+from tidemark.sources.scratch import new_path, stored
+from tidemark.sources.tables import META_COLUMNS, conform, feature_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,9 +139,15 @@ def label_join_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.with_target(tx, marks).select("event_id", "target", "sample_weight")
 
 
-@register("label_presence_audit", f"WITH {ORACLE} SELECT count(*) AS n, count(*) FILTER (labelled) AS n_labelled, count(*) FILTER (NOT labelled) AS n_unlabelled, count(*) FILTER (event_id IS NULL) AS n_null_id, {sql_near('100.0 * count(*) FILTER (labelled) / count(*)', 'pct_labelled')} FROM tx WHERE phase = 'train'")
+_PRESENCE = {"n_labelled": "event_id % 41 <> 0 AND labelled", "n_unlabelled": "event_id % 41 <> 0 AND NOT labelled", "n_null_id": "event_id % 41 = 0"}
+
+
+@register("label_presence_audit", f"WITH {ORACLE} SELECT count(*) AS n, {', '.join(f'count(*) FILTER ({c}) AS {n}' for n, c in _PRESENCE.items())}, {', '.join(sql_near(f'100.0 * count(*) FILTER ({c}) / count(*)', n.replace('n_', 'pct_', 1)) for n, c in _PRESENCE.items())} FROM tx WHERE phase = 'train'")
 def label_presence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.presence(transactions(spark, sf_dir).where("phase = 'train'")).select("n", "n_labelled", "n_unlabelled", "n_null_id", near("pct_labelled"))
+    """Some rows have no id; they are counted apart."""
+    raw = fixtures.raw_transactions(spark, sf_dir).where("phase = 'train'").withColumn("event_id", F.when(F.col("event_id") % 41 != 0, F.col("event_id")))
+    found = labels.presence(conform(raw))
+    return found.select("n", *_PRESENCE, *[near(n.replace("n_", "pct_", 1)) for n in _PRESENCE])
 
 
 @register("label_semi_join", "SELECT count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -164,7 +171,7 @@ _COHORTS = "c AS (SELECT DISTINCT phase || '_' || CAST(CAST(customer_id AS BIGIN
 def cohort_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
     third = F.col("customer_id").cast("bigint") % 3
-    return labels.cohort_overlap({f"{p}_{k}": tx.where((F.col("phase") == p) & (third == k)) for p in ("pretrain", "train") for k in range(3)})
+    return labels.cohort_overlap(tx, {f"{p}_{k}": (F.col("phase") == p) & (third == k) for p in ("pretrain", "train") for k in range(3)})
 
 
 @register("customer_sets", "SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)) AS n_both, (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS n_only_first, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS n_only_second")
@@ -248,8 +255,8 @@ SELECT event_id, {", ".join(sql_near(e, n) for n, e in _block_sql(axis))} FROM j
 def _lookup_query(axis: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx = transactions(spark, sf_dir)
-        stats = axes.axis_statistics(tx, {axis: axes.axis_keys()[axis]}).persist()
-        return lookups.with_axis(tx, stats, axis).select("event_id", *map(near, lookups.block(axis)))
+        stats = stored(axes.axis_statistics(tx, {axis: axes.axis_keys()[axis]}))
+        return lookups.with_axis(tx, stats, axis).select("event_id", *map(near, lookups.block_names(axis)))
 
     return run
 
@@ -271,7 +278,33 @@ SELECT event_id, {sql_near(_NEGLOG.format(num='n_ch', den='total'), lookups.JOIN
 )
 def global_joint_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
-    return lookups.with_joint(tx, tx).select("event_id", *map(near, lookups.JOINT))
+    return lookups.with_joint(tx, aggregates.fitted(tx)).select("event_id", *map(near, lookups.JOINT))
+
+
+_POPULATION = "SELECT * FROM " + " JOIN ".join(f"({ORACLES[q]})" + ("" if i == 0 else " USING (event_id)") for i, q in enumerate([*[f"global_lookup_{a}" for a in lookups.LAYOUT], "global_joint_features"]))
+
+
+def _stored_aggregates(tx: DataFrame) -> aggregates.Aggregates:
+    root = new_path(tx.sparkSession)
+    aggregates.write(tx, root)
+    return aggregates.read(tx.sparkSession, root)
+
+
+@register("population_features", _POPULATION)
+def population_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 146 features, from aggregate tables that are written, read back and checked."""
+    tx = transactions(spark, sf_dir)
+    return lookups.population_features(tx, _stored_aggregates(tx)).select("event_id", *map(near, lookups.feature_names()))
+
+
+_ZERO_PARITY = "SELECT column_name, n AS n_compared, CAST(0 AS BIGINT) AS n_different FROM (SELECT unnest([{names}]) AS column_name), (SELECT count(*) AS n FROM tx)"
+
+
+@register("population_parity", f"WITH {ORACLE} " + _ZERO_PARITY.format(names=", ".join(f"'{n}'" for n in lookups.feature_names())))
+def population_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 146 features from stored tables against those from tables as they are computed, row by row: no difference is allowed."""
+    tx = transactions(spark, sf_dir)
+    return audits.parity(lookups.population_features(tx, _stored_aggregates(tx)), lookups.population_features(tx, lookups.stored_once(tx)), lookups.feature_names())
 
 
 # ---- sampling, split, metrics, scalars
@@ -299,11 +332,14 @@ def _mix_sql(z: str) -> str:
 _DRAW = (
     f"e0 AS (SELECT event_id, customer_id, {_mix_sql('event_id::UHUGEINT')} AS h FROM tx),\n"
     + ",\n".join(f"e{i} AS (SELECT event_id, customer_id, CASE WHEN length(customer_id) >= {i} THEN " + _mix_sql(f"xor(h, (ascii(substr(customer_id, {i}, 1)) + 1099511628211)::UHUGEINT)") + f" ELSE h END AS h FROM e{i - 1})" for i in range(1, 9))
-    + ",\nu AS (SELECT event_id, (" + _mix_sql("xor(h, 15485907222085384917::UHUGEINT)") + " & 9007199254740991::UHUGEINT)::DOUBLE / 9007199254740991 AS u FROM e8)"
+    + ",\nu AS (SELECT event_id, (" + _mix_sql(f"xor(h, {int(sampling._DRAW)}::UHUGEINT)") + " & 9007199254740991::UHUGEINT)::DOUBLE / 9007199254740991 AS u FROM e8)"
 )
 
 
-@register("window_length_sample", f"WITH {ORACLE}, {_CDF}, {_DRAW} SELECT event_id, round(u, 9) AS u, CAST(coalesce((SELECT min(length) FROM cdf WHERE cdf.cdf >= u.u), (SELECT max(length) FROM cdf)) AS BIGINT) AS length FROM u".replace("15485907222085384917", str(0xD6E8FEB866B13AD5)))
+_LENGTH = "CAST(coalesce((SELECT min(length) FROM cdf WHERE cdf.cdf >= u.u), (SELECT max(length) FROM cdf)) AS BIGINT) AS length"
+
+
+@register("window_length_sample", f"WITH {ORACLE}, {_CDF}, {_DRAW} SELECT event_id, round(u, 9) AS u, {_LENGTH} FROM u")
 def window_length_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
     return sampling.sampled_lengths(tx, sampling.length_distribution(_past_of_thirds(tx))).select("event_id", F.round("u", 9).alias("u"), "length")
@@ -344,9 +380,14 @@ def proba_to_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- audits
 
 
-@register("decile_profile", "SELECT decile, round(v + 1e-7, 4) AS value FROM (SELECT unnest(range(11)) AS decile, unnest(quantile_cont(l_extendedprice, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS v FROM lineitem)".replace("SELECT decile,", "SELECT CAST(decile AS INT) AS decile,", 1))
+_SEEN = "SELECT ln(1 + least(512, row_number() OVER (PARTITION BY customer_id ORDER BY CASE phase WHEN 'pretrain' THEN 0 WHEN 'train' THEN 1 ELSE 3 END, t, event_id) - 1)) AS v FROM tx"
+
+
+@register("decile_profile", f"WITH {ORACLE} SELECT CAST(decile AS INT) AS decile, {sql_near('v', 'value')} FROM (SELECT unnest(range(11)) AS decile, unnest(quantile_cont(v, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS v FROM ({_SEEN}))")
 def decile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.decile_profile(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice").select("decile", near("value"))
+    """Of the log history length."""
+    rows = history.history_features(transactions(spark, sf_dir), ["log_1_plus_transactions_seen"])
+    return audits.decile_profile(rows, "log_1_plus_transactions_seen").select("decile", near("value"))
 
 
 def _profile_sql(columns: dict[str, str]) -> str:
@@ -376,13 +417,47 @@ def schema_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.schema_listing(transactions(spark, sf_dir))
 
 
-@register("training_matrix")
-def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 244 features of every train row, each with its drawn history length."""
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
     return matrix.training_matrix(tx, sampling.length_distribution(_past_of_thirds(tx)))
 
 
+_FEATURES = [*history.FEATURES, *lookups.feature_names()]
+_META = [c for c in META_COLUMNS if c not in ("customer_id", "event_id", "target", "sample_weight", "event_dttm")]
+_MATRIX_SQL = (
+    history_oracle.pairs("r.length", f" {_CDF}, {_DRAW}, lens AS (SELECT event_id, {_LENGTH} FROM u),", "(SELECT tx.*, lens.length FROM tx JOIN lens USING (event_id)) AS tx")
+    + f""", past AS (SELECT event_id, {history_oracle.selected(list(history.FEATURES))}, {", ".join(f"{matrix.META[c]} AS {c}" for c in _META)}, customer_id,
+  CASE WHEN label IS NOT NULL THEN 1 ELSE 0 END AS target, CAST(CASE WHEN label = 1 THEN 5 WHEN label = 0 THEN 2 ELSE 1 END AS DOUBLE) AS sample_weight, t FROM z WHERE phase = 'train')
+SELECT * FROM past JOIN ({_POPULATION}) AS population USING (event_id)"""
+)
+
+
+@register("training_matrix", _MATRIX_SQL)
+def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 244 features of every train row, each with its drawn history length, and the meta columns."""
+    return _matrix(spark, sf_dir).select(*map(near, _FEATURES), *[c for c in META_COLUMNS if c != "event_dttm"], "t")
+
+
+# ---- scoring
+
+_LATER = " px AS (SELECT * REPLACE (CASE WHEN t < 1706486400 THEN 'pretest' ELSE 'test' END AS phase) FROM tx WHERE phase = 'test' AND event_id % 43 <> 0),"
+
+
+def _scored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture with its last phase cut into pretest and test; some rows of either have no id."""
+    raw = fixtures.raw_transactions(spark, sf_dir)
+    later = F.col("phase") == "test"
+    raw = raw.withColumn("event_id", F.when(~later | (F.col("event_id") % 43 != 0), F.col("event_id")))
+    return conform(raw.withColumn("phase", F.when(later & (F.unix_seconds(F.col("event_dttm")) < 1706486400), "pretest").otherwise(F.col("phase"))))
+
+
+@register("scoring_features", history_oracle.pairs(10**9, _LATER, "px AS tx") + f"\nSELECT * FROM (SELECT event_id, {history_oracle.selected(list(history.FEATURES))} FROM z WHERE phase = 'test') JOIN ({_POPULATION}) AS population USING (event_id)")
+def scoring_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 244 features of the test rows: histories come from pretest and are unlimited, aggregates from stored tables."""
+    tx = _scored_transactions(spark, sf_dir)
+    return matrix.scoring_rows(tx, _stored_aggregates(tx)).select("event_id", *map(near, _FEATURES))
+
+
 @register("quality_smoke")
 def quality_smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.history_features(transactions(spark, sf_dir))
@@ -398,23 +473,26 @@ def recipe_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.parity(arrays, prefix, ["transactions_last_24h", "sum_amount_last_24h"])
 
 
-def _model_features() -> list[str]:
-    return [*history.FEATURES, *lookups.feature_names()]
-
-
 def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.with_split(training_matrix(spark, sf_dir)).persist()
+    return stored(split.with_split(_matrix(spark, sf_dir)))
 
 
 @register("gbt_scores")
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
-    fitted = model.train(rows, _model_features())
-    return model.scored(fitted, rows.where("validation"), _model_features()).select("event_id", "target", "sample_weight", "score", "predict")
+    fitted = model.train(rows, feature_columns(rows.drop("t", "validation")))
+    return model.scored(fitted, rows.where("validation"), _FEATURES).select("event_id", "target", "sample_weight", "score", "predict")
 
 
 @register("permutation_importance")
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
-    fitted = model.train(rows, _model_features())
-    return model.permutation_importance(fitted, rows.where("validation"), _model_features(), repeats=5)
+    fitted = model.train(rows, _FEATURES)
+    return model.permutation_importance(fitted, rows.where("validation"), _FEATURES, repeats=5)
+
+
+@register("scoring")
+def scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: aggregates, matrix and model are stored, read back, and the test rows scored."""
+    found = jobs.run(spark, jobs.Paths(new_path(spark)), _scored_transactions(spark, sf_dir))
+    return found.select("event_id", "predict")

@@ -37,7 +37,7 @@ ORACLE = (
 tx AS (SELECT customer_id, event_id, sec AS t, operaton_amt AS amt, mcc_code AS mcc, coalesce(CAST(mcc_code AS BIGINT), -2) AS mcc_key,
   channel_indicator_type AS ch_type, channel_indicator_sub_type AS ch_sub, nullif(timezone, '') AS tz, nullif(currency_iso_cd, '') AS ccy,
   event_type_nm AS et, nullif(trim(event_descr), '') AS descr, nullif(pos_cd, '') AS pos, operating_system_type AS os, device_system_version AS ver,
-  session_id AS sess, browser_language AS bl, accept_language AS al, battery, developer_tools AS dev_tools,
+  session_id AS sess, browser_language AS bl, accept_language AS al, CAST(NULL AS VARCHAR) AS screen, battery, developer_tools AS dev_tools,
   phone_voip_call_state IS NOT NULL AS voip, web_rdp_connection IS NOT NULL AS rdp, phase, labelled, label FROM raw)"""
 )
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DecimalType, FractionalType, IntegralType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BinaryType, BooleanType, ByteType, DataType, DateType, DecimalType, FractionalType, IntegralType, ShortType, StringType, TimestampNTZType, TimestampType
 
 from tidemark.functions import scalars as S
 
@@ -69,10 +69,27 @@ def read_transactions(spark: SparkSession, paths: dict[str, list[str]]) -> DataF
     return out
 
 
+def as_number(c: Column, of: DataType) -> Column:
+    """Finite double of a column; types that are no amounts (boolean, one- and two-byte integers, times) give null."""
+    if isinstance(of, StringType):
+        return S.parse_double(c)
+    if isinstance(of, (BooleanType, ByteType, ShortType, TimestampType, TimestampNTZType, DateType, BinaryType)):
+        return F.lit(None).cast("double")
+    x = c.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def as_id(c: Column, of: DataType) -> Column:
+    """Whole number of a column, null where it has none; text may go on after the number."""
+    if isinstance(of, StringType):
+        return F.regexp_extract(F.trim(c, F.lit(" \t")), r"^[+-]?\d+", 0).try_cast("bigint")
+    return c.try_cast("bigint")
+
+
 def conform(df: DataFrame) -> DataFrame:
-    """Canonical transaction columns: trimmed text (null if empty), finite numbers, whole seconds.
+    """Canonical transaction columns: trimmed text (null if empty), finite numbers, whole seconds, the time as it was given.
 
-    Rows without a customer are dropped. The phase, if there, stays, as do label columns.
+    Rows without a customer are dropped; those without an event id stay, with a null id. The phase, if there, stays, as do label columns.
     """
     have = set(df.columns)
     kinds = dict(df.dtypes)
@@ -82,14 +99,13 @@ def conform(df: DataFrame) -> DataFrame:
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
     def number(name: str):
-        if name not in have:
-            return F.lit(None).cast("double")
-        return S.parse_double(F.col(name)) if kinds[name] == "string" else F.when(~F.isnan(F.col(name).cast("double")) & (F.abs(F.col(name).cast("double")) != float("inf")), F.col(name).cast("double"))
+        return as_number(F.col(name), df.schema[name].dataType) if name in have else F.lit(None).cast("double")
 
     return df.where(F.coalesce(F.col("customer_id").cast("string"), F.lit("")) != "").select(
         F.col("customer_id").cast("string").alias("customer_id"),
-        F.coalesce(F.col("event_id").try_cast("bigint"), F.lit(0)).alias("event_id"),
+        as_id(F.col("event_id"), df.schema["event_id"].dataType).alias("event_id"),
         S.parse_seconds(F.col("event_dttm"), kinds["event_dttm"]).alias("t"),
+        F.col("event_dttm").cast("string").alias("event_dttm"),
         number("operaton_amt").alias("amt"),
         text("mcc_code").alias("mcc"),
         (S.mcc_key(F.col("mcc_code")) if "mcc_code" in have else F.lit(S.MCC_MISSING).cast("bigint")).alias("mcc_key"),
@@ -115,9 +131,22 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """event_id, label; one row an event (the largest label), both fields known."""
+    """event_id, label; one row an event, both fields known; of several labels the last in the file."""
+    df = validate(spark.read.parquet(path), LABEL_COLUMNS)
+    known = df.select(as_id(F.col("event_id"), df.schema["event_id"].dataType).alias("event_id"), F.col("target").try_cast("int").alias("label"), F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
+    return known.where("event_id IS NOT NULL AND label IS NOT NULL").groupBy("event_id").agg(F.max_by("label", "_at").alias("label"))
+
+
+def read_label_ids(spark: SparkSession, path: str) -> DataFrame:
+    """event_id of all labelled events, those with an unknown target too."""
     df = validate(spark.read.parquet(path), LABEL_COLUMNS)
-    return df.select(F.col("event_id").try_cast("bigint").alias("event_id"), F.col("target").try_cast("int").alias("label")).dropna().groupBy("event_id").agg(F.max("label").alias("label"))
+    return df.select(as_id(F.col("event_id"), df.schema["event_id"].dataType).alias("event_id")).where("event_id IS NOT NULL").distinct()
+
+
+def row_count(spark: SparkSession, paths: list[str]) -> int:
+    """Rows of the existing files; no column is read, only the files' footers."""
+    found = existing(spark, paths)
+    return spark.read.parquet(*found).select().count() if found else 0
 
 
 def dataset_paths(spark: SparkSession, root: str) -> list[str]:
@@ -152,6 +181,20 @@ def write_predictions(df: DataFrame, path: str, expected_rows: int | None = None
     return expected_rows is None or df.count() == expected_rows
 
 
+# Columns of the matrix that are no features, in their order.
+META_COLUMNS = [
+    "mcc_code", "event_type_nm", "event_descr", "currency_iso_cd", "pos_cd", "accept_language", "screen_size", "timezone",
+    "channel_indicator_type", "channel_indicator_subtype", "customer_id", "event_id", "target", "sample_weight", "event_dttm",
+]
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """The features of a matrix: all columns but the meta columns, of which time, target and weight must be there."""
+    if missing := [c for c in ("event_dttm", "target", "sample_weight") if c not in df.columns]:
+        raise ValueError(f"the matrix lacks {', '.join(missing)}")
+    return [c for c in df.columns if c not in META_COLUMNS]
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
