@@ -31,7 +31,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: The same, with the letters and numbers of a newer Unicode counted as other characters.
 PIECES_WITHOUT = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--[ODD]]+| ?[\p{N}--[ODD]]+| ?(?:[^\s\p{L}\p{N}]|[ODD])+|\s+(?!\S)|\s+"
 #: Pieces that each of a worker's two cache generations holds.
-CACHED = 400_000
+CACHED = 250_000
 #: Longer pieces are encoded afresh each time.
 CACHED_CHARS = 64
 

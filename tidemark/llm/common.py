@@ -1,17 +1,17 @@
-"""Shared helpers: column picking, Arrow row maps, tables that cut lineage."""
+"""Shared helpers: column picking, Arrow row maps; tables that cut lineage are those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python step holds at once.
-SLICE_ROWS = 256
+from tidemark.sources.scratch import new_path, stored
+
+#: Rows, and bytes about, that a Python step holds at once; a longer row comes alone.
+SLICE_ROWS, SLICE_BYTES = 256, 1_000_000
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -31,8 +31,14 @@ def as_bytes(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        parts = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while parts:
+            part = parts.pop()
+            if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                half = part.num_rows // 2
+                parts += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
@@ -52,32 +58,8 @@ def map_whole(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session (as in tests) has a folder of its own; a cluster must set it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        session = spark.sparkContext.applicationId
-        if session not in _own_dirs:
-            _own_dirs[session] = tempfile.mkdtemp(prefix="tidemark-")
-        found = _own_dirs[session]
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+materialise = stored
+__all__ = ["as_bytes", "documents", "map_slices", "map_whole", "materialise", "new_path", "pick", "slices"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

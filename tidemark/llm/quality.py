@@ -47,7 +47,7 @@ BINS = 4096
 #: Buckets of the generative models.
 BUCKETS = 1 << 16
 #: Bytes whose characters are hashed at once; words are never cut.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACES = b" \t\n\r\x0b\x0c"
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidemark.llm.common import as_bytes, map_slices, materialise
+from tidemark.llm.common import as_bytes, map_slices, materialise, slices
 from tidemark.llm.components import components
 
 SEED = 42
@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Rows and bytes of text in a slice, whose shingles travel packed together, at most (a single text may be longer).
-SLICE_TEXTS, SLICE_BYTES = 2048, 4_000_000
+SLICE_TEXTS, SLICE_BYTES = 2048, 2_000_000
 #: Shingles whose holders are counted in one task, about.
 PART_SHINGLES = 1_000_000
 #: A shingle that more texts of a slice have travels once for the slice, with its number of texts.
@@ -222,7 +222,7 @@ def _counted(hashes: np.ndarray) -> np.ndarray:
 def _text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
     held: list[bytes] = []
     size = 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             if held and (len(held) >= SLICE_TEXTS or size + len(text) > SLICE_BYTES):
                 yield held
