@@ -1,9 +1,10 @@
 """Connected components of an edge table by alternating stars, wholly in Spark.
 
 Each round lets every node point its larger neighbours, then its smaller ones, to the least node it
-knows; the number of rounds grows with the logarithm of the longest path. Each round's edges are
-written to the shared folder. A node with very many edges is only ever aggregated with partial sums
-or is the larger side of a join, which Spark splits.
+knows; the number of rounds grows with the logarithm of the longest path. Each round's edges and least
+nodes are written to the shared folder, so that joins have plain sides: small ones are broadcast, and
+a node with very many edges is the larger side of a join, which Spark splits where it is skewed.
+Edges of a node with itself count for nothing; without edges there are no nodes.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ def _proper(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return _proper(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _proper(moved.unionByName(least.select("u", F.col("m").alias("v"))))
 

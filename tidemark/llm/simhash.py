@@ -106,7 +106,7 @@ def links(fps: DataFrame) -> DataFrame:
         + ")))"
     )
     words = materialise(near.select("fp", F.explode(flips).alias("word")))
-    return words.join(_shared(words, "word"), "word").where(F.col("fp") != F.col("least")).select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    return words.join(materialise(_shared(words, "word")), "word").where(F.col("fp") != F.col("least")).select(F.col("fp").alias("u"), F.col("least").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = found.join(distinct.withColumnRenamed("fp", "node"), "node")
     least = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    by_fp = materialise(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
     return rows.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -445,12 +445,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = 2**63 - 1
     features = materialise(_features(docs, id_col, text_col, shingle).withColumn("id", F.coalesce("id", F.lit(last))))
     nodes = materialise(features.groupBy("key").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("node", "fp", "size")]))
-    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    by_fp = materialise(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     linked = links(nodes.select("fp").distinct())
     bits = linked.join(by_fp.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(by_fp.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v").select("a", "b")
     same = nodes.join(by_fp, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
     prefixes = materialise(_prefixes(docs, text_col, shingle, least, features.agg(F.sum("size")).first()[0] or 0).distinct())
-    holders = prefixes.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("token", "b")
+    holders = materialise(prefixes.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("token", "b"))
     rare = prefixes.join(holders, "token").select(F.col("node").alias("a"), "b")
     candidates = bits.unionByName(same).unionByName(rare).where("a != b").distinct()
     roots = components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v")))
