@@ -386,8 +386,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     # a table of its own, so that the join below has plain sides and Spark can split a hot minimizer
     often = materialise(spans.groupBy("grp").agg(F.sum("times").alias("c")).where("c > 1").select("grp"))
     again = materialise(spans.join(often, "grp", "left_semi").withColumn("place", F.monotonically_increasing_id()))
-    kinds = again.groupBy("grp", "kind").agg(F.sum("times").alias("copies"), F.min("place").alias("first"))
-    groups = kinds.groupBy("grp").agg(F.count("*").alias("kinds"))
+    kinds = materialise(again.groupBy("grp", "kind").agg(F.sum("times").alias("copies"), F.min("place").alias("first")))
+    groups = materialise(kinds.groupBy("grp").agg(F.count("*").alias("kinds")))
     known = materialise(again.join(materialise(kinds.join(groups, "grp")), ["grp", "kind"]))
     whole = known.where("copies > 1").select("row", "start", F.array(F.lit(0), (F.col("n") * F.col("times")).cast("int")).alias("ranges"))
     wanted = known.where("kinds > 1 AND place = first").withColumn("hot", F.col("kinds") > index_spans)
