@@ -21,8 +21,8 @@ from tidemark.llm.common import pick
 
 K = 128
 SHINGLE = 5
-#: Documents in a range of ids, about.
-RANGE_ROWS = 20_000
+#: Documents in a range of ids, about, and ranges at most (beyond, they grow; a range is sorted with spilling).
+RANGE_ROWS, RANGES = 20_000, 4096
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _SMALLEST = -(2**63)
 
@@ -64,7 +64,7 @@ def resemblance(a: Column, b: Column, k: int = K) -> Column:
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
     """Estimated number of distinct shingles; exact below k."""
-    full = (k - 1) / ((F.element_at(a, -1).cast("double") - _SMALLEST) / F.lit(2.0**64))
+    full = (k - 1) / ((F.get(a, F.size(a) - 1).cast("double") - _SMALLEST) / F.lit(2.0**64))
     return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise(full)
 
 
@@ -96,7 +96,7 @@ def with_next(rows: DataFrame, key: str, text: str, prepare: Callable[[DataFrame
     """
     spark = rows.sparkSession
     count = rows.count()
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / range_rows))
+    parts = min(RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / range_rows)))
     quantiles = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts) if count else []
     bounds = sorted({int(q) for q in quantiles if q is not None})
     ranged = rows.withColumn("_range", range_of(F.col(key), bounds) if bounds else F.lit(0))
@@ -132,7 +132,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """Row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint (digests of the sketches), near_edited, near_next,
+    inside_edited (share of the text's shingles in the edited text), n_shingles (distinct, estimated), sketch (what ``merge`` takes)."""
     found = edited_fingerprints(docs, id_col, text_col)
 
     def written(sketch: str) -> Column:
@@ -146,4 +147,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         written("edited_sketch").alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("inside_edited"),
+        distinct_shingles(F.col("sketch")).alias("n_shingles"),
+        F.col("sketch"),
     )
