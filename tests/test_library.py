@@ -224,14 +224,24 @@ def test_registered_importance_covers_all_features(spark, monkeypatch):
     assert len(seen["trained"]) == len(seen["tried"]) == 244 and seen["repeats"] == 5 and not seen["settings"]
 
 
-def test_audits(spark, tables):
+def test_audits(spark, tmp_path):
     df = spark.createDataFrame([(1, 1.0, "a"), (1, float("inf"), None), (2, None, "bb")], "event_id long, x double, s string")
     got = {r.column_name: r for r in audits.column_profile(df).collect()}
     assert (got["s"].n_null, got["s"].largest, got["event_id"].n_distinct) == (1, 2.0, 2)
     assert tuple(audits.duplicate_ids(df).first()) == (3, 2, 1)
     assert audits.feature_health(df, ["x"]).first().n_infinite == 1
     assert audits.all_columns_there(df, ["event_id", "x"]) == ["unexpected s"] and audits.all_columns_there(df, df.columns) == []
-    assert all(r.n_different == 0 for r in queries.QUERIES["recipe_parity"](spark, tables).collect())
+    assert audits.profile(df, "schema").count() == 3 and audits.profile(df, "light").columns == ["column_name", "n", "n_null"]
+    df.write.parquet(f"{tmp_path}/one.parquet")
+    assert {r.name for r in audits.file_schemas(spark, f"{tmp_path}/one.parquet").collect()} == {"event_id", "x", "s"}
+    assert audits.file_schemas(spark, str(tmp_path), recursive=True).count() >= 3
+
+
+def test_row_samples(spark):
+    df = spark.range(1000).withColumnRenamed("id", "event_id")
+    one, two = (sorted(r.event_id for r in sampling.row_sample(df, 50, seed).collect()) for seed in (1, 1))
+    assert one == two and len(one) == 50 and one != sorted(r.event_id for r in sampling.row_sample(df, 50, 2).collect())
+    assert sampling.affordable_rows(244) == 2_000_000 and sampling.affordable_rows(244, ram_gb=1) < 200_000 and sampling.affordable_rows(10**6) == 50_000
 
 
 def test_matrix_columns(spark, tables):

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from tidemark.sources.tables import META_COLUMNS
+
 
 def _long(df: DataFrame, columns: dict[str, dict]) -> DataFrame:
     """One row a column, from one aggregation over all of them."""
@@ -76,3 +78,29 @@ def all_columns_there(df: DataFrame, expected: list[str]) -> list[str]:
     return [f"missing {c}" for c in expected if c not in found] + [f"unexpected {c}" for c in found if c not in expected] or ["order differs"]
 
 
+def matrix_health(df: DataFrame, features: list[str], limit: float = 0.01) -> DataFrame:
+    """One row: name, n_missing_columns, n, null_time_share, n_repeated_ids, ok (all columns there, few times missing, ids distinct)."""
+    missing = len([c for c in [*features, *META_COLUMNS] if c not in df.columns])
+    sums = df.agg(F.count("*").alias("n"), F.avg(F.when(F.col("event_dttm").isNull(), 1.0).otherwise(0.0)).alias("null_time_share"), (F.count("*") - F.count_distinct("event_id")).alias("n_repeated_ids"))
+    good = F.lit(not missing) & (F.coalesce("null_time_share", F.lit(0.0)) <= limit) & (F.col("n_repeated_ids") == 0)
+    return sums.select(F.lit("training matrix").alias("name"), F.lit(missing).alias("n_missing_columns"), "*", good.alias("ok"))
+
+
+def examples(df: DataFrame, columns: list[str], rows: int = 3, key: str = "event_id") -> DataFrame:
+    """The first rows by key, of the named columns: a report."""
+    return df.select(*columns).orderBy(key).limit(rows)
+
+
+def file_schemas(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
+    """path, position, name and type of the columns of each parquet file or table in a folder; only footers are read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", recursive).load(root).select("path")
+    rows = [(r.path, i, f.name, f.dataType.simpleString()) for r in listed.collect() for i, f in enumerate(spark.read.parquet(r.path).schema)]
+    return spark.createDataFrame(rows, "path string, position int, name string, type string")
+
+
+def profile(df: DataFrame, mode: str = "full") -> DataFrame:
+    """Column reports in three depths: schema (names and types), light (numbers of rows and nulls), full (column_profile)."""
+    if mode == "schema":
+        return schema_listing(df)
+    found = column_profile(df)
+    return found if mode == "full" else found.select("column_name", "n", "n_null")

@@ -377,6 +377,40 @@ def proba_to_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", S.logit(F.col("l_discount") * 10).alias("predict")).select("l_orderkey", "l_linenumber", near("predict"))
 
 
+# ---- parsers and formulas on odd values
+
+#: Odd spellings of each event's numbers and times, in SQL that either engine runs.
+_ODD = """
+SELECT event_id, user_id, value, {seconds} AS sec, 'l' || CAST(user_id % 3 AS STRING) AS bl, CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' l' || CAST(event_id % 3 AS STRING) || ' ' END AS al,
+  CASE event_id % 9 WHEN 0 THEN ' ' || CAST(user_id AS STRING) WHEN 1 THEN CAST(user_id AS STRING) || 'abc' WHEN 2 THEN 'abc' WHEN 3 THEN '' WHEN 4 THEN CAST(user_id AS STRING) || '.5e1'
+    WHEN 5 THEN '-' || CAST(user_id AS STRING) || '.25 ' WHEN 6 THEN CAST(user_id AS STRING) || '.0' WHEN 7 THEN '-2' ELSE NULL END AS number,
+  CASE event_id % 5 WHEN 0 THEN ' 2024-01-' || CAST(10 + event_id % 19 AS STRING) || ' 03:04:05.75' WHEN 1 THEN '2024-02-' || CAST(10 + event_id % 19 AS STRING) || ' 23:59:59' WHEN 2 THEN 'soon' WHEN 3 THEN '' ELSE NULL END AS moment,
+  CASE event_id % 7 WHEN 0 THEN 0.6 WHEN 1 THEN 1.0 WHEN 2 THEN 0.4 WHEN 3 THEN NULL ELSE CAST(event_id % 2 AS DOUBLE) END AS mark, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN CAST(2 AS DOUBLE) ELSE CAST(5 AS DOUBLE) END AS weight
+FROM {events}
+"""
+_NUMBER_SQL = r"try_cast(nullif(regexp_extract(trim(number, ' \t'), '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?'), '') AS DOUBLE)"
+_WHOLE_MARK = "CASE WHEN mark IS NULL THEN 0 ELSE CAST(round_even(mark, 0) AS INT) END"
+
+
+@register(
+    "scalar_formulas",
+    f"""WITH o AS ({_ODD.format(seconds="CAST(floor(epoch(ts)) AS BIGINT)", events="events")}), n AS (SELECT *, {_NUMBER_SQL} AS x, {_WHOLE_MARK} AS whole FROM o)
+SELECT event_id, {sql_near('x', 'number')}, CASE WHEN x IS NULL OR x <> round(x) OR x = -2 THEN -2 ELSE CAST(x AS BIGINT) END AS mcc_key,
+  CAST(epoch(try_strptime(substr(trim(moment, ' \t'), 1, 19), '%Y-%m-%d %H:%M:%S')) AS BIGINT) AS seconds, CAST(sec % 86400 // 3600 AS INT) AS hour, CAST((sec // 86400 + 3) % 7 AS INT) AS weekday,
+  CASE WHEN coalesce(trim(al), '') = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS has_language, CASE WHEN coalesce(trim(al), '') <> '' AND trim(al) <> bl THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mismatch,
+  {sql_near('CASE WHEN abs(value - 50) <= 1e-9 THEN 1e-9 ELSE value - 50 END', 'denominator')},
+  CASE WHEN whole = 1 AND weight = 2 THEN 0 ELSE whole END AS target, coalesce(weight, 1) AS weight FROM n""",
+)
+def scalar_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.sql(_ODD.format(seconds="unix_seconds(CAST(ts AS TIMESTAMP))", events="{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    target, weight = S.finalise_target(F.col("mark"), F.col("weight"), demote=True)
+    return o.select(
+        "event_id", S.parse_double(F.col("number")).alias("number"), S.mcc_key(F.col("number")).alias("mcc_key"), S.parse_seconds(F.col("moment"), "string").alias("seconds"),
+        S.hour_of(F.col("sec")).alias("hour"), S.weekday_of(F.col("sec")).alias("weekday"), S.non_empty_flag(F.col("al")).alias("has_language"), S.language_mismatch(F.col("al"), F.col("bl")).alias("mismatch"),
+        S.safe_denominator(F.col("value") - 50).alias("denominator"), target.alias("target"), weight.alias("weight"),
+    ).select("event_id", near("number"), "mcc_key", "seconds", "hour", "weekday", "has_language", "mismatch", near("denominator"), "target", "weight")
+
+
 # ---- audits
 
 
@@ -412,9 +446,9 @@ def sentinel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.sentinels(transactions(spark, sf_dir), {"mcc_key": S.MCC_MISSING})
 
 
-@register("schema_listing")
+@register("schema_listing", "SELECT CAST(position AS INT) AS position, name, type, rows FROM (SELECT unnest([0, 1, 2, 3]) AS position, unnest(['c_custkey', 'c_name', 'c_acctbal', 'c_mktsegment']) AS name, unnest(['bigint', 'string', 'double', 'string']) AS type), (SELECT count(*) AS rows FROM customer)")
 def schema_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.schema_listing(transactions(spark, sf_dir))
+    return audits.schema_listing(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment"))
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,13 +492,33 @@ def scoring_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.scoring_rows(tx, _stored_aggregates(tx)).select("event_id", *map(near, _FEATURES))
 
 
-@register("quality_smoke")
+_SMOKE = ["amount_zscore", "delta_1", "trend_mean_last_3_to_10", "battery_level", "operation_amt", "sum_amount_last_24h", "hour"]
+_SMOKE_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS column_name, {sql_near(f'avg(CASE WHEN {n} IS NULL THEN 1.0 ELSE 0.0 END)', 'missing_share')}, count(*) FILTER (isinf({n})) AS n_infinite, count(*) FILTER (abs({n}) > 1e7) AS n_suspicious, "
+    f"count(*) FILTER (isinf({n})) = 0 AND ({'true' if n == 'battery_level' else f'avg(CASE WHEN {n} IS NULL THEN 1.0 ELSE 0.0 END) < 0.99'}) AS ok FROM f"
+    for n in _SMOKE
+)
+
+
+@register("quality_smoke", history_oracle.pairs() + ", f AS (SELECT " + ", ".join(f"CAST({history_oracle.SQL[n]} AS DOUBLE) AS {n}" for n in _SMOKE) + f" FROM z) {_SMOKE_SQL}")
 def quality_smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = history.history_features(transactions(spark, sf_dir))
-    return audits.feature_health(rows, list(history.FEATURES))
+    found = audits.feature_health(history.history_features(transactions(spark, sf_dir), _SMOKE), _SMOKE)
+    return found.select("column_name", near("missing_share"), "n_infinite", "n_suspicious", "ok")
+
+
+@register("matrix_audit", f"WITH {ORACLE} SELECT 'training matrix' AS name, 0 AS n_missing_columns, count(*) AS n, {sql_near('avg(CASE WHEN t IS NULL THEN 1.0 ELSE 0.0 END)', 'null_time_share')}, count(*) - count(DISTINCT event_id) AS n_repeated_ids, true AS ok FROM tx WHERE phase = 'train'")
+def matrix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.matrix_health(_matrix(spark, sf_dir).drop("t"), _FEATURES).select("name", "n_missing_columns", "n", near("null_time_share"), "n_repeated_ids", "ok")
+
+
+@register("output_examples", f"WITH {ORACLE} SELECT event_id, customer_id, mcc AS mcc_code, amt AS operation_amt FROM tx WHERE phase = 'train' ORDER BY event_id LIMIT 3")
+def output_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three rows: a report of examples."""
+    tx = transactions(spark, sf_dir).where("phase = 'train'").withColumnsRenamed({"mcc": "mcc_code", "amt": "operation_amt"})
+    return audits.examples(tx, ["event_id", "customer_id", "mcc_code", "operation_amt"])
 
 
-@register("recipe_parity")
+@register("recipe_parity", f"WITH {ORACLE} " + _ZERO_PARITY.format(names="'transactions_last_24h', 'sum_amount_last_24h'"))
 def recipe_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array frames against prefix differences, row by row: no difference is allowed."""
     tx = transactions(spark, sf_dir)
