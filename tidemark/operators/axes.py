@@ -1,7 +1,8 @@
 """Population statistics over seven category axes, co-occurrence counts and top merchants.
 
-Every row enters each axis once, so one scan and one shuffle serve all of them; partial aggregates
-keep hot keys and the population row from meeting in one task as rows.
+Every row enters each axis once, so one scan serves all of them; partial aggregates keep hot keys and
+the population row from meeting in one task as rows. Exact quantiles are found by rank among counted
+values, dealt by key and magnitude, so that no task holds all values of a key.
 """
 
 from __future__ import annotations
@@ -45,22 +46,56 @@ def keyed(tx: DataFrame, axes: dict[str, tuple[Column, Column]], population: boo
     return tx.where(F.col("phase").isin("pretrain", "train")).select("phase", "amt", "labelled", F.explode(F.array(*entries)).alias("e")).select("phase", "amt", "labelled", "e.*")
 
 
+_KEY = ["axis", "k1", "k2"]
+
+
+def _same_key(other: str) -> Column:
+    out = F.col("axis") == F.col(f"{other}.axis")
+    for k in ("k1", "k2"):
+        out = out & F.col(k).eqNullSafe(F.col(f"{other}.{k}"))
+    return out
+
+
+def exact_quantiles(values: DataFrame, levels: dict[str, float]) -> DataFrame:
+    """axis, k1, k2 and the named quantiles (interpolated between neighbours) of the column x, which has no nulls.
+
+    Equal values are counted first. Sums of buckets of about a hundredth of a value say which buckets a key's ranks fall
+    into; only the values in those are then put in order, a bucket at a time.
+    """
+    counts = values.groupBy(*_KEY, "x").agg(F.count("*").alias("c")).withColumn("b", F.floor(F.signum("x") * F.log2(1 + F.abs("x")) * 64))
+    up = Window.partitionBy(*_KEY).orderBy("b")
+    buckets = counts.groupBy(*_KEY, "b").agg(F.sum("c").alias("n")).select(
+        *_KEY, "b", "n", F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy(*_KEY)).alias("total")
+    )
+    rank = {n: q * (F.col("total") - 1) for n, q in levels.items()}
+    wanted = F.lit(False)
+    for r in rank.values():
+        wanted = wanted | ((F.ceil(r) >= F.col("base")) & (F.floor(r) < F.col("base") + F.col("n")))
+    found = buckets.where(wanted).select(F.struct(*_KEY).alias("key"), F.col("b").alias("bucket"), "base", "total")
+    inside = counts.join(found, _same_key("key") & (F.col("b") == F.col("bucket")))
+    ordered = inside.withColumn("end", F.col("base") + F.sum("c").over(Window.partitionBy(*_KEY, "b").orderBy("x")))
+    ends = [F.min(F.when(F.col("end") > f(r), F.col("x"))).alias(f"{n}_{s}") for n, r in rank.items() for s, f in (("low", F.floor), ("high", F.ceil))]
+    near = ordered.groupBy(*_KEY).agg(F.first("total").alias("total"), *ends)
+    return near.select(*_KEY, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (r - F.floor(r))).alias(n) for n, r in rank.items()])
+
+
 def axis_statistics(tx: DataFrame, axes: dict[str, tuple[Column, Column]] | None = None, approximate: bool = False) -> DataFrame:
     """axis, k1, k2 and the statistics of each key; the population row has the key __GLOBAL__ on every axis.
 
-    Clean rows are those without a label and with a finite amount. Quantiles are exact (equal values
-    are counted first, so a key's buffer holds its distinct amounts) or, on request, approximate in
-    bounded memory. The event-type axis also has the log frequency of its keys.
+    Clean rows are those without a label and with a finite amount. Quantiles are exact or, on request,
+    approximate with fewer shuffles. The event-type axis also has the log frequency of its keys.
     """
     rows = keyed(tx, axis_keys() if axes is None else axes)
     train, hit = F.col("phase") == "train", (F.col("phase") == "train") & F.coalesce("labelled", F.lit(False))
     clean = F.when(~hit & F.col("amt").isNotNull(), F.col("amt"))
-    levels = list(QUANTILES.values())
-    quantiles = F.percentile_approx(clean, levels, 10_000) if approximate else F.percentile(clean, F.array(*map(F.lit, levels)))
-    sums = rows.groupBy("axis", "k1", "k2").agg(
-        F.avg(clean).alias("mean"), F.stddev_samp(clean).alias("std"), quantiles.alias("q"), F.count("*").alias("cnt"),
+    rough = [F.percentile_approx(clean, q, 10_000).alias(n) for n, q in QUANTILES.items()] if approximate else []
+    sums = rows.groupBy(*_KEY).agg(
+        F.avg(clean).alias("mean"), F.stddev_samp(clean).alias("std"), *rough, F.count("*").alias("cnt"),
         F.count(F.when(train, 1)).alias("train_count"), F.count(F.when(hit, 1)).alias("label_count"), F.count(clean).alias("cnt_clean"),
     )
+    if not approximate:
+        exact = exact_quantiles(rows.where(clean.isNotNull()).select(*_KEY, F.col("amt").alias("x")), QUANTILES)
+        sums = sums.join(exact.select(F.struct(*_KEY).alias("key"), *QUANTILES), _same_key("key"), "left").drop("key")
     every = sums.where(F.col("axis") == S.GLOBAL)
     odds = every.select(((F.col("label_count") + 0.5) / (F.greatest(F.lit(1), F.col("train_count")) - F.col("label_count") + 0.5)).alias("odds"), F.col("cnt").alias("total"))
     names = list(axis_keys() if axes is None else axes)
@@ -69,7 +104,7 @@ def axis_statistics(tx: DataFrame, axes: dict[str, tuple[Column, Column]] | None
     t, h = F.col("train_count"), F.col("label_count")
     own = (h + 0.5) / (F.greatest(F.lit(1), t - h) + 0.5)
     return both.crossJoin(F.broadcast(odds)).select(  # the other side is the one population row
-        "axis", "k1", "k2", "mean", "std", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)], "cnt",
+        *_KEY, "mean", "std", *QUANTILES, "cnt",
         F.when(F.abs("mean") > S.EPS, F.col("std") / F.col("mean")).alias("cv"), F.when(t > 0, h / t).alias("label_rate"), "label_count", "train_count",
         F.log(own / F.col("odds")).alias("woe"), "cnt_clean", F.when(F.col("axis") == "event_type_currency", -F.log((F.col("cnt") + 1) / (F.col("total") + 1))).alias("log_frequency"),
     )
