@@ -257,11 +257,15 @@ def test_stream_equals_batch(spark, tables, tmp_path):
     for i, bound in enumerate([(0, 1_705_000_000), (1_705_000_000, 2_000_000_000)]):
         tx.where((F.col("t") >= bound[0]) & (F.col("t") < bound[1])).drop("phase").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(tx.drop("phase").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    run = history_state.running_history(stream).writeStream.format("memory").queryName("running").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").start()
+    run = history_state.running_history(stream, evict_after_ms=3_600_000).writeStream.format("memory").queryName("running").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").start()
     run.processAllAvailable()
     run.stop()
-    got = {r.event_id: (r.n_recent, round(r.sum_recent, 6)) for r in spark.table("running").collect()}
-    want = {r.event_id: (r.n_recent, round(r.sum_recent, 6)) for r in history.recent_by_prefix(tx).collect()}
+    values = lambda r: tuple(None if x is None else round(float(x), 5) for x in r)
+    got = {r.event_id: values(r[2:]) for r in spark.table("running").collect()}
+    full = queries.transactions(spark, tables)
+    past = history.with_past(full).selectExpr("event_id", "size(H) AS n", "aggregate(filter(H, x -> x.amt IS NOT NULL), 0D, (s, x) -> s + x.amt) / nullif(size(filter(H, x -> x.amt IS NOT NULL)), 0) AS mean")
+    more = history.history_features(full, ["transactions_last_24h", "sum_amount_last_24h", "max_amount_last_24h", "time_since_prev_transaction"])
+    want = {r.event_id: values((r.n, r.transactions_last_24h, r.sum_amount_last_24h, r.max_amount_last_24h, r["mean"], r.time_since_prev_transaction)) for r in past.join(more, "event_id").collect()}
     assert got == want
 
 
