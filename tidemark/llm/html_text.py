@@ -30,7 +30,7 @@ from tidemark.llm.common import map_slices, pick
 from tidemark.llm.sketches import range_of
 
 #: Pages and characters in a range of URLs, about, and ranges at most: their bounds pass through the driver.
-RANGE_PAGES, RANGE_CHARS, RANGES = 20_000, 64_000_000, 4096
+RANGE_PAGES, RANGE_CHARS, RANGES = 4_000, 8_000_000, 4096
 #: Neighbours on each side.
 BESIDE = 2
 
@@ -217,9 +217,9 @@ def _neighbours(df: DataFrame, descending: bool, name: str) -> DataFrame:
     found = df.withColumn("_opens", opens)
     found = found.withColumn("_own", F.when(F.col("_opens"), near))
     found = found.withColumn("_one", F.when(F.col("_opens"), F.last("_own", True).over(past)))
-    found = found.withColumn("_two", F.when(F.col("_opens"), F.last("_one", True).over(past)))
-    sides = F.array(F.last("_one", True).over(up_to), F.last(F.when(F.col("_opens"), F.coalesce(F.col("_two"), F.col("_one"))), True).over(up_to))
-    return found.withColumn(name, F.filter(F.array_distinct(F.array_compact(sides)), lambda n: n["host"] == F.col("host"))).drop("_opens", "_own", "_one", "_two")
+    found = found.withColumn("_both", F.when(F.col("_opens"), F.array("_one", F.last("_one", True).over(past))))
+    sides = F.array_compact(F.last("_both", True).over(up_to))
+    return found.withColumn(name, F.filter(sides, lambda n: n["host"] == F.col("host"))).drop("_opens", "_own", "_one", "_both")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_pages: int = RANGE_PAGES) -> DataFrame:
