@@ -37,6 +37,8 @@ GENERATED = 4000
 #: Runs that the models judge have at least so many characters; ordinary runs, for training, have fewer but LEAST_WORD.
 LEAST_RUN, LEAST_WORD = 16, 4
 THRESHOLD = 0.9
+#: A part with fewer different characters, as a line of one letter, is no key, however rare its pairs are in words.
+LEAST_KINDS = 6
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
 #: Weight of single-character shares in a pair's.
 PRIOR = 20.0
@@ -136,7 +138,8 @@ def markov_spans(text: bytes, ratios: np.ndarray, threshold: float = THRESHOLD)
         if gain > 0:
             if excess.sum() > 0:
                 first, last = 0, len(excess)
-            out.append((m.start() + first, 3, m.start() + last))
+            if len(set(m[0][first:last])) >= LEAST_KINDS:
+                out.append((m.start() + first, 3, m.start() + last))
     return out
 
 
