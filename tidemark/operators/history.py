@@ -14,6 +14,8 @@ null where empty.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,8 +239,8 @@ def _ranges(tx: DataFrame, cap: int) -> DataFrame | None:
     return stored(found.select(*keys, "to", F.lit(False).alias("ghost")).unionByName(before.select(*keys, F.col("later").alias("to"), F.lit(True).alias("ghost"))))
 
 
-def with_past(tx: DataFrame, cap: int | None = CAP, suffix: str | None = None) -> DataFrame:
-    """Adds H, the preceding rows (oldest first). ``suffix`` names a column with each row's own number of newest rows.
+def with_past(tx: DataFrame, cap: int | None = CAP, suffix: str | None = None, fields: list[str] | None = None) -> DataFrame:
+    """Adds H, the preceding rows (oldest first), with all or the named fields. ``suffix`` names a column with each row's own number of newest rows.
 
     Without a cap a customer's rows stay together, as each needs all before it.
     """
@@ -250,22 +252,33 @@ def with_past(tx: DataFrame, cap: int | None = CAP, suffix: str | None = None) -
     })
     ranges = _ranges(tx.select("customer_id", "phase", "t"), cap) if cap is not None else None
     if ranges is None:
-        past = rows.withColumn("H", F.collect_list(F.struct(*_FIELDS)).over(_order().rowsBetween(Window.unboundedPreceding if cap is None else -cap, -1)))
+        past = rows.withColumn("H", F.collect_list(F.struct(*(fields or _FIELDS))).over(_order().rowsBetween(Window.unboundedPreceding if cap is None else -cap, -1)))
     else:
         named = ranges.withColumnsRenamed({"customer_id": "_customer", "phase_rank": "_phase", "hour": "_hour", "to": "_range", "ghost": "_ghost"})
         same = (F.col("customer_id") == F.col("_customer")) & _rank().eqNullSafe(F.col("_phase")) & F.floor(F.col("t") / 3600).eqNullSafe(F.col("_hour"))
         dealt = rows.join(named, same, "left").drop("_customer", "_phase", "_hour")
-        past = dealt.withColumn("H", F.collect_list(F.struct(*_FIELDS)).over(_order("_range").rowsBetween(-cap, -1)))
+        past = dealt.withColumn("H", F.collect_list(F.struct(*(fields or _FIELDS))).over(_order("_range").rowsBetween(-cap, -1)))
         past = past.where(~F.coalesce("_ghost", F.lit(False))).drop("_range", "_ghost")
     if suffix:
         past = past.withColumn("H", F.expr(f"slice(H, greatest(size(H) - greatest({suffix}, 0) + 1, 1), greatest({suffix}, 0))"))
     return past
 
 
+def _used(names: list[str]) -> tuple[list[dict[str, str]], list[str]]:
+    """The arrays of each layer that the named features use, and the fields of past rows that these and the features read."""
+    texts, layers = [FEATURES[n] for n in names], []
+    for layer in reversed(LAYERS):
+        kept = {n: e for n, e in layer.items() if any(re.search(rf"\b{n}\b", t) for t in texts)}
+        layers.insert(0, kept)
+        texts += kept.values()
+    return layers, [f for f in _FIELDS if any(re.search(rf"\.{f}\b", t) for t in texts)] or ["t"]
+
+
 def history_features(tx: DataFrame, names: list[str] | None = None, cap: int | None = CAP, suffix: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """event_id (and the columns ``keep``) with the named features (default: all), as doubles."""
-    out = with_past(tx, cap, suffix)
-    for layer in LAYERS:
+    layers, fields = _used(list(names or FEATURES))
+    out = with_past(tx, cap, suffix, fields)
+    for layer in layers:
         out = out.withColumns({name: F.expr(e) for name, e in layer.items()})
     return out.select("event_id", *(keep or []), *[F.expr(FEATURES[n]).cast("double").alias(n) for n in names or FEATURES])
 
