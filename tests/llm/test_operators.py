@@ -225,6 +225,27 @@ def test_secret_spans(spark, docs):
     assert key not in clean[0] and clean[4] == samples[4] and clean[5] == ""
 
 
+def test_secrets_query_equals_brute_force(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "é ſecret=abcdefghijklmnop SECRET : 'abcdefghijkl' x" + "0a" * 9), (-2, None)], SCHEMA))
+    ratios = secrets.train(docs)
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    for d, text in docs.collect():
+        text = text or ""
+        base = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.IGNORECASE | re.ASCII) if len(m[2]) >= 12]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        more = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            x = (ratios[secrets.transitions(m[0].encode())] - secrets.THRESHOLD).tolist()
+            best = max(((sum(x[i:j]), -i, -j) for i in range(len(x) - 15) for j in range(i + 16, len(x) + 1))) if sum(x) <= 0 else (1, 0, -len(x))
+            if best[0] > 0 and len(set(m[0][-best[1] : -best[2]])) >= secrets.LEAST_KINDS:
+                more.append((m.start() - best[1], 3, m.start() - best[2]))
+        row = got[d]
+        assert [row.n_assign, row.n_access, row.n_hex, row.n_markov] == [sum(k == i for _, k, _ in base + more) for i in range(4)]
+        assert row.base_sha256 == brute.sha(secrets.written(base)) and row.spans == secrets.written(base + more)
+
+
 def test_best_part():
     r = random.Random(9)
     for _ in range(100):
@@ -374,6 +395,27 @@ def test_licenses(spark):
     assert got[0].score == got[2].score == 1.0 and got[4].score == got[5].score == 0.0
 
 
+def test_license_query_equals_brute_force(spark, docs, texts):
+    r = random.Random(13)
+    more = {1000 + i: " ".join(r.choice(["MIT", "License", "apache", "General Public", "license.", "x", "ünder"]) for _ in range(r.randint(0, 60))) for i in range(60)}
+    every = spark.createDataFrame(list(more.items()), SCHEMA).unionByName(docs)
+    got = {g.doc_id: g for g in licenses.scan(every).collect()}
+    for d, text in (texts | more).items():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.low(text))
+        places = {label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for label, p in licenses.PHRASES.items()}
+        starts = sorted(i for at in places.values() for i in at)
+        base = {label for label, at in places.items() if at}
+        met = []
+        for label, t in licenses.template_words(licenses.TEMPLATES):
+            own, length = {w.decode() for w in t}, licenses.block_words(len(t))
+            best = max(len(set(words[i : i + length]) & own) for i in range(max(1, len(words) - length + 1)))
+            if best >= licenses.CONTAINMENT * len(own) - 1e-9:
+                met.append((best / len(own), label))
+        row = got[d]
+        assert (row.n_words, row.n_base, row.first_word, row.last_word) == (len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None)
+        assert row.base_labels == ",".join(sorted(base)) and row.labels == ",".join(sorted(base | {x for _, x in met})) and row.score == max((s for s, _ in met), default=0.0)
+
+
 def test_license_blocks(spark):
     bsd = next(t for label, t in licenses.TEMPLATES if label == "bsd")
     filler = [f"w{i}" for i in range(5000)]
