@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Rows and bytes of text in a slice, whose shingles travel packed together, at most (a single text may be longer).
 SLICE_TEXTS, SLICE_BYTES = 2048, 2_000_000
 #: Shingles whose holders are counted in one task, about.
-PART_SHINGLES = 1_000_000
+PART_SHINGLES = 500_000
 #: A shingle that more texts of a slice have travels once for the slice, with its number of texts.
 FREQUENT = 8
 #: Shingles that one task compares, about; a text counts as TEXT_COST more.
