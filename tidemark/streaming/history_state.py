@@ -19,7 +19,8 @@ def running_history(stream: DataFrame, seconds: int = 86_400, cap: int = 512, ev
     mean amount and the seconds since the last one (-1: none); of those no older than ``seconds``, count, sum and largest of the amounts.
 
     Rows of a batch are taken in the order of time and id. A customer's state has ``cap`` rows at most; with
-    ``evict_after_ms`` it is dropped once no row of theirs has come for that long.
+    ``evict_after_ms`` it is dropped once no row of theirs has come for that long; batches then go on without
+    new rows, so such a stream is never idle (processAllAvailable does not return).
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
