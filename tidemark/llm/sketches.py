@@ -133,7 +133,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint (digests of the sketches), near_edited, near_next,
-    inside_edited (share of the text's shingles in the edited text), n_shingles (distinct, estimated), sketch (what ``merge`` takes)."""
+    n_shingles (distinct, estimated), sketch (what ``merge`` and ``containment`` take)."""
     found = edited_fingerprints(docs, id_col, text_col)
 
     def written(sketch: str) -> Column:
@@ -147,7 +147,6 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         written("edited_sketch").alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("inside_edited"),
         distinct_shingles(F.col("sketch")).alias("n_shingles"),
         F.col("sketch"),
     )
