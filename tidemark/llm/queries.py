@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, html_text, licenses, quality, repeats, secrets, simhash, sketches, token_counts
+from tidemark.llm import bpe, decontaminate, filter_audit, html_text, licenses, oracles, quality, repeats, secrets, sharding, simhash, sketches, spelling, token_counts
 from tidemark.llm.common import documents
 
 
@@ -51,13 +51,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(documents(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_simhash, op3_fingerprints, op4_token_counts, op5_secret_scan, op6_bpe, op7_repeats, op8_quality, op9_license_scan, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_html_text, op2_simhash, op3_fingerprints, op4_token_counts, op5_secret_scan, op6_bpe, op7_repeats, op8_quality, op9_license_scan, op10_decontaminate,
+        op11_filter_audit, op12_sharding, op13_spelling,
+    )
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op11_filter_audit": oracles.FILTER_AUDIT,
+    "op12_sharding": oracles.SHARDING,
+    "op13_spelling": oracles.SPELLING,
     "op10_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
