@@ -17,8 +17,6 @@ any length and pages of any size are taken whole; columns may have clashing name
 
 from __future__ import annotations
 
-import html
-import re
 from bisect import bisect_left
 
 import pyarrow as pa
@@ -27,91 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_slices, pick
+from tidemark.llm.html_lines import page_lines
 from tidemark.llm.sketches import range_of
 
 #: Pages and characters in a range of URLs, about, and ranges at most: their bounds pass through the driver.
-RANGE_PAGES, RANGE_CHARS, RANGES = 4_000, 8_000_000, 4096
+RANGE_PAGES, RANGE_CHARS, RANGES = 4_000, 8_000_000, 65_536
 #: Neighbours on each side.
 BESIDE = 2
 
-# HTML elements and words in class, id and role that are never article text.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video", "xmp"}
-OUTSIDE = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset"}
-CONTENT = {"article", "main"}
-NESTING = OUTSIDE | CONTENT | {"header", "html", "body", "div", "section", "ul", "ol", "dl", "table", "tbody", "thead", "tr", "td", "th", "blockquote", "figure", "details", "center"}
-BLOCKS = NESTING | {"p", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "address", "caption", "figcaption", "summary", "option", "legend", "label", "input"}
-NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup"
-    " sidebar nav navbar navigation menu breadcrumb breadcrumbs footer topbar masthead comment comments respond replies disqus share sharing social related recommended widget pagination pager toolbar search"
-    " login skip copyright disclaimer contentinfo complementary dialog hidden".split()
-)
-
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
-_ATTR = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|\Z)""", re.IGNORECASE)
-_PART = re.compile(r"[a-z]+")
-_TAIL = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
-
-
-def is_noise(attributes: str) -> bool:
-    for name, value in _ATTR.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        elif name in ("class", "id", "role") and not NOISE.isdisjoint(_PART.findall(value)):
-            return True
-    return False
-
-
-def page_lines(page: str) -> tuple[list[str], list[bool]]:
-    """The page's lines outside of what is never article text, and whether each is in an article or main element."""
-    lines, inside, held = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # element, noise, content
-    noise = content = False
-    at = 0
-
-    def end_line() -> None:
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            held.clear()
-            if text:
-                lines.append(text)
-                inside.append(content)
-
-    size = len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        text = page[at : m.start()] if m else _TAIL.sub("", page[at:])
-        if text and not noise:
-            held.append(text)
-        if m is None:
-            break
-        at = m.end()
-        closing, name, attributes = m[1], (m[2] or "").lower(), m[3]
-        if not name:
-            continue
-        if name in RAW:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = end.end() if end else size
-            continue
-        if name in BLOCKS:
-            end_line()
-        if name not in NESTING and not (attributes and not closing and name == "p" and is_noise(attributes)):
-            continue
-        if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-        else:
-            bad = name in OUTSIDE or (name == "header" and not content) or (bool(attributes) and name not in ("html", "body") and is_noise(attributes))
-            stack.append((name, noise or bad, content or name in CONTENT))
-        noise, content = stack[-1][1:] if stack else (False, False)
-    end_line()
-    return lines, inside
-
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
     """Places in a of a longest common subsequence of a and b."""
@@ -242,8 +163,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     anywhere = F.pmod(F.xxhash64("key", "tie"), F.lit(parts)).cast("int")
     own_range = range_of(place, bounds, "\uffff") if bounds else F.lit(0)
     ranged = rows.withColumn("range", F.when(F.col("host") == "", anywhere).otherwise(own_range)).withColumn("ghost", F.lit(False))
-    sets = ranged.where("host != ''").groupBy("range").agg(F.sort_array(F.collect_set("key")).alias("keys")).select("range", F.slice("keys", 1, 3).alias("low"), F.slice(F.reverse("keys"), 1, 3).alias("high"))
-    sent = spark.createDataFrame(_ghosts({r["range"]: (r["low"], r["high"]) for r in sets.collect()}), "edge string, to int")
+    keys = ranged.where("host != ''").select("range", "key").distinct()
+    outer = {}
+    for side, order in ((0, F.asc("key")), (1, F.desc("key"))):
+        place = F.row_number().over(Window.partitionBy("range").orderBy(order))
+        for r in keys.withColumn("_place", place).where("_place <= 3").groupBy("range").agg(F.sort_array(F.collect_list("key"), side == 0).alias("keys")).collect():  # three keys a range
+            outer.setdefault(r["range"], ([], []))[side].extend(r["keys"])
+    sent = spark.createDataFrame(_ghosts(outer), "edge string, to int")
     names = [id_col, "url", "html", "host", "key", "tie", "tie2"]
     ghosts = ranged.join(F.broadcast(sent), F.col("key") == F.col("edge")).groupBy("to", "edge").agg(F.min_by(F.struct(*names), F.struct("tie", "tie2")).alias("one"))
     ghosts = ghosts.select("one.*", F.col("to").alias("range"), F.lit(True).alias("ghost")).withColumn("tie", F.lit(""))
