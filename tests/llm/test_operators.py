@@ -208,6 +208,47 @@ def test_fingerprints_merge(spark):
     assert row.same and 250 < row.n < 600 and row.inside > 0.6
 
 
+def test_containment_estimates(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([3, 40, 300, 1500]))]
+        more = [f"v{r.randrange(10**6)}" for _ in range(r.choice([0, 40, 300, 1500]))]
+        cut = words[: int(len(words) * r.random())]
+        rows.append((i, " ".join(words), " ".join(cut + more)))
+    df = sketches.with_sketch(sketches.with_sketch(spark.createDataFrame(rows, "i int, a string, b string"), "a", "s"), "b", "t")
+    found = df.select("a", "b", sketches.containment(F.col("s"), F.col("t")).alias("c"), (F.size("t") < sketches.K).alias("all"), F.size("s").alias("n")).collect()
+    off = []
+    for row in found:
+        a, b = brute.shingles(row.a), brute.shingles(row.b)
+        exact = len(a & b) / len(a) if a else 1.0
+        if len(a) < sketches.K and row.all:
+            assert row.c == pytest.approx(exact)
+        elif row.c is not None:
+            off.append(abs(row.c - exact))
+            assert off[-1] < 5 * (0.25 / max(1, row.n * min(1.0, sketches.K / max(1, len(b))))) ** 0.5
+    assert len(off) > 20 and sum(off) / len(off) < 0.05
+
+
+def test_next_of_repeated_ids(spark):
+    rows = [(5, f"text {i}") for i in range(300)] + [(k, f"other {k}") for k in (*range(5), *range(6, 40))] + [(5, "text 7")] * 3
+    df = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    led = sketches.with_next(df, "key", "text", lambda x: x, [], range_rows=10).collect()
+    assert sorted((r.key, r.text) for r in led) == sorted(rows)
+    follows = {}
+    for r in led:
+        follows.setdefault(r.text, []).append(r.next_text)
+    assert all(follows[f"other {k}"] == [f"other {k + 1}"] for k in (0, 1, 2, 3, *range(6, 39))) and follows["other 39"] == ["other 0"]
+    assert sorted(follows["text 7"]).count("text 7") == 3
+    chain, at = [], follows["other 4"][0]  # all texts of the id in a row
+    while at.startswith("text"):
+        chain.append(at)
+        at = next(x for x in follows[at] if x != at)
+    assert sorted(chain) == sorted(f"text {i}" for i in range(300)) and at == "other 6"
+    parts = sketches._ranged(df.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("text"), 1)), "key", [3, 5, 5, 5, 5, 9]).where("key = 5").groupBy("_range").count()
+    assert parts.count() == 4
+
+
 def test_native_plan_has_no_python(docs):
     plan = sketches.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
