@@ -5,6 +5,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -403,15 +404,23 @@ def test_quality_scores_equal_brute_force(spark):
         return out
 
     fitted = {x["row"]: x for x in quality.one_of_each(quality.labelled(docs, labels, "doc_id", "text", 20_000).withColumn("row", F.monotonically_increasing_id()).where("NOT held")).collect()}
-    target, raw = [0] * quality.BUCKETS, [0] * quality.BUCKETS
-    for b in counts([x.text.decode() for x in fitted.values() if x.target]):
-        target[b] += 1
+    fold = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 5) % 5
+    raw, size = [0] * quality.BUCKETS, quality.BUCKETS
     for b in counts([t for _, t in rows]):
         raw[b] += 1
-    size = quality.BUCKETS
     share = [(c + 1) / (sum(raw) + size) for c in raw]
-    ratio = [np.log((t + size * p) / (sum(target) + size) / p) for t, p in zip(target, share)]
-    want = sorted((i, round(float(sum(ratio[b] for b in counts([t]))), 6)) for i, t in rows)
+    ratio = []
+    for k in range(5):
+        target = [0] * size
+        for b in counts([x.text.decode() for x in fitted.values() if x.target and fold(x.text.decode()) != k]):
+            target[b] += 1
+        ratio.append([np.log((t + size * p) / (sum(target) + size) / p) for t, p in zip(target, share)])
+
+    def score(t):
+        own = counts([t])
+        return 100 * sum(ratio[fold(t)][b] for b in own) / max(1, len(own))
+
+    want = sorted((i, round(float(score(t)), 6)) for i, t in rows)
     found = got.collect()
     assert sorted((g.doc_id, round(g.score, 6)) for g in found) == want
     best = sorted(found, key=lambda g: (-g.gumbel_key, g.doc_id))[:62]
@@ -419,6 +428,66 @@ def test_quality_scores_equal_brute_force(spark):
     assert all(g.score == 0 for g in found if g.doc_id in (500, 501))
 
 
+def test_quality_rejects_by_evidence_as_brute_force_does(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(90)]
+    rows, marks = [], []
+    for i in range(400):
+        text = [r.choice(words) for _ in range(r.randint(1, 50))]
+        good = i % 4 > 0
+        text += [] if good or i % 8 == 0 else r.sample(["Vile", "vile!", "(nasty)", "x@@x"], 2)
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(good), 0))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {g.doc_id: g for g in quality.resample(docs, labels).collect()}
+    sample = quality.labelled(docs, labels, "doc_id", "text", 20_000).withColumn("row", F.monotonically_increasing_id()).collect()
+    fitted = quality.one_of_each(spark.createDataFrame([x for x in sample if not x.held], "target boolean, held boolean, text binary, row long")).collect()
+
+    def strip(w):
+        core = re.sub(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", "", brute.low(w))
+        return core
+
+    def shape(w):
+        return re.sub(r"(.)\1+", r"\1", "".join("a" if "a" <= c <= "z" or ord(c) > 127 else "A" if "A" <= c <= "Z" else "9" if c.isdigit() else c for c in w))
+
+    def grams(text):
+        w, s = [strip(x) for x in text.split()], [shape(x) for x in text.split()]
+        out = {("w", x) for x in w} | {("p", x) for x in zip(w, w[1:])} | {("s", x) for x in s} | {("sp", x) for x in zip(s, s[1:])}
+        if any(a == b == c for a, b, c in zip(w, w[1:], w[2:])):
+            out.add(("thrice",))
+        if len(w) >= 20:
+            out.add(("tenth", 10 * len(set(w)) // len(w) + (0 if len(w) < 200 else 16)))
+        return out
+
+    n = {t: sum(x.target == t for x in fitted) for t in (True, False)}
+    has = {t: {} for t in (True, False)}
+    for x in fitted:
+        for g in grams(x.text.decode()):
+            has[x.target][g] = has[x.target].get(g, 0) + 1
+    weight = {g: np.log((has[True].get(g, 0) + 0.5) / (n[True] + 1)) - np.log((has[True].get(g, 0) + c + 0.5) / (n[True] + n[False] + 1)) for g, c in has[False].items() if c >= quality.LEAST_ROWS}
+    weight = {g: v for g, v in weight.items() if v <= quality.CLEAR}
+    evidence = {i: sum(weight.get(g, 0.0) for g in grams(t)) for i, t in rows}
+    assert weight and all(got[i].evidence == pytest.approx(e) for i, e in evidence.items())
+    held = sorted(sum(weight.get(g, 0.0) for g in grams(x.text.decode())) for x in sample if x.held and x.target)
+    cut = min(held[int(quality.LOST * len(held))] - 1e-9, quality.CLEAR)
+    assert {i for i, g in got.items() if g.keep} == {i for i, e in evidence.items() if e >= cut} and 30 < sum(not g.keep for g in got.values()) < 60
+
+
+def test_quality_sample_treats_fitted_and_unseen_rows_alike(spark):
+    r = random.Random(12)
+    common, fine, poor = ([f"{k}{i}" for i in range(1500)] for k in ("c", "f", "p"))
+    rows, marks = [], []
+    for i in range(1500):
+        good = i % 2 == 0
+        rows.append((i, " ".join(r.choice(common if r.random() < 0.7 else fine if good else poor) for _ in range(r.randint(20, 300)))))
+        if i % 3:
+            marks.append((i, int(good), 0))
+    got = quality.resample(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), share=0.4).collect()
+    rate = lambda ids: sum(g.sampled for g in got if g.doc_id in ids) / len(ids)
+    fitted, unseen, bad = ({i for i in range(1500) if keep(i)} for keep in (lambda i: i % 2 == 0 and i % 3, lambda i: i % 6 == 0, lambda i: i % 2))
+    assert rate(unseen) > 0.9 * rate(fitted) and rate(unseen) > 0.6 > 0.2 > rate(bad)
+
+
 def test_quality_long_texts_are_whole():
     powers = quality.Powers(quality.CHUNK)
     words = [f"W{i % 977}," for i in range(400_000)]

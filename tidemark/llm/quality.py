@@ -2,8 +2,10 @@
 
 Two generative models of hashed n-grams (words and word pairs in a fixed number of buckets), one of
 target text (labelled good and not toxic) and one of raw text (all documents), give each document its
-log importance: the sum of the log ratios of its n-grams' shares in target and raw text. A sample
-of given size is drawn by Gumbel top-k: the k largest sums of log importance and Gumbel noise,
+log importance: the mean of the log ratios of its n-grams' shares in target and raw text, times a stated
+temperature, so that neither length nor the noise alone decides. The target is counted in five folds by a hash of the text, and a
+text is scored by the folds that it is not in, so that a fitted row does not recognise itself (or its copies) and scores like an unseen one.
+A sample of given size is drawn by Gumbel top-k: the k largest sums of log importance and Gumbel noise,
 which comes from a hash of the id; equal keys go by the smaller id, rows equal in both all stay.
 
 Which documents are rejected is decided by evidence against the target alone, so that length or an
@@ -46,6 +48,8 @@ BINS = 4096
 
 #: Buckets of the generative models.
 BUCKETS = 1 << 16
+#: Folds of the target, and what a mean log ratio is multiplied by.
+FOLDS, TEMPERATURE = 5, 100.0
 #: Bytes whose characters are hashed at once; words are never cut.
 CHUNK = 1 << 18
 
@@ -206,20 +210,29 @@ def one_of_each(rows: DataFrame) -> DataFrame:
     return rows.join(left.select("row"), "row", "left_semi")
 
 
-def _bucket_counts(rows: DataFrame) -> np.ndarray:
-    """Words and pairs in each bucket over all rows of a text column (bytes): sums a task, then over all tasks; as many numbers as buckets."""
+def folds(texts: list[bytes], count: int = FOLDS) -> np.ndarray:
+    """Fold of each text: copies are in one."""
+    return np.array([xxhash.xxh64_intdigest(t, 5) % count for t in texts], np.int64)
+
+
+def _bucket_counts(rows: DataFrame, count: int = 1) -> np.ndarray:
+    """Words and pairs in each fold and bucket over all rows of a text column (bytes): sums a task, then over all tasks; as many numbers as buckets in all folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, sums = Powers(CHUNK), np.zeros(BUCKETS, np.int64)
+        powers, sums = Powers(CHUNK), np.zeros(count * BUCKETS, np.int64)
         for batch in slices(batches):
-            sums += np.bincount(Grams(batch.column(0).to_pylist(), powers, False).buckets()[1], minlength=BUCKETS)
+            texts = batch.column(0).to_pylist()
+            text, bucket = Grams(texts, powers, False).buckets()
+            if count > 1:
+                bucket = bucket + folds(texts, count)[text] * BUCKETS
+            sums += np.bincount(bucket, minlength=count * BUCKETS)
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["bucket", "n"])
 
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(count * BUCKETS, np.int64)
     for r in rows.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
-    return out
+    return out.reshape(count, BUCKETS)
 
 
 def _evidence_counts(fitted: DataFrame) -> DataFrame:
@@ -246,7 +259,7 @@ def _evidence_counts(fitted: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log ratios of the buckets, the n-grams that speak against the target (sorted) with their weights, and the least evidence that is kept."""
+    """Log ratios of the buckets for the texts of each fold, the n-grams that speak against the target (sorted) with their weights, and the least evidence that is kept."""
 
     def __init__(self, ratios: np.ndarray, grams: np.ndarray, weights: np.ndarray, cut: float = -math.inf):
         self.ratios, self.grams, self.weights, self.cut = ratios, grams, weights, cut
@@ -255,7 +268,8 @@ class Model:
         """Log importance and evidence of each text."""
         grams = Grams(texts, powers, len(self.grams) > 0)
         text, bucket = grams.buckets()
-        importance = np.bincount(text, self.ratios[bucket], len(texts)).astype(float)
+        sums = np.bincount(text, self.ratios[folds(texts, len(self.ratios))[text], bucket], len(texts)).astype(float)
+        importance = TEMPERATURE * sums / np.maximum(np.bincount(text, minlength=len(texts)), 1)
         if not len(self.grams):
             return importance, np.zeros(len(texts))
         text, gram = grams.evidence()
@@ -266,9 +280,10 @@ class Model:
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log ratio of the shares of each bucket; the target's are smoothed towards the raw text's."""
+    """Log ratio of the shares of each bucket, for each fold from the other folds of the target, which are smoothed towards the raw text."""
     share = (raw + 1.0) / (raw.sum() + len(raw))
-    return np.log((target + len(raw) * share) / (target.sum() + len(raw)) / share)
+    others = target.sum(0) - target
+    return np.log((others + len(raw) * share) / (others.sum(1, keepdims=True) + len(raw)) / share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -278,8 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r.target: r["count"] for r in fitted.groupBy("target").count().collect()}
     n_target, n_other = sizes.get(True, 0), sizes.get(False, 0)
     if not n_target or not n_other:
-        return Model(np.zeros(BUCKETS), np.zeros(0, np.uint64), np.zeros(0))
-    ratios = log_ratios(_bucket_counts(fitted.where("target").select("text")), _bucket_counts(as_bytes(docs, text_col)))
+        return Model(np.zeros((1, BUCKETS)), np.zeros(0, np.uint64), np.zeros(0))
+    ratios = log_ratios(_bucket_counts(fitted.where("target").select("text"), FOLDS), _bucket_counts(as_bytes(docs, text_col))[0])
     ratio = F.log((F.col("target") + 0.5) / (n_target + 1)) - F.log((F.col("target") + F.col("other") + 0.5) / (n_target + n_other + 1))
     found = _evidence_counts(fitted.select("target", "text")).where(F.col("other") >= LEAST_ROWS).select("gram", ratio.alias("w")).where(F.col("w") <= CLEAR).orderBy("gram").collect()
     model = Model(ratios, np.array([r.gram for r in found], np.uint64), np.array([r.w for r in found], float))
