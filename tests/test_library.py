@@ -42,7 +42,7 @@ def test_schema_checks_and_sources(spark, tmp_path):
     assert sorted(r.phase for r in got.collect()) == ["test", "train"]
     with pytest.raises(ValueError):
         T.read_transactions(spark, {"train": [f"{tmp_path}/none"]})
-    assert T.write_predictions(df.select("event_id", F.lit(0.1).alias("predict")), f"{tmp_path}/p", 1)
+    assert [tuple(r) for r in T.write_predictions(df.select("event_id", F.lit(0.1).alias("predict")), f"{tmp_path}/p").collect()] == [(r.event_id, 0.1) for r in df.collect()]
     assert spark.read.option("header", True).csv(f"{tmp_path}/p").columns == ["event_id", "predict"]
     T.write_settings(spark, {"depth": 3}, f"{tmp_path}/s")
     assert T.read_settings(spark, f"{tmp_path}/s", {"depth": 1, "rate": 2}) == {"depth": 3, "rate": 2} and T.read_settings(spark, f"{tmp_path}/no", {"depth": 1}) == {"depth": 1}
@@ -285,3 +285,25 @@ def test_optional_parts_stay_apart():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"tidemark\.llm|corpus_pipeline", path.read_text()), path
+
+
+def test_summaries_of_parts_merge(spark, tables, tmp_path):
+    tx = queries.transactions(spark, tables)
+    parts = {"a": tx.where("event_id % 3 = 0"), "b": tx.where("event_id % 3 > 0")}
+    for name, part in parts.items():
+        aggregates.write_summary(part, f"{tmp_path}/{name}")
+    aggregates.merge(spark, f"{tmp_path}/a", f"{tmp_path}/b", f"{tmp_path}/ab")
+    got = {(r.axis, r.k1, r.k2): r for r in aggregates.summary_statistics(spark, f"{tmp_path}/ab").collect()}
+    want = {(r.axis, r.k1, r.k2): r for r in axes.axis_statistics(tx).collect()}
+    assert set(got) == set(want)
+    values = {}
+    for r in axes.keyed(tx, axes.axis_keys()).where("amt IS NOT NULL AND NOT (phase = 'train' AND labelled)").collect():
+        values.setdefault((r.axis, r.k1, r.k2), []).append(r.amt)
+    for (axis, k1, k2), w in want.items():
+        g = got[axis, k1, k2]
+        for c in ("mean", "std", "cnt", "woe", "label_rate", "log_frequency", "cnt_clean"):
+            assert g[c] == pytest.approx(w[c], rel=1e-9) if w[c] is not None else g[c] is None
+        own = sorted(values[(axes.S.GLOBAL,) * 2 + ("",) if k1 == axes.S.GLOBAL else (axis, k1, k2)])
+        for name, q in axes.QUANTILES.items():
+            low, high = sum(v < g[name] for v in own) / len(own), sum(v <= g[name] for v in own) / len(own)
+            assert low - 2.3 / axes.SKETCH - 1 / len(own) <= q <= high + 2.3 / axes.SKETCH + 1 / len(own)

@@ -1,9 +1,11 @@
 """The 98 history features: statistics over a customer's bounded past, for every row.
 
 The past H of a row is the array of at most ``cap`` rows that precede it (oldest first), optionally
-cut to the row's own number of newest rows. It comes from one window, so all features share one
-shuffle and one sort. Time and key conditions then apply inside the array by higher-order functions;
-arrays that several features need are columns of their own, so they are computed once.
+cut to the row's own number of newest rows; without a cap it is all of them. The expressions below say what each feature
+is. ``history_features`` computes those that look at the past in Arrow batches of whole customers (``history_kernel``), after one shuffle and one sort,
+in about log(rows) steps a row whatever the length of the past; features of the row alone need no shuffle. ``array_features`` evaluates the same
+expressions over arrays from one window, in the JVM: time and key conditions are higher-order functions, and
+arrays that several features need are columns of their own. It is quadratic in the length of the past, and the other's check.
 
 A customer with very many rows is cut into ranges of hours, and the ``cap`` rows before a range are
 sent to it too, so that no customer is a single task.
@@ -15,11 +17,15 @@ null where empty.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators import history_kernel as kernel
 from tidemark.sources.scratch import stored
 from tidemark.sources.tables import PHASE_RANK
 
@@ -225,13 +231,13 @@ def _ranges(tx: DataFrame, cap: int) -> DataFrame | None:
 
     Only hours of large customers have rows here; there are none, and no table, where no customer is large.
     """
-    hours = tx.groupBy("customer_id", _rank().alias("phase_rank"), F.floor(F.col("t") / 3600).alias("hour")).agg(F.count("*").alias("n"))
-    large = hours.groupBy("customer_id").agg(F.sum("n").alias("rows")).where(F.col("rows") > RANGE_ROWS).select("customer_id")
+    large = stored(tx.groupBy("customer_id").agg(F.count("*").alias("rows")).where(F.col("rows") > RANGE_ROWS).select("customer_id"))
+    if large.isEmpty():
+        return None
+    hours = tx.join(large, "customer_id", "left_semi").groupBy("customer_id", _rank().alias("phase_rank"), F.floor(F.col("t") / 3600).alias("hour")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("customer_id").orderBy("phase_rank", "hour")
     ends = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    found = stored(hours.join(large, "customer_id", "left_semi").withColumn("end", ends).withColumn("to", F.floor((F.col("end") - F.col("n")) / RANGE_ROWS)))
-    if found.isEmpty():
-        return None
+    found = stored(hours.withColumn("end", ends).withColumn("to", F.floor((F.col("end") - F.col("n")) / RANGE_ROWS)))
     starts = found.groupBy("customer_id", F.col("to").alias("later")).agg(F.min(F.col("end") - F.col("n")).alias("start"))
     # an hour that ends within cap rows before the start of a later range is history of it
     before = found.join(starts, "customer_id").where((F.col("to") < F.col("later")) & (F.col("end") > F.col("start") - cap))
@@ -239,26 +245,33 @@ def _ranges(tx: DataFrame, cap: int) -> DataFrame | None:
     return stored(found.select(*keys, "to", F.lit(False).alias("ghost")).unionByName(before.select(*keys, F.col("later").alias("to"), F.lit(True).alias("ghost"))))
 
 
-def with_past(tx: DataFrame, cap: int | None = CAP, suffix: str | None = None, fields: list[str] | None = None) -> DataFrame:
-    """Adds H, the preceding rows (oldest first), with all or the named fields. ``suffix`` names a column with each row's own number of newest rows.
-
-    Without a cap a customer's rows stay together, as each needs all before it.
-    """
+def _with_keys(tx: DataFrame) -> DataFrame:
     pair = lambda a, b: F.concat_ws("\u001f", F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
-    rows = tx.withColumns({
+    return tx.withColumns({
         "dev": pair(F.col("os"), F.col("ver")), "dev_known": F.col("os").isNotNull() | F.col("ver").isNotNull(),
         "ch": pair(F.col("ch_type"), F.col("ch_sub")), "ch_known": F.col("ch_type").isNotNull() | F.col("ch_sub").isNotNull(),
         "dev_flag": S.developer_flag(F.col("dev_tools")),
     })
-    ranges = _ranges(tx.select("customer_id", "phase", "t"), cap) if cap is not None else None
+
+
+def _dealt(rows: DataFrame, ranges: DataFrame | None) -> DataFrame:
+    """The rows with _range, and copies with _ghost for the ranges that only need them as history."""
     if ranges is None:
-        past = rows.withColumn("H", F.collect_list(F.struct(*(fields or _FIELDS))).over(_order().rowsBetween(Window.unboundedPreceding if cap is None else -cap, -1)))
-    else:
-        named = ranges.withColumnsRenamed({"customer_id": "_customer", "phase_rank": "_phase", "hour": "_hour", "to": "_range", "ghost": "_ghost"})
-        same = (F.col("customer_id") == F.col("_customer")) & _rank().eqNullSafe(F.col("_phase")) & F.floor(F.col("t") / 3600).eqNullSafe(F.col("_hour"))
-        dealt = rows.join(named, same, "left").drop("_customer", "_phase", "_hour")
-        past = dealt.withColumn("H", F.collect_list(F.struct(*(fields or _FIELDS))).over(_order("_range").rowsBetween(-cap, -1)))
-        past = past.where(~F.coalesce("_ghost", F.lit(False))).drop("_range", "_ghost")
+        return rows.withColumns({"_range": F.lit(0).cast("bigint"), "_ghost": F.lit(False)})
+    named = ranges.withColumnsRenamed({"customer_id": "_customer", "phase_rank": "_phase", "hour": "_hour", "to": "_range", "ghost": "_ghost"})
+    same = (F.col("customer_id") == F.col("_customer")) & _rank().eqNullSafe(F.col("_phase")) & F.floor(F.col("t") / 3600).eqNullSafe(F.col("_hour"))
+    joined = rows.join(named, same, "left").drop("_customer", "_phase", "_hour")
+    return joined.withColumns({"_range": F.coalesce("_range", F.lit(0)), "_ghost": F.coalesce("_ghost", F.lit(False))})
+
+
+def with_past(tx: DataFrame, cap: int | None = CAP, suffix: str | None = None, fields: list[str] | None = None) -> DataFrame:
+    """Adds H, the preceding rows (oldest first), with all or the named fields. ``suffix`` names a column with each row's own number of newest rows.
+
+    Without a cap a customer's rows stay together, as each needs all before it.
+    """
+    ranges = _ranges(tx.select("customer_id", "phase", "t"), cap) if cap is not None else None
+    past = F.collect_list(F.struct(*(fields or _FIELDS))).over(_order("_range").rowsBetween(Window.unboundedPreceding if cap is None else -cap, -1))
+    past = _dealt(_with_keys(tx), ranges).withColumn("H", past).where("NOT _ghost").drop("_range", "_ghost")
     if suffix:
         past = past.withColumn("H", F.expr(f"slice(H, greatest(size(H) - greatest({suffix}, 0) + 1, 1), greatest({suffix}, 0))"))
     return past
@@ -274,8 +287,8 @@ def _used(names: list[str]) -> tuple[list[dict[str, str]], list[str]]:
     return layers, [f for f in _FIELDS if any(re.search(rf"\.{f}\b", t) for t in texts)] or ["t"]
 
 
-def history_features(tx: DataFrame, names: list[str] | None = None, cap: int | None = CAP, suffix: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """event_id (and the columns ``keep``) with the named features (default: all), as doubles."""
+def array_features(tx: DataFrame, names: list[str] | None = None, cap: int | None = CAP, suffix: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """What ``history_features`` gives, by expressions over the array of the past."""
     layers, fields = _used(list(names or FEATURES))
     out = with_past(tx, cap, suffix, fields)
     for layer in layers:
@@ -283,6 +296,99 @@ def history_features(tx: DataFrame, names: list[str] | None = None, cap: int | N
     return out.select("event_id", *(keep or []), *[F.expr(FEATURES[n]).cast("double").alias(n) for n in names or FEATURES])
 
 
+#: Rows of whole customers that a task answers at once, about; a larger customer comes alone.
+CHUNK_ROWS = 50_000
+_FLAGS = ("ch_known", "dev_known", "rdp", "voip")
+
+
+def columns_of(table: pa.Table, prefix: str = "_h_") -> Callable[[str], np.ndarray]:
+    """The kernel's view of a table: times and amounts as numbers, flags, and codes of all other values."""
+    kept: dict[str, np.ndarray] = {}
+
+    def column(name: str) -> np.ndarray:
+        if name not in kept:
+            values = table.column(prefix + name).combine_chunks()
+            if name in ("t", "amt"):
+                kept[name] = values.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            elif name in _FLAGS:
+                kept[name] = values.fill_null(False).to_numpy(zero_copy_only=False)
+            else:
+                kept[name] = values.dictionary_encode().indices.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        return kept[name]
+
+    return column
+
+
+def opens_segment(table: pa.Table) -> np.ndarray:
+    """Whether a row is the first of its customer, or range of a large customer, in a sorted table."""
+    codes = table.column("_customer").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    ranges = table.column("_range").to_numpy()
+    return np.concatenate((np.ones(min(1, len(codes)), bool), (codes[1:] != codes[:-1]) | (ranges[1:] != ranges[:-1])))
+
+
+def _whole(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole customers of about so many rows."""
+    held: list[pa.Table] = []
+    count, enough = 0, rows
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        count += batch.num_rows
+        if count >= enough:
+            table = pa.concat_tables(held)
+            last = int(np.flatnonzero(opens_segment(table))[-1])
+            if last:
+                yield table.slice(0, last)
+                held, count, enough = [table.slice(last)], count - last, rows
+            else:
+                held, enough = [table], 2 * count  # so that a long customer is not put together again at each batch
+    if count:
+        yield pa.concat_tables(held)
+
+
+def _inputs(names: list[str]) -> list[str]:
+    """The fields that the named features read, of the row or its past."""
+    layers, _ = _used(names)
+    texts = [FEATURES[n] for n in names] + [e for layer in layers for e in layer.values()]
+    return [f for f in _FIELDS if any(re.search(rf"\b{f}\b", t) for t in texts)] or ["t"]
+
+
+def history_features(tx: DataFrame, names: list[str] | None = None, cap: int | None = CAP, suffix: str | None = None, keep: list[str] | None = None, rows: str | None = None) -> DataFrame:
+    """event_id (and the columns ``keep``) with the named features (default: all), as doubles; of all rows, or of those that the condition
+    ``rows`` holds for (the others are history only). ``suffix`` names a column with each row's own number of newest rows.
+
+    Without a cap a customer's rows are in one task, some hundred bytes each.
+    """
+    names, kept = list(names or FEATURES), list(keep or [])
+    past = [n for n in names if n in kernel.FEATURES]
+    keyed = _with_keys(tx)
+    if not past:
+        chosen = keyed.where(rows) if rows else keyed
+        return chosen.select("event_id", *kept, *[F.expr(FEATURES[n]).cast("double").alias(n) for n in names])
+    ranges = _ranges(tx.select("customer_id", "phase", "t"), cap) if cap is not None else None
+    lengths = F.col(suffix).cast("bigint") if suffix else F.lit(0).cast("bigint")
+    inputs = {"_customer": F.col("customer_id").cast("string"), "_wanted": F.coalesce(F.expr(rows), F.lit(False)) & ~F.col("_ghost") if rows else ~F.col("_ghost"), "_length": lengths}
+    inputs |= {f"_h_{f}": F.col(f) for f in _inputs(past)}
+    dealt = _dealt(keyed, ranges).repartition("customer_id", "_range").sortWithinPartitions("customer_id", "_range", _rank(), "t", F.coalesce("event_id", F.lit(0)))
+    shown = ["event_id", *[c for c in kept if c != "event_id"], *[n for n in names if n not in past]]
+    own = [F.expr(FEATURES[n]).cast("double").alias(n) for n in names if n not in past]
+    flat = dealt.select("event_id", *[c for c in kept if c != "event_id"], *own, "_range", *[c.alias(n) for n, c in inputs.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole(batches, CHUNK_ROWS):
+            wanted = table.column("_wanted").combine_chunks()
+            found = kernel.History(opens_segment(table), columns_of(table), cap, table.column("_length").to_numpy() if suffix else None)
+            chosen = wanted.to_numpy(zero_copy_only=False)
+            out = {c: table.column(c).filter(wanted) for c in shown}
+            for name in past:
+                values = np.asarray(kernel.FEATURES[name](found), float)[chosen]
+                out[name] = pa.array(values, mask=np.isnan(values))
+            yield from pa.table(out).to_batches(max_chunksize=10_000)
+
+    kinds = {f.name: f.dataType.simpleString() for f in flat.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in shown) + ", " + ", ".join(f"`{n}` double" for n in past)
+    return flat.mapInArrow(run, schema).select("event_id", *kept, *names)
+
+
 def recent_by_prefix(tx: DataFrame, seconds: int = DAY) -> DataFrame:
     """Count and sum of amounts of a customer's preceding rows of the last seconds, without arrays: all preceding
     rows less those before the time range. Holds where row order is time order and all times are known."""

@@ -124,6 +124,13 @@ def population_features(rows: DataFrame, fitted: aggregates.Aggregates) -> DataF
     return out.select(*rows.columns, *JOINT, *[c.alias(n) for axis in LAYOUT for n, c in block(axis).items()]).select(*rows.columns, *feature_names())
 
 
+def stored_counts(tx: DataFrame) -> aggregates.Aggregates:
+    """The five count tables, each written once, all from the stored channel, currency and timezone counts; no statistics."""
+    channel, currency, timezone = (stored(A.cooccurrence(tx, *by)) for by in (("ch_type", "ch_sub"), ("ccy",), ("tz",)))
+    totals = stored(channel.groupBy("mcc_key").agg(F.sum("cnt").alias("n_rows")))
+    return aggregates.Aggregates(None, totals, channel, currency, timezone, stored(A.channel_top3(tx, channel)))
+
+
 def stored_once(tx: DataFrame) -> aggregates.Aggregates:
     """The aggregates of the pretrain and train rows of ``tx``, each table written once."""
     found = aggregates.fitted(tx)

@@ -17,7 +17,7 @@ from tidemark.plans import matrix
 from tidemark.sources import aggregates, tables
 
 STEPS = ("aggregates", "matrix", "train", "score")
-#: Test rows that a full score file has; the score step says whether it has them.
+# Test rows that a full score file has (the score step says whether it has them), and below the files' part names.
 EXPECTED_ROWS = 633_683
 
 
@@ -54,7 +54,7 @@ def read_inputs(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def run(spark: SparkSession, paths: Paths, tx: DataFrame | None = None, steps: tuple[str, ...] = STEPS) -> DataFrame | None:
-    """Runs the steps in their order; the score step's rows (event_id, score, predict) are returned and stored as CSV."""
+    """Runs the steps in their order; the score step's rows (event_id, predict) are stored as CSV and returned as read back."""
     rows = read_inputs(spark, paths) if tx is None else tx
     out = None
     for step in [s for s in STEPS if s in steps]:
@@ -72,8 +72,8 @@ def run(spark: SparkSession, paths: Paths, tx: DataFrame | None = None, steps: t
             ready = matrix.scoring_rows(rows, aggregates.read(spark, paths.aggregates))
             if faults := all_columns_there(ready.drop("event_id"), names):
                 raise ValueError("; ".join(faults))
-            out = model.scored(fitted, ready, names).select("event_id", "score", "predict")
-            if not tables.write_predictions(out, paths.scores, EXPECTED_ROWS):
+            out = tables.write_predictions(model.scored(fitted, ready, names), paths.scores)
+            if out.count() != EXPECTED_ROWS:
                 print(f"{paths.scores}: not the {EXPECTED_ROWS} rows expected of a full test set")
     return out
 

@@ -278,7 +278,7 @@ SELECT event_id, {sql_near(_NEGLOG.format(num='n_ch', den='total'), lookups.JOIN
 )
 def global_joint_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
-    return lookups.with_joint(tx, aggregates.fitted(tx)).select("event_id", *map(near, lookups.JOINT))
+    return lookups.with_joint(tx, lookups.stored_counts(tx)).select("event_id", *map(near, lookups.JOINT))
 
 
 _POPULATION = "SELECT * FROM " + " JOIN ".join(f"({ORACLES[q]})" + ("" if i == 0 else " USING (event_id)") for i, q in enumerate([*[f"global_lookup_{a}" for a in lookups.LAYOUT], "global_joint_features"]))
@@ -474,7 +474,9 @@ def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- scoring
 
-_LATER = " px AS (SELECT * REPLACE (CASE WHEN t < 1706486400 THEN 'pretest' ELSE 'test' END AS phase) FROM tx WHERE phase = 'test' AND event_id % 43 <> 0),"
+#: Rows of pretest without an id have one below all others here, so that pairs of rows can be told apart; test rows without one are left out.
+_LATER = """ px0 AS (SELECT * REPLACE (CASE WHEN t < 1706486400 THEN 'pretest' ELSE 'test' END AS phase) FROM tx WHERE phase = 'test'),
+px AS (SELECT * REPLACE (CASE WHEN event_id % 43 = 0 THEN -event_id ELSE event_id END AS event_id) FROM px0 WHERE phase = 'pretest' OR event_id % 43 <> 0),"""
 
 
 def _scored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

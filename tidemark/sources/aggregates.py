@@ -79,6 +79,30 @@ def write(tx: DataFrame, root: str) -> None:
     axes.population_totals(tx).write.mode("overwrite").parquet(f"{root}/{POPULATION}.parquet")
 
 
+#: Files of what a refresh adds up: bucket sums and quantile sketches of all keys.
+BUCKETS, SKETCHES = "axis_buckets", "axis_sketches"
+
+
+def write_summary(tx: DataFrame, root: str) -> None:
+    """Writes what statistics can be brought up to date from when a part of rows arrives, without reading the rows before: sums by
+    key and bucket of values, and a quantile sketch of each key."""
+    rows = axes.keyed(tx, axes.axis_keys())
+    axes.bucket_sums(axes.value_counts(rows)).write.mode("overwrite").parquet(f"{root}/{BUCKETS}.parquet")
+    axes.sketches(rows).write.mode("overwrite").parquet(f"{root}/{SKETCHES}.parquet")
+
+
+def merge(spark: SparkSession, old: str, new: str, root: str) -> None:
+    """Writes the summary of two parts of the rows, from their summaries."""
+    for file, merged in ((BUCKETS, axes.merged_buckets), (SKETCHES, axes.merged_sketches)):
+        merged(*[spark.read.parquet(f"{r}/{file}.parquet") for r in (old, new)]).write.mode("overwrite").parquet(f"{root}/{file}.parquet")
+
+
+def summary_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """The statistics of a summary: exact, but for the quantiles, whose ranks are off by the sketches' error at most."""
+    buckets, sketched = (spark.read.parquet(f"{root}/{f}.parquet") for f in (BUCKETS, SKETCHES))
+    return axes.statistics_of(buckets, axes.quantiles_of(sketched, axes.QUANTILES), list(FILES))
+
+
 def _stored_keys(axis: str, keys: list[str]) -> tuple[Column, Column]:
     """Both key parts of a stored row, as text."""
     first, second = F.col(keys[0]), F.coalesce(F.trim(F.col(keys[1])), F.lit("")) if len(keys) > 1 else F.lit("")

@@ -95,7 +95,7 @@ def conform(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
 
     def text(*names: str):
-        found = [S.clean_text(F.col(n)) for n in names if n in have]
+        found = [S.clean_text(F.col(n).cast("int") if isinstance(df.schema[n].dataType, BooleanType) else F.col(n)) for n in names if n in have]  # booleans are written 1 and 0
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
     def number(name: str):
@@ -175,10 +175,11 @@ def write_axis(df: DataFrame, keys: list[str], path: str) -> None:
     df.orderBy(*keys).write.mode("overwrite").parquet(path)
 
 
-def write_predictions(df: DataFrame, path: str, expected_rows: int | None = None) -> bool:
-    """CSV of event_id, predict; whether the number of rows is the one expected."""
-    df.select("event_id", "predict").write.mode("overwrite").option("header", True).csv(path)
-    return expected_rows is None or df.count() == expected_rows
+def write_predictions(df: DataFrame, path: str) -> DataFrame:
+    """Writes event_id and predict as CSV, once; returns the table as it is read back."""
+    out = df.select("event_id", "predict")
+    out.write.mode("overwrite").option("header", True).csv(path)
+    return df.sparkSession.read.schema(out.schema).option("header", True).csv(path)
 
 
 # Columns of the matrix that are no features, in their order.
