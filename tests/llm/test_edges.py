@@ -6,6 +6,7 @@ import pytest
 from tidemark.llm import bpe, decontaminate, html_text, licenses, quality, repeats, secrets, simhash, sketches, token_counts
 
 MODEL, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = secrets.vocabulary_words([public_tokenizers.path(f) for f in secrets.VOCABULARIES])
 LONG = "the mit license and token = abcdef0123456789abcd of all " * 4000
 ROWS = [
     (1, "some plain words to read here and there", "en", "s", 39, "X", 1), (1, "some plain words to read here and there", "en", "s", 39, "X", 1),
@@ -30,7 +31,7 @@ def labels(spark):
 def row_operators(items, labels):
     return {
         "tokens": lambda d: token_counts.count_tokens(d, RANKS),
-        "secrets": secrets.scan,
+        "secrets": lambda d: secrets.scan(d, WORDS),
         "bpe": lambda d: bpe.encode_decode(d, MODEL),
         "licenses": licenses.scan,
         "decontaminate": lambda d: decontaminate.report(d, items),
@@ -74,7 +75,7 @@ def test_defined_results(odd, items):
     assert got[2].n_tokens == got[2].n_sections == got[3].n_tokens == 0 and got[5].n_sections == 2 and got[7].n_sections == 1 and got[8].n_tokens > 0
     other = {r.doc_id: r for r in bpe.encode_decode(odd, MODEL).where("doc_id IS NOT NULL").collect()}
     assert {i: r.n_tokens for i, r in other.items()} == {i: r.n_tokens for i, r in got.items()}
-    got = {r.doc_id: r for r in secrets.scan(odd).where("doc_id IS NOT NULL").collect()}
+    got = {r.doc_id: r for r in secrets.scan(odd, WORDS).where("doc_id IS NOT NULL").collect()}
     assert got[4].n_assign == got[6].n_assign == 4000 and got[2].spans == got[3].spans == got[7].spans == got[8].spans == ""
     got = {r.doc_id: r for r in quality.resample(odd, odd.selectExpr("doc_id", "1 AS quality", "0 AS toxic").limit(0)).where("doc_id IS NOT NULL").collect()}
     assert all(r.keep and r.score == r.evidence == 0 for r in got.values())  # no labels
@@ -83,7 +84,7 @@ def test_defined_results(odd, items):
 
 
 def test_stages_keep_columns(odd, items, labels):
-    for stage in (lambda d: quality.accepted(d, labels), simhash.deduplicate, lambda d: decontaminate.remove(d, items), secrets.redact):
+    for stage in (lambda d: quality.accepted(d, labels), simhash.deduplicate, lambda d: decontaminate.remove(d, items), lambda d: secrets.redact(d, WORDS)):
         assert stage(odd).columns == odd.columns
         assert stage(odd.limit(0)).count() == 0
     kept = simhash.deduplicate(odd).collect()
@@ -91,7 +92,7 @@ def test_stages_keep_columns(odd, items, labels):
     assert sorted(str(r[0]) for r in kept) == ["1", "2", "4", "8", "None"]
     clean = {r[0]: r for r in decontaminate.remove(odd, items, coverage=0.9).collect() if r[0]}
     assert clean[1][1] == "some  here and there" and clean[1][4] == len(clean[1][1]) and clean[2][1] is None
-    red = {r[0]: r for r in secrets.redact(odd).collect() if r[0]}
+    red = {r[0]: r for r in secrets.redact(odd, WORDS).collect() if r[0]}
     assert "abcdef0123456789abcd" not in red[4][1] and red[4][4] == len(red[4][1])
 
 

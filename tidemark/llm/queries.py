@@ -28,7 +28,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir))
+    return secrets.scan(documents(spark, sf_dir), secrets.vocabulary_words([public_tokenizers.path(f) for f in secrets.VOCABULARIES]))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

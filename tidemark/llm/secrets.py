@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models for random strings.
 
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers
-and words, are trained from labelled samples: values that the fixed patterns find anywhere in the
-documents and generated keys are random, shorter runs of key characters outside of them are ordinary. Counts cover all documents. A
-candidate run is a secret where a part of it, of at least LEAST_RUN characters, has a mean log-likelihood ratio
-a character over the threshold. The span is the whole run if its own mean is, else, of all such parts, the one whose ratios
+and words, are trained from labelled samples. Random are generated keys, and values that the fixed patterns find anywhere in the
+documents; ordinary are identifiers, paths, dated names, alphabets and compounds of all lengths, built by rule from the words of a public
+vocabulary, and the shorter runs of key characters of the documents. Counts cover all documents; either source has half of a model's weight.
+A candidate run is a secret where a part of it, of at least LEAST_RUN characters, has a mean log-likelihood ratio
+a character over the threshold, which is the least at which only the share ALARMS of held-out ordinary strings is flagged. The span is the whole run if its own mean is, else, of all such parts, the one whose ratios
 exceed the threshold by the largest sum (the first of equal ones): so a key glued to words is found.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Repeated rows each
@@ -13,9 +14,11 @@ give a row, an empty table none. Texts of any length are scanned whole; columns
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,12 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-GENERATED = 4000
-#: Runs that the models judge have at least so many characters; ordinary runs, for training, have fewer but LEAST_WORD.
+#: Names of the rank files whose words ordinary samples are built from.
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
+#: Labelled samples of each kind; ordinary ones that set the threshold, and the share of them that may be flagged.
+GENERATED, ORDINARY, HELD_OUT, ALARMS = 20_000, 40_000, 8_000, 0.005
+#: Runs that the models judge have at least so many characters; the documents' ordinary runs, for training, have fewer but LEAST_WORD.
 LEAST_RUN, LEAST_WORD = 16, 4
-THRESHOLD = 0.9
 #: A part with fewer different characters, as a line of one letter, is no key, however rare its pairs are in words.
 LEAST_KINDS = 6
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
@@ -45,6 +50,7 @@ PRIOR = 20.0
 
 _CODE = np.full(256, len(ALPHABET), np.int64)
 _CODE[np.frombuffer(ALPHABET, np.uint8)] = np.arange(len(ALPHABET))
+_WORD = re.compile(rb" [A-Za-z]{2,14}")
 SYMBOLS = len(ALPHABET) + 1  # the last is the start of a string
 
 
@@ -67,10 +73,45 @@ def transitions(run: bytes) -> np.ndarray:
 
 
 def generated_keys(count: int = GENERATED, seed: int = 7) -> list[bytes]:
-    """Labelled samples of random strings: hex, base 62 and base 64 keys of 16 to 48 characters."""
+    """Labelled samples of random strings: hex, base 62, base 64 (either alphabet) and upper-case keys of 16 to 64 characters."""
     r = random.Random(seed)
-    alphabets = [b"0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[:26] + ALPHABET[52:62]]
-    return [bytes(r.choice(a) for _ in range(r.randint(16, 48))) for a in alphabets for _ in range(count // len(alphabets))]
+    alphabets = [ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + b"_-", ALPHABET[:26] + ALPHABET[52:62], b"0123456789abcdef"]
+    return [bytes(r.choices(a, k=r.randint(16, 64))) for a in alphabets for _ in range(count // len(alphabets))]
+
+
+def vocabulary_words(paths: list[str]) -> list[str]:
+    """Words (2 to 14 letters, lower-cased) of rank files: a token in base 64 and its rank a line."""
+    words = set()
+    for path in paths:
+        with open(path, "rb") as lines:
+            for line in lines:
+                token = base64.b64decode(line.split()[0])
+                if _WORD.fullmatch(token):
+                    words.add(token.strip().decode().lower())
+    return sorted(words)
+
+
+def ordinary_strings(words: list[str], count: int = ORDINARY, seed: int = 7) -> list[bytes]:
+    """Labelled samples of ordinary strings: words joined as identifiers, constants, paths, dated names and compounds are, some with
+    numbers; and alphabets, rows of keys, numbers and UUIDs."""
+    r, out = random.Random(seed), []
+    for _ in range(count):
+        some = [r.choice(words) for _ in range(r.randint(2, 6))]
+        if r.random() < 0.25:
+            some.insert(r.randint(1, len(some)), r.choice([str(r.randint(0, 99)), str(r.randint(1990, 2030)), str(r.randint(100, 9999)), f"v{r.randint(1, 9)}", f"{r.choice('xufsi')}{r.choice((8, 16, 32, 64, 86, 256))}"]))
+        capital = [w[:1].upper() + w[1:] for w in some]
+        date = f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 31):02d}"
+        pairs = [r.choice(("_", "-", "")).join(some[i : i + 2]) for i in range(0, len(some), 2)]
+        styles = ["".join([some[0], *capital[1:]]), "".join(capital), "_".join(some), "_".join(some).upper(), "-".join(some), "/" + "/".join(some), "".join(some), "/".join(pairs), "-".join([date, *some])]
+        out.append(r.choice(styles))
+    lower, upper = string.ascii_lowercase, string.ascii_uppercase
+    for row in (lower, upper, string.digits, upper + lower + string.digits + "+/", "qwertyuiop", "asdfghjkl", "zxcvbnm", "QWERTYUIOP", "ASDFGHJKL", "ZXCVBNM"):
+        out += [row] * (count // 200)
+    for _ in range(count // 40):
+        out.append("-".join("".join(r.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)))
+        out.append("".join(r.choices(string.digits, k=r.randint(10, 20))))
+        out.append(r.choice("=-_/+0x1aA") * r.randint(4, 60))
+    return [x.encode() for x in out]
 
 
 def pair_counts(texts: list[bytes]) -> np.ndarray:
@@ -98,8 +139,8 @@ def pair_counts(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-likelihood ratios of the character pairs (random over ordinary), smoothed towards single characters.
+def train(docs: DataFrame, words: list[str], text_col: str = "text", alarms: float = ALARMS) -> np.ndarray:
+    """Log-likelihood ratios of the character pairs (random over ordinary), smoothed towards single characters, less the threshold.
 
     Pair counts over all documents come from Spark; only two tables of 68 x 68 counts reach the driver.
     """
@@ -112,13 +153,25 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     sums = np.zeros((2, SYMBOLS * SYMBOLS))
     for label, pair, n in map_slices(as_bytes(docs, text_col), lambda: count, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n")).collect():
         sums[label, pair] += n
-    for key in generated_keys():
-        np.add.at(sums[1], transitions(key), 1)
+    for k, sample in enumerate((ordinary_strings(words), generated_keys())):
+        own = np.bincount(np.concatenate([transitions(x) for x in sample]), minlength=SYMBOLS * SYMBOLS)
+        sums[k] = sums[k] * min(1.0, own.sum() / max(1.0, sums[k].sum())) + own
     given = sums.reshape(2, SYMBOLS, SYMBOLS)
     single = given.sum(1, keepdims=True) + 1.0
     single /= single.sum(2, keepdims=True)
     logs = np.log((given + PRIOR * single) / (given.sum(2, keepdims=True) + PRIOR))
-    return (logs[1] - logs[0]).ravel()
+    ratios = (logs[1] - logs[0]).ravel()
+    best = sorted(best_mean(ratios[transitions(x)]) for x in ordinary_strings(words, HELD_OUT, seed=8) if len(x) >= LEAST_RUN and CANDIDATE.fullmatch(x))
+    return ratios - max(0.0, best[int((1 - alarms) * (len(best) - 1))])
+
+
+def best_mean(ratios: np.ndarray, least: int = LEAST_RUN) -> float:
+    """Largest mean of at least so many consecutive numbers: the threshold from which a string is not flagged."""
+    low, high = float(ratios.min()), float(ratios.max())
+    for _ in range(20):
+        middle = (low + high) / 2
+        low, high = (middle, high) if best_part(ratios - middle, least)[0] > 0 else (low, middle)
+    return high
 
 
 def best_part(excess: np.ndarray, least: int = LEAST_RUN) -> tuple[float, int, int]:
@@ -130,10 +183,10 @@ def best_part(excess: np.ndarray, least: int = LEAST_RUN) -> tuple[float, int, i
     return float(gain[end]), int(np.argmin(sums[: end + 1])), end + least
 
 
-def markov_spans(text: bytes, ratios: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+def markov_spans(text: bytes, ratios: np.ndarray) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        excess = ratios[transitions(m[0])] - threshold
+        excess = ratios[transitions(m[0])]
         gain, first, last = best_part(excess)
         if gain > 0:
             if excess.sum() > 0:
@@ -159,15 +212,15 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Row per document: id, n_assign, n_access, n_hex, n_markov, base_sha256, spans."""
-    ratios = docs.sparkSession.sparkContext.broadcast(train(docs, text_col))
+def scan(docs: DataFrame, words: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Row per document: id, n_assign, n_access, n_hex, n_markov, base_sha256, spans. ``words`` are those that ordinary samples are built from."""
+    ratios = docs.sparkSession.sparkContext.broadcast(train(docs, words, text_col))
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(6)]
         for text in batch.column(1).to_pylist():
             base = base_spans(text)
-            more = markov_spans(text, ratios.value, threshold)
+            more = markov_spans(text, ratios.value)
             base, more = (in_code_points(text, x) if x else x for x in (base, more))
             n = [sum(k == i for _, k, _ in base) for i in range(3)]
             for c, v in zip(cols, [*n, len(more), hashlib.sha256(written(base).encode()).hexdigest(), written(base + more)]):
@@ -180,9 +233,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     return map_slices(rows, lambda: apply, f"{id_col} {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, words: list[str], text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """The same rows and columns, each span of the text replaced by a mark; n_chars, if there, follows."""
-    ratios = docs.sparkSession.sparkContext.broadcast(train(docs, text_col))
+    ratios = docs.sparkSession.sparkContext.broadcast(train(docs, words, text_col))
     at = docs.columns.index(text_col)
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
