@@ -339,7 +339,8 @@ def _prefixes(docs: DataFrame, text_col: str, shingle: int, least: float, shingl
     Two similar texts share one. Only half of the shingles are counted, and come first in the order.
     """
     parts = max(1, math.ceil(shingles / 2 / PART_SHINGLES))
-    packed = _pack_shingles(docs, text_col, shingle, least, parts).repartition(parts, "part")
+    # a part a task; hashes of part numbers would put several into one
+    packed = _pack_shingles(docs, text_col, shingle, least, parts).repartitionById(parts, F.col("part"))
     counted = materialise(packed.mapInArrow(_count_holders, _PACKED))
 
     def pick_first(table: pa.Table) -> pa.Table:
