@@ -77,6 +77,19 @@ def test_tokens_of_long_runs(spark):
     assert lengths == {r.doc_id: r.n_tokens for r in token_counts.count_tokens(rows, RANKS).collect()}
 
 
+def test_long_white_space_is_split_as_the_encoder_does():
+    import tiktoken
+
+    from tidemark.llm.bpe import PIECES
+
+    encoder = tiktoken.Encoding("tokens", pat_str=PIECES, mergeable_ranks=token_counts.load_ranks(RANKS), special_tokens={})
+    spaces = [*map(chr, range(1, 33)), "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\u3000", "\ufeff"]
+    for c in spaces:
+        for n in (token_counts.LONG_RUN - 1, token_counts.LONG_RUN, token_counts.LONG_RUN + 1, token_counts.LONG_RUN + 5):
+            for text in (f"a\t{c * n}b", f"{c * n}", f"x {c * n} \n", f"a{c * n}\x1c"):
+                assert token_counts.encode(encoder, text) == encoder.encode_ordinary(text), (c, n)
+
+
 def test_token_counts_follow_the_library_offsets(docs, texts):
     from tokenizers import Tokenizer
 

@@ -5,16 +5,16 @@ sections (lines, each with its line break). Rule for a token that crosses a boun
 whole to the section that holds its first byte, so the sections' counts sum to the document's.
 
 Null and empty texts have no tokens and no sections. Repeated rows each give a row, an empty table none; columns may
-have clashing names. Texts of any length are encoded whole, long runs of white space too.
+have clashing names. Texts of any length are encoded whole, long runs of white space too. Every row is counted by itself, so ties can't occur.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
@@ -25,7 +25,7 @@ from tidemark.llm.common import as_bytes, map_slices
 #: White space of at least this many characters is given to the encoder as a piece of its own: its pattern matcher
 #: backtracks once a character of such a run.
 LONG_RUN = 1000
-_LONG_RUN = re.compile(r"\s{%d,}" % LONG_RUN)
+_LONG_RUN = regex.compile(r"\p{White_Space}{%d,}" % LONG_RUN)  # what the encoder's \s is; Python's has U+001C to U+001F too
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
