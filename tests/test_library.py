@@ -238,6 +238,41 @@ def test_audits(spark, tmp_path):
     assert audits.file_schemas(spark, str(tmp_path), recursive=True).count() >= 3
 
 
+def test_footers_equal_a_scan(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "if(id % 7 = 0, null, cast(id AS double) / 3) AS x", "if(id % 5 = 0, null, concat('s', id)) AS s", "named_struct('a', id) AS nested", "if(id < 0, 1, null) AS none")
+    df.repartition(3).write.option("parquet.block.size", 20_000).parquet(f"{tmp_path}/t")
+    paths = [f.path for f in spark.read.format("binaryFile").load(f"{tmp_path}/t/*.parquet").select("path").collect()]
+    got = {r.name: r for r in audits.footer_profile(spark, paths).collect()}
+    want = {r.column_name: r for r in audits.column_profile(df.drop("nested")).collect()}
+    assert {n: (got[n].n, got[n].n_null) for n in want} == {n: (r.n, r.n_null) for n, r in want.items()} and got["nested"].n == 5000
+    assert {n: got[n].type for n in got} == {f.name: f.dataType.simpleString() for f in df.schema}
+    found = audits.footers(spark, paths)
+    assert found.rdd.getNumPartitions() == len(paths) == 3 and found.where("name = 'none'").first().least is None
+    ends = found.where("name = 'id'").selectExpr("min(cast(least AS long)) AS a", "max(cast(largest AS long)) AS b").first()
+    assert tuple(ends) == (0, 4999)
+
+
+def test_row_samples_are_exact(spark):
+    df = spark.range(3000).selectExpr("id % 1000 AS event_id", "id AS x").repartition(5)
+    for rows in (0, 1, 2, 999, 1001, 2999, 3000, 5000):
+        sample = sampling.row_sample(df, rows)
+        assert sample.count() == sample.distinct().count() == min(rows, 3000)
+    assert "Limit" not in sampling.row_sample(df, 100)._jdf.queryExecution().executedPlan().toString()
+    assert sampling.within_budget(df, 244).count() == 3000 and sampling.within_budget(df, 244, ram_gb=1e-9, least=70).count() == 70
+
+
+def test_samples_of_overlaps_are_the_least(spark):
+    rows = spark.range(100).selectExpr("lpad(id, 3, '0') AS customer_id", "explode(array('a', 'b', 'c')) AS of").where("of < 'c' OR customer_id % 2 = 0")
+    found = {(r["left"], r["right"]): r for r in labels.cohort_overlap(rows.repartition(7), {n: F.col("of") == n for n in "abc"}, samples=15).collect()}
+    assert found["a", "b"].sample_ids == [f"{i:03d}" for i in range(15)] and found["a", "c"].sample_ids == [f"{i:03d}" for i in range(0, 30, 2)] and found["b", "c"].n_shared == 50
+
+
+def test_booleans_are_ones_and_zeros(spark):
+    df = spark.createDataFrame([("c", 1, "1", "2024-01-01 00:00:00", True), ("c", 2, "1", "2024-01-01 00:00:00", False), ("c", 3, "1", "2024-01-01 00:00:00", None)], "customer_id string, event_id long, operaton_amt string, event_dttm string, compromised boolean")
+    named = df.withColumnRenamed("compromised", "session_id")
+    assert [r.sess for r in T.conform(named).orderBy("event_id").collect()] == ["1", "0", None]
+
+
 def test_row_samples(spark):
     df = spark.range(1000).withColumnRenamed("id", "event_id")
     one, two = (sorted(r.event_id for r in sampling.row_sample(df, 50, seed).collect()) for seed in (1, 1))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from tidemark.operators.axes import exact_quantiles
+from tidemark.sources.footers import FooterSource
+from tidemark.sources.scratch import stored
 from tidemark.sources.tables import META_COLUMNS
 
 
@@ -43,10 +48,11 @@ def duplicate_ids(df: DataFrame, key: str = "event_id") -> DataFrame:
 
 
 def decile_profile(df: DataFrame, column: str) -> DataFrame:
-    """decile (0 to 10) and value, interpolated between neighbours."""
-    levels = [i / 10 for i in range(11)]
-    one = df.agg(F.percentile(F.col(column), F.array(*map(F.lit, levels))).alias("q"))
-    return one.select(F.posexplode("q").alias("decile", "value"))
+    """decile (0 to 10) and value, interpolated between neighbours; found by rank among counted values, so that no task holds all."""
+    key = [F.lit("").alias(c) for c in ("axis", "k1", "k2")]
+    counts = stored(df.where(F.col(column).isNotNull()).select(*key, F.col(column).cast("double").alias("x")).groupBy("axis", "k1", "k2", "x").agg(F.count("*").alias("c")))
+    one = exact_quantiles(counts, {f"d{i}": i / 10 for i in range(11)})
+    return one.select(F.posexplode(F.array(*[f"d{i}" for i in range(11)])).alias("decile", "value"))
 
 
 def parity(a: DataFrame, b: DataFrame, columns: list[str], key: str = "event_id", rtol: float = 1e-5, atol: float = 1e-6) -> DataFrame:
@@ -91,11 +97,22 @@ def examples(df: DataFrame, columns: list[str], rows: int = 3, key: str = "event
     return df.select(*columns).orderBy(key).limit(rows)
 
 
+def footers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, position, name, type, rows, nulls, least and largest (as text; null where the file does not say) of every column of the
+    files: a task a file, which reads its footer only."""
+    spark.dataSource.register(FooterSource)
+    return spark.read.format(FooterSource.name()).option("paths", json.dumps(paths)).load()
+
+
+def footer_profile(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """name, type, n, n_null of every column over all files, from footers."""
+    return footers(spark, paths).groupBy("name").agg(F.max("type").alias("type"), F.sum("rows").alias("n"), F.sum("nulls").alias("n_null"))
+
+
 def file_schemas(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
     """path, position, name and type of the columns of each parquet file or table in a folder; only footers are read."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", recursive).load(root).select("path")
-    rows = [(r.path, i, f.name, f.dataType.simpleString()) for r in listed.collect() for i, f in enumerate(spark.read.parquet(r.path).schema)]
-    return spark.createDataFrame(rows, "path string, position int, name string, type string")
+    return footers(spark, [r.path for r in listed.collect()]).select("path", "position", "name", "type")
 
 
 def profile(df: DataFrame, mode: str = "full") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weights of rows labelled 1, labelled 0, and not labelled.
@@ -45,21 +45,20 @@ def cohort_overlap(tx: DataFrame, cohorts: dict[str, Column], key: str = "custom
     for i, n in enumerate(names):
         bits = bits.bitwiseOR(F.when(cohorts[n], 1 << i).otherwise(0))
     sets = tx.select(F.col(key).alias("k"), bits.alias("bits")).groupBy("k").agg(F.bit_or("bits").alias("bits"))
-    counts = sets.groupBy("bits").agg(F.count("*").alias("c"), *([_least_ids("k", samples).alias("ids")] if samples else []))
+    counts = sets.groupBy("bits").agg(F.count("*").alias("c"))
+    if samples:  # each task passes on its least ids only
+        place = F.row_number().over(Window.partitionBy("bits").orderBy("k"))
+        least = sets.where("k IS NOT NULL").withColumn("_place", place).where(F.col("_place") <= samples).groupBy("bits").agg(F.collect_list("k").alias("ids"))
+        counts = counts.join(least, "bits", "left")
     pairs = [(a, b, (1 << i) | (1 << j)) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
     entries = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit(m).alias("mask")) for a, b, m in pairs])
     shared = F.col("bits").bitwiseAND(F.col("p.mask")) == F.col("p.mask")
     found = counts.select("*", F.explode(entries).alias("p")).groupBy("p.left", "p.right")
-    ids = F.slice(F.sort_array(F.flatten(F.collect_list(F.when(shared, F.col("ids"))))), 1, samples) if samples else None
+    ids_of = sets.schema["k"].dataType.simpleString()
+    ids = F.slice(F.sort_array(F.flatten(F.collect_list(F.when(shared, F.coalesce("ids", F.array().cast(f"array<{ids_of}>")))))), 1, samples) if samples else None
     return found.agg(F.sum(F.when(shared, F.col("c")).otherwise(0)).alias("n_shared"), *([ids.alias("sample_ids")] if samples else []))
 
 
-def _least_ids(key: str, samples: int) -> Column:
-    """The least ids of a group in bounded memory, by repeated exact minima over hash buckets."""
-    buckets = [F.min(F.when(F.pmod(F.xxhash64(key), F.lit(samples)) == b, F.col(key))) for b in range(samples)]
-    return F.array_compact(F.array(*buckets))
-
-
 def check_disjoint(overlap: DataFrame, allowed: Callable[[str, str], bool]) -> None:
     """Raises if two cohorts share customers that may not; the message has the pairs and their sample ids. A row a pair is read."""
     bad = [r for r in overlap.where("n_shared > 0").collect() if not allowed(r["left"], r["right"])]

@@ -174,6 +174,19 @@ def cohort_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.cohort_overlap(tx, {f"{p}_{k}": (F.col("phase") == p) & (third == k) for p in ("pretrain", "train") for k in range(3)})
 
 
+_SHARES = 'SELECT a.cohort AS "left", b.cohort AS "right", count(*) AS n_shared, list(a.customer_id ORDER BY a.customer_id)[:15] AS ids FROM c a JOIN c b USING (customer_id) WHERE a.cohort < b.cohort GROUP BY ALL'
+
+
+@register("cohort_overlap_samples", f"""WITH {ORACLE}, c AS (SELECT DISTINCT phase || '_' || CAST(k AS VARCHAR) AS cohort, customer_id FROM tx, (SELECT unnest([2, 3]) AS k) WHERE phase <> 'test' AND CAST(customer_id AS BIGINT) % k = 0),
+n AS (SELECT DISTINCT cohort FROM c), s AS ({_SHARES})
+SELECT a.cohort AS "left", b.cohort AS "right", coalesce(s.n_shared, 0) AS n_shared, coalesce(array_to_string(s.ids, ','), '') AS sample_ids FROM n a JOIN n b ON a.cohort < b.cohort LEFT JOIN s ON s."left" = a.cohort AND s."right" = b.cohort""")
+def cohort_overlap_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 least customers that each two overlapping cohorts share: a report of samples."""
+    number = F.col("customer_id").cast("bigint")
+    found = labels.cohort_overlap(transactions(spark, sf_dir), {f"{p}_{k}": (F.col("phase") == p) & (number % k == 0) for p in ("pretrain", "train") for k in (2, 3)}, samples=15)
+    return found.select("left", "right", "n_shared", F.array_join("sample_ids", ",").alias("sample_ids"))
+
+
 @register("customer_sets", "SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)) AS n_both, (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS n_only_first, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS n_only_second")
 def customer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("customer_id"))
@@ -544,7 +557,7 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
     fitted = model.train(rows, _FEATURES)
-    return model.permutation_importance(fitted, rows.where("validation"), _FEATURES, repeats=5)
+    return model.permutation_importance(fitted, sampling.within_budget(rows.where("validation"), len(_FEATURES)), _FEATURES, repeats=5)
 
 
 @register("scoring")

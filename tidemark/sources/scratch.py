@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session (as in tests) has a folder of its own; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster[...] has executors of its own
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         session = spark.sparkContext.applicationId
         if session not in _own_dirs:
