@@ -5,7 +5,7 @@ entries whose pair has changed since are stale and skipped. Decoding concatenate
 the vocabulary strings. Ids equal those of the tokenizers library for the same file.
 
 Null texts are empty; an empty text has no ids. Repeated rows each give a row, an empty table none. Strings of special
-tokens in a text become those tokens, as in the library. Texts of any length are encoded whole;
+tokens in a text become those tokens, as in the library. Of merges of equal rank the leftmost goes first. Texts of any length are encoded whole;
 columns may have clashing names. Which characters count as letters and numbers depends on the version of
 Unicode, so that is asked of the library's own cutter once, when a tokenizer file is loaded.
 """

@@ -9,7 +9,7 @@ streamed: no window can lie there.
 
 Null or wordless texts have no words, and such items no windows. Repeated rows each give a row; items
 with the same id count once. An item without an id is called "null". Without items, or without documents, nothing is
-hit. Texts of any length are streamed whole; columns may have clashing names. With several blocks the driver and the tasks
+hit. Items that tie in a match are all counted. Texts of any length are streamed whole; columns may have clashing names. With several blocks the driver and the tasks
 hold one at a time.
 """
 

@@ -9,6 +9,8 @@ n - r + 1 words (prefix filter); only windows around such words are looked at. T
 words at all (length filter), and where the rarest of them is the template's k-th word, no more than n - k + 1 can be
 shared (positional filter). What passes is counted exactly, window by window.
 
+Sets have no order: a block with a template's words in any order meets it, so a short template can be met by words that say something else.
+
 Null and empty texts have no words, no labels and score 0. Ties between templates do not matter, as labels are a set.
 Repeated rows each give a row, an empty table none; texts of any length are scanned whole; columns may have
 clashing names.

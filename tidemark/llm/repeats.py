@@ -17,7 +17,7 @@ by the bytes that 24 neighbouring windows have in common, then 4, then by whole
 group fits into an index.
 
 Null and empty texts, and texts shorter than the length, lose nothing. Repeated rows are copies of
-each other, so all their windows are repeated; each gives a row. An empty table gives none. Texts of any length are
+each other, so all their windows are repeated; each gives a row. An empty table gives none. Equal strings are all removed, none is a first one, so ties can't occur. Texts of any length are
 read whole; columns may have clashing names.
 """
 

@@ -10,7 +10,8 @@ the same word, so each enters the words one flip away that fall into the cell (o
 most 65 fingerprints). No pairs of a group are made, and equal fingerprints count once.
 
 Null and empty texts, and texts without words, have fingerprint zero and are linked like any
-other. Repeated rows each give a row. Where an id is null, the component takes its least id.
+other. Repeated rows each give a row, an empty table none. Where an id is null, the component takes its least id; a component of
+null ids only has none. Texts of any length are read whole, ties of a bit (set in half of the hashes) give 0, and columns may have clashing names.
 """
 
 from __future__ import annotations
