@@ -219,10 +219,11 @@ def test_registered_importance_covers_all_features(spark, monkeypatch):
 
     seen = {}
     monkeypatch.setattr(queries, "_model_rows", lambda *_: Rows())
+    monkeypatch.setattr(queries.sampling, "within_budget", lambda rows, columns: seen.update(columns=columns) or rows)
     monkeypatch.setattr(queries.model, "train", lambda rows, features, **settings: seen.update(trained=features, settings=settings))
     monkeypatch.setattr(queries.model, "permutation_importance", lambda fitted, rows, features, tried=None, repeats=2: seen.update(tried=tried or features, repeats=repeats))
     queries.QUERIES["permutation_importance"](spark, "")
-    assert len(seen["trained"]) == len(seen["tried"]) == 244 and seen["repeats"] == 5 and not seen["settings"]
+    assert len(seen["trained"]) == len(seen["tried"]) == 244 and seen["columns"] == 244 and seen["repeats"] == 5 and not seen["settings"]
 
 
 def test_audits(spark, tmp_path):
