@@ -17,8 +17,8 @@ from tidemark.llm.common import documents, materialise
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; all, where there are no labels of both kinds."""
-    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that importance resampling draws, as many as the classifier's threshold lets through; all, where there are no labels of both kinds."""
+    return quality.drawn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,10 +8,14 @@ text is scored by the folds that it is not in, so that a fitted row does not rec
 A sample of given size is drawn by Gumbel top-k: the k largest sums of log importance and Gumbel noise,
 which comes from a hash of the id; equal keys go by the smaller id, rows equal in both all stay.
 
-Which documents are rejected is decided by evidence against the target alone, so that length or an
-unusual topic do not sink a document: the sum, over its distinct n-grams (words, pairs, word shapes, shape
+Beside it stands the evidence against the target, so that length or an unusual topic do not sink a
+document: the sum, over its distinct n-grams (words, pairs, word shapes, shape
 pairs, marks of repetition), of those log ratios of labelled target rows over all labelled rows that
-speak clearly against the target. The threshold is set on held-out labelled rows.
+speak clearly against the target. The threshold is set on held-out labelled rows; ``keep`` and ``accepted`` go by it alone.
+
+``drawn``, the pipeline's stage, is the resampling with both: the log importance of a document is its mean log ratio, times a
+lower temperature, plus its evidence, whose n-grams are few among the many of a text and would vanish in a mean. As many rows are drawn
+by Gumbel top-k as the threshold lets through. Rows near its end so come in or go by chance, as in any draw.
 
 The target model, the evidence and the threshold are fitted on a bounded sample of labelled rows
 (``sample_rows``), chosen by a hash of the id; the raw model counts all documents, and scores, decisions and the
@@ -31,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm.common import as_bytes, map_slices, map_whole, materialise, pick, slices
 from tidemark.llm.simhash import shingle_hashes
@@ -50,6 +55,10 @@ BINS = 4096
 BUCKETS = 1 << 16
 #: Folds of the target, and what a mean log ratio is multiplied by.
 FOLDS, TEMPERATURE = 5, 100.0
+#: The same where evidence counts beside the mean.
+DRAW_TEMPERATURE = 30.0
+#: Of the Gumbel noise.
+SEED = 11
 #: Bytes whose characters are hashed at once; words are never cut.
 CHUNK = 1 << 18
 
@@ -325,6 +334,20 @@ def gumbel(id_col: str, seed: int) -> F.Column:
     return -F.log(-F.log(uniform))
 
 
+def _kth_smallest(df: DataFrame, of: str, k: int) -> int:
+    """The k-th smallest of a column of whole numbers, likewise."""
+    while True:
+        low, high = df.agg(F.min(of), F.max(of)).first()
+        if low == high:
+            return low
+        bin_of = F.expr(f"(CAST({of} AS DECIMAL(20, 0)) - ({low})) DIV {(high - low) // BINS + 1}")
+        for r in sorted(df.groupBy(bin_of.alias("bin")).count().collect(), key=lambda r: r["bin"]):
+            if r["count"] >= k:
+                df = df.where(bin_of == r["bin"])
+                break
+            k -= r["count"]
+
+
 def kth_largest(df: DataFrame, key: str, tie: str, k: int) -> tuple[float, object] | None:
     """Key and tie of the k-th row by descending key, then ascending tie: by histograms that close in on it."""
     if k <= 0:
@@ -332,7 +355,9 @@ def kth_largest(df: DataFrame, key: str, tie: str, k: int) -> tuple[float, objec
     now, left = df, k
     while True:
         low, high, n = now.agg(F.min(key), F.max(key), F.count("*")).first()
-        if n <= BINS or low == high:
+        if low == high and n > BINS:
+            return low, _kth_smallest(now, tie, left)
+        if n <= BINS:
             row = now.orderBy(F.desc(key), F.asc(tie)).limit(left).agg(F.min_by(F.struct(key, tie), F.struct(F.col(key), -F.col(tie)))).first()[0]
             return row[0], row[1]
         bin_of = F.least(F.floor((F.col(key) - low) / (high - low) * BINS), F.lit(BINS - 1))
@@ -343,20 +368,43 @@ def kth_largest(df: DataFrame, key: str, tie: str, k: int) -> tuple[float, objec
             left -= r["count"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> DataFrame:
+def _largest(df: DataFrame, key: str, id_col: str, k: int) -> F.Column:
+    """Whether a row is among the k largest by key; equal keys go by the smaller id, rows equal in both are all among them."""
+    tie = F.coalesce(id_col, F.lit(-1))
+    last = kth_largest(df.select(key, tie.alias("tie")), key, "tie", k)
+    return (F.col(key) > last[0]) | ((F.col(key) == last[0]) & (tie <= last[1])) if last else F.lit(False)
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """Row per document: id, score (log importance), evidence (against the target), keep (not rejected), gumbel_key, sampled (among the top share by key)."""
     model = fit(docs, labels, id_col, text_col, sample_rows)
     scored = _scores(as_bytes(docs, text_col, id_col), model, id_col)
     keyed = materialise(scored.select(id_col, "score", "evidence", (F.col("evidence") >= model.cut).alias("keep"), (F.col("score") + gumbel(id_col, seed)).alias("gumbel_key")))
-    last = kth_largest(keyed.select("gumbel_key", F.coalesce(id_col, F.lit(-1)).alias("tie")), "gumbel_key", "tie", math.ceil(share * keyed.count()))
-    if last is None:
-        return keyed.withColumn("sampled", F.lit(False))
-    key, tie = last
-    return keyed.withColumn("sampled", (F.col("gumbel_key") > key) | ((F.col("gumbel_key") == key) & (F.coalesce(id_col, F.lit(-1)) <= tie)))
+    return keyed.withColumn("sampled", _largest(keyed, "gumbel_key", id_col, math.ceil(share * keyed.count())))
+
+
+def drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, temperature: float = DRAW_TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """The rows and columns of ``docs`` that importance resampling draws: Gumbel top-k by mean log ratio times ``temperature`` plus evidence, as many as
+    have no more evidence against them than the threshold allows. The rows are stored once, with their keys, so that texts are scored once."""
+    model = fit(docs, labels, id_col, text_col, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    at, id_at, names = docs.columns.index(text_col), f"_c{docs.columns.index(id_col)}", [*plain.columns, "importance", "evidence"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(CHUNK)
+        for batch in slices(batches):
+            score, evidence = shared.value.score([(t or "").encode() for t in batch.column(at).to_pylist()], powers)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(temperature / TEMPERATURE * score + evidence), pa.array(evidence)], names=names)
+
+    scored = plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("importance", DoubleType()), StructField("evidence", DoubleType())]))
+    keyed = materialise(scored.select("*", (F.col("importance") + gumbel(id_at, seed)).alias("key")))
+    size = keyed.where(F.col("evidence") >= model.cut).count()
+    return keyed.where(_largest(keyed, "key", id_at, size)).select(*plain.columns).toDF(*docs.columns)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows and columns of ``docs`` without those that the classifier rejects."""
+    """The rows and columns of ``docs`` without those that the evidence alone rejects."""
     model = fit(docs, labels, id_col, text_col, sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
