@@ -212,6 +212,51 @@ def test_model_end_to_end(spark, tmp_path):
     assert T.read_settings(spark, f"{tmp_path}/grid/best", {}) == {"maxDepth": trials[0]["maxDepth"], "maxIter": 2} and spark.read.json(f"{tmp_path}/grid/trials").count() == 2
 
 
+def test_importance_pairs_split_bits_and_walks_trees_itself(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    names = ["a", "b", "c", "d", "e", "flat"]
+    odd = [None, float("nan"), float("inf"), -5.0, 0.0]
+    data = []
+    for i in range(900):
+        x = [float(v) for v in r.normal(size=5)]
+        target = int(x[0] + x[1] * x[2] + r.normal() * 0.3 > 0.4)
+        x = [odd[r.integers(5)] if r.random() < 0.1 else v for v in x]
+        data.append((i, i if i % 90 else None, *x, 1.0, target if i % 50 else None, float(r.choice([1.0, 2.0, 5.0])) if i % 70 else None, i % 4 == 0))
+    df = spark.createDataFrame(data, "row long, event_id long, a double, b double, c double, d double, e double, flat double, target int, sample_weight double, validation boolean").repartition(3)
+    known = df.where("event_id IS NOT NULL AND target IS NOT NULL AND sample_weight IS NOT NULL")
+    fitted = model.train(known, names, maxIter=3, maxDepth=3)
+    # a model's trees by hand give its own scores
+    trees, splits = model.trees_of(fitted)
+    assert fitted.getNumTrees > 1 and {names[i] for i, _ in splits} >= {"a", "b", "c"} and "flat" not in {names[i] for i, _ in splits}
+    bits = model.ways(df, names, splits, ["row"]).collect()
+    left = np.unpackbits(np.array([list(b.ways) for b in bits], np.uint8), axis=1, count=len(splits)).astype(bool)
+    by_hand = {b.row: v for b, v in zip(bits, 1 / (1 + np.exp(-2 * sum(t.values(left) for t in trees))))}
+    theirs = {row.row: row.score for row in model.scored(fitted, df, names).collect()}
+    assert len(bits) == 900 and all(by_hand[k] == pytest.approx(v, abs=1e-12) for k, v in theirs.items())
+    # one feature and repeat at a time, over rows that can be told apart
+    precision = lambda rows: metrics.average_precision(model.scored(fitted, rows, names), weight="sample_weight").first().average_precision
+    base, wanted = precision(known), {}
+    for f in ("a", "flat"):
+        drops = [base - precision(known.drop(f).join(model.permuted(known.select("event_id", f), f, 100 + 10 * k), "event_id")) for k in range(2)]
+        wanted[f] = float(np.mean(drops)), float(np.std(drops, ddof=1))
+    # no row passes through the model's own vectors, however many features are tried
+    monkeypatch.setattr(type(fitted), "transform", lambda *_: pytest.fail("rows went through the model as vectors"))
+    got = {row.feature: row for row in model.permutation_importance(fitted, known, names, repeats=2).collect()}
+    assert sorted(got) == sorted(names)
+    for f, (mean, deviation) in wanted.items():
+        assert got[f].mean_drop == pytest.approx(mean, abs=1e-9) and got[f].std_drop == pytest.approx(deviation, abs=1e-9), f
+    assert {row.feature for row in model.permutation_importance(fitted, known, names, tried=["flat", "a"], repeats=2).collect()} == {"flat", "a"}
+    # every row, also one without an id or with that of another, has one donor and counts once
+    twice = df.unionByName(df.where("event_id < 100"))
+    rows = model.ways(twice, names, splits, ["event_id", "target", "sample_weight"])
+    paired = model.donated(rows, 2)
+    assert "SortMergeJoin" in paired._jdf.queryExecution().executedPlan().toString()  # donors are as many as rows: never broadcast
+    pairs = paired.collect()
+    for k in range(2):
+        of = [p for p in pairs if p.repeat == k]
+        assert sorted(bytes(p.own) for p in of) == sorted(bytes(p.donor) for p in of) == sorted(bytes(p.ways) for p in rows.collect())
+
+
 def test_registered_importance_covers_all_features(spark, monkeypatch):
     from tidemark.plans import queries
 
