@@ -336,6 +336,37 @@ def test_matrix_columns(spark, tables):
     assert {round(r.log_1_plus_transactions_seen, 6) for r in got.select("log_1_plus_transactions_seen").collect()} <= {0.0, round(math.log(2), 6)}
 
 
+def test_model_rows_compute_the_matrix_once(spark, monkeypatch):
+    passed = spark.sparkContext.accumulator(0)
+    tx = spark.createDataFrame([(i, 86_400 * (i % 10) if i % 13 else None, "train" if i % 5 else "test") for i in range(200)], "event_id long, t long, phase string")
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    plain = tx.where("phase = 'train'").drop("phase")
+    monkeypatch.setattr(queries, "transactions", lambda *_: tx)
+    monkeypatch.setattr(queries, "_matrix", lambda *_: plain.mapInArrow(counted, "event_id long, t long"))
+    got = {r.event_id: r.validation for r in queries._model_rows(spark, "").collect()}
+    assert passed.value == plain.count() == 160
+    assert got == {r.event_id: r.validation for r in split.with_split(plain).collect()} and set(got.values()) == {True, False}
+
+
+def test_population_joins_carry_narrow_rows(spark, tables):
+    tx = queries.transactions(spark, tables)
+    widths = []
+
+    def walk(node):
+        if node.nodeName() == "Join":
+            widths.append(node.output().size())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(matrix.training_matrix(tx, sampling.length_distribution(tx.limit(0)))._jdf.queryExecution().optimizedPlan())
+    assert len(widths) >= 12 and max(widths) < 100  # Spark compiles no stage of more fields as a whole
+
+
 def test_stream_equals_batch(spark, tables, tmp_path):
     tx = queries.transactions(spark, tables).select("customer_id", "event_id", "t", "amt", "phase")
     for i, bound in enumerate([(0, 1_705_000_000), (1_705_000_000, 2_000_000_000)]):
